@@ -348,7 +348,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return map_columns(df, [ids], run, "decoded string")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256: both operators in one pass, without their arrays between."""
     vocabulary = Shipped(df.sparkSession, file_bytes(path))
 
@@ -362,4 +362,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             decoded.append(hashlib.sha256(decoder.decode(np.fromstring(ids, dtype=np.int32, sep=" ")).encode()).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
 
-    return map_columns(df, [text], run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_columns(df, [text], run, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)

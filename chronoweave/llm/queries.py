@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe
+from chronoweave.llm import bpe, count, decontam, media, toxic
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,12 +19,45 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests."""
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+    docs = _table(spark, folder, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it passes the context length."""
+    docs = _table(spark, folder, "documents")
+    return count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return decontam.report(decontam.find(docs, benchmark, keep=["doc_id"]))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text by a classifier that is trained on labels not held out."""
+    docs = _table(spark, folder, "documents")
+    model = toxic.train(docs, _table(spark, folder, "labels"))
+    return (
+        toxic.score(docs, model, keep=["doc_id"])
+        .withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+        .withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+        .select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
+    )
+
+
+def op8_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text stored as an audio clip, read back and analysed."""
+    return media.round_trip(_table(spark, folder, "documents"), keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
+    "op8_media": op8_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}

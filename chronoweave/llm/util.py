@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import pickle
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
@@ -19,19 +20,21 @@ _OBJECTS: dict[Any, Any] = {}
 
 
 def worker_object(key: Any, build: Callable[[], Any]) -> Any:
-    """An object that a Python worker builds once and keeps while tasks use the same key; at most eight are kept."""
-    if key not in _OBJECTS:
-        while len(_OBJECTS) >= 8:
+    """An object that a Python worker builds once and keeps while tasks use the same key; the last two are kept."""
+    found = _OBJECTS.pop(key, None)
+    if found is None:
+        while len(_OBJECTS) >= 2:
             del _OBJECTS[next(iter(_OBJECTS))]
-        _OBJECTS[key] = build()
-    return _OBJECTS[key]
+        found = build()
+    _OBJECTS[key] = found
+    return found
 
 
 class Shipped:
-    """A broadcast value with an id that workers can key by."""
+    """A broadcast value with an id that workers can key by: equal values have equal ids."""
 
     def __init__(self, spark: SparkSession, value: Any):
-        self.id = uuid.uuid4().hex
+        self.id = hashlib.sha256(pickle.dumps(value)).hexdigest()
         self.held = spark.sparkContext.broadcast(value)
 
     @property
@@ -52,26 +55,24 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_columns(df: DataFrame, inputs: list[str], run: Callable[[pa.RecordBatch], list[pa.Array]], added: str) -> DataFrame:
+def map_columns(df: DataFrame, inputs: list[str], run: Callable[[pa.RecordBatch], list[pa.Array]], added: str, keep: list[str] | None = None) -> DataFrame:
     """`df` with columns computed batch by batch in Arrow from `inputs`.
 
-    All columns pass through Python unchanged; a column of `df` named like an
-    added one is replaced.  Select what is needed before."""
+    The columns in `keep` (all, if None) pass through Python unchanged, the
+    others end there; a column of `df` named like an added one is replaced."""
     new = T._parse_datatype_string(added)
     names = {f.name.lower() for f in new}
-    kept = [c for c in df.columns if c.lower() not in names]
-    sent = df.select(*[F.col(_q(c)).alias(f"_in{i}") for i, c in enumerate(inputs)], *[F.col(_q(c)) for c in kept])
-    schema = T.StructType([*[f for f in df.schema if f.name in kept], *new])
-    width = len(inputs)
-    out_names = [f.name for f in schema]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    sent = list(dict.fromkeys([*kept, *inputs]))
+    schema = T.StructType([*[df.schema[c] for c in kept], *new])
+    reads, passes, out_names = [sent.index(c) for c in inputs], len(kept), [f.name for f in schema]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = run(batch.select(list(range(width))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[width:], *columns], names=out_names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:passes], *run(batch.select(reads))], names=out_names)
 
-    return sent.mapInArrow(mapped, schema)
+    return df.select(*[F.col(_q(c)) for c in sent]).mapInArrow(mapped, schema)
 
 
 def _q(name: str) -> str:
