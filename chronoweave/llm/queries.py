@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, count, decontam, media, toxic
+from chronoweave.llm import bpe, count, decontam, media, near, secrets, toxic
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,12 +23,23 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    return near.classes(_table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every text, and whether it passes the context length."""
     docs = _table(spark, folder, "documents")
     return count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every text."""
+    docs = _table(spark, folder, "documents")
+    return secrets.report(secrets.scan(docs, secrets.train(docs), keep=["doc_id"]))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -54,7 +65,9 @@ def op8_media(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_token_counts": op4_token_counts,
+    "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
