@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from chronoweave.llm.util import Shipped, file_bytes, map_columns, texts_of, worker_object
 
-MEMO_ENTRIES = 400_000
-STATE_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
+STATE_ENTRIES = 180_000
 PAIR_ENTRIES = 400_000
 
 
@@ -79,7 +79,7 @@ class Transducer:
                 node = child
             self.token_at[node] = rank
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # key: left << 32 | right
         self.reset()
 
     def reset(self) -> None:
@@ -103,7 +103,7 @@ class Transducer:
 
         The merges that built both tokens are undone from the latest back; a
         merge across the border must not come before those still undone."""
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             found = self.pairs[key] = self._may_follow(left, right)
