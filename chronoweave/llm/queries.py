@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, count, decontam, media, near, secrets, toxic
+from chronoweave.llm import bpe, chat, count, decontam, lines, media, near, pii, secrets, toxic
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.classes(_table(spark, folder, "documents"))
 
 
+def op3_preference_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring conversations as chosen and rejected ones."""
+    return chat.preference_pairs(chat.neighbours(_table(spark, folder, "conversations")))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every text, and whether it passes the context length."""
     docs = _table(spark, folder, "documents")
@@ -63,14 +68,34 @@ def op8_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.round_trip(_table(spark, folder, "documents"), keep=["doc_id"])
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repeated line or sentence to be removed, and the occurrence that stays."""
+    return lines.repeats(_table(spark, folder, "documents"))
+
+
+def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with surrogates for its personal data."""
+    found = pii.replace(_table(spark, folder, "documents"), PII_KEY, keep=["doc_id"])
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "entities", "text")
+
+
+#: The key of the registered query; in production it comes from the caller.
+PII_KEY = b"chronoweave surrogate key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_preference_chat": op3_preference_chat,
     "op4_token_counts": op4_token_counts,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_preference_chat": chat.SQL,
+    "op9_line_dedup": lines.SQL,
+}

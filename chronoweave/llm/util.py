@@ -79,12 +79,15 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Materialises `df` in the shared checkpoint folder and cuts its lineage.
-
-    The folder is the cluster's `spark.checkpoint.dir`; only where that is
-    unset, as in tests, one below the working folder is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the cluster's `spark.checkpoint.dir`; one below the working folder only where that is unset, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{Path.cwd()}/spark-warehouse/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Materialises `df` in the shared folder and cuts its lineage."""
+    shared_folder(spark)
     return df.checkpoint(eager=True)
