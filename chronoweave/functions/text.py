@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EDGES = r"(?U)^\s+|\s+$"
 
@@ -139,13 +140,13 @@ def parse_mentions(raw: str | None) -> list[str]:
     return next((found for t in [text, *([flat[0]] if flat else [])] if (found := _literal(t)) is not None), [])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def answer_list(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in raw:
         yield batch.map(parse_answers)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def mention_list(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in raw:
         yield batch.map(parse_mentions)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,7 +33,7 @@ def hash_encoder(dimensions: int = 64, model: str = "hash-64"):
 
     A model is loaded once for each task, before its first batch."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def vector(text: str | None) -> np.ndarray:
             v = np.zeros(dimensions, np.float32)

@@ -8,16 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 META = "main_entity string, subgraph_size long, chain_size long, mentions array<string>, grounded array<string>, relation_phrase string, relation_id string, relation_ids array<string>, relation_sim double, main_entity_raw string, n_explicit_anchors long, n_implicit_anchors long, n_anchors long, parse_ok boolean, raw_len long, prompt_style string, abstain_retry boolean, abstain_recovered boolean, lang string, ablation string, k long, n_implicit long, model string, answer_recall_sg boolean, answer_recall_chain boolean, anchor_derivable boolean, anchor_recall boolean, chain_recall boolean, error string, retrieval string"
-ROW = T._parse_datatype_string(f"qid string, question string, gold array<string>, pred array<string>, hit boolean, qtype string, qlabel string, answer_type string, meta struct<{', '.join(x.replace(' ', ':', 1) for x in META.split(', '))}>, hit_gran boolean, time_level string, qgroup string, skipped boolean")
+ROW = f"qid string, question string, gold array<string>, pred array<string>, hit boolean, qtype string, qlabel string, answer_type string, meta struct<{', '.join(x.replace(' ', ':', 1) for x in META.split(', '))}>, hit_gran boolean, time_level string, qgroup string, skipped boolean"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a journal; blank lines and lines cut off by a kill are skipped."""
-    schema = T.StructType([*ROW, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(f"{ROW}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
     return rows.where("_corrupt_record is null and (qid is not null or question is not null)").drop("_corrupt_record")
 
 

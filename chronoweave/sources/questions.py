@@ -8,9 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SCHEMA = T._parse_datatype_string("qid string, question_vi string, question_en string, answers array<string>, answer_type string, qtype string, qlabel string, qgroup string, time_level string")
+COLUMNS = ("qid", "question_vi", "question_en", "answers", "answer_type", "qtype", "qlabel", "qgroup", "time_level")
 POINT, INTERVAL = "point", "interval"
 SIMPLE_TYPES = ("simple_entity", "simple_time")  # fixed values of the interval corpus
 
@@ -30,7 +29,7 @@ def adapt(records: DataFrame, dataset: str) -> DataFrame:
     else:
         raise ValueError(f"unknown corpus {dataset!r}; there are {POINT!r} and {INTERVAL!r}")
     columns = qid.cast("string"), F.col("question"), _or_empty(records, "question_en"), F.col("answers").cast("array<string>"), F.col("answer_type"), qtype, qlabel, qgroup, level
-    return records.select(*[c.alias(f.name) for c, f in zip(columns, SCHEMA, strict=True)])
+    return records.select(*[c.alias(n) for c, n in zip(columns, COLUMNS, strict=True)])
 
 
 def base_folder(explicit: str | None, variable: str, default: str) -> str:
