@@ -108,6 +108,10 @@ class WindowSet:
             yield n_words, spans, {x for _, _, items in found.get(i, ()) for x in items}
 
 
+NAMES = ("n_words", "hit_spans", "item_ids")
+_PRIVATE = ("_n_words_", "_hit_spans_", "_item_ids_")
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
     """Items in blocks whose texts have at most `max_bytes` (one item alone may have more); they are streamed to the driver, one partition at a time."""
     block, size = [], 0
@@ -122,14 +126,11 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> It
         yield block
 
 
-_FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
-
-
-def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, max_block_bytes: int = MAX_BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """Adds n_words, hit_spans (merged spans of word numbers, end exclusive) and item_ids (sorted as strings) to each document."""
+def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, max_block_bytes: int = MAX_BLOCK_BYTES, keep: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """Adds n_words, hit_spans (merged spans of word numbers, end exclusive) and item_ids (sorted as strings) to each document, or columns of other `names`; a document's column of such a name is replaced."""
     spark = docs.sparkSession
     out, known = docs, []
-    kept = docs.columns if keep is None else keep
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     blocks = _blocks(benchmark, item_id, item_text, max_block_bytes)
     block, k, last = next(blocks, []), 0, False
     while not last:
@@ -145,14 +146,14 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
             spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             return [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
 
-        names = f"_spans{k}", f"_items{k}"
-        out = map_columns(out, [text], run, _FOUND, [*kept, *known] if last else [*dict.fromkeys([*kept, text]), *known])
-        out = out.withColumnsRenamed({"hit_spans": names[0], "item_ids": names[1]})
-        known += names
+        own = f"_spans{k}", f"_items{k}"
+        added = f"_words long, {own[0]} array<struct<start:int,end:int>>, {own[1]} array<string>"
+        out = map_columns(out, [text], run, added, [*kept, *known] if last else [*dict.fromkeys([*kept, text]), *known])
+        known += own
         k += 1
     merge = merged_spans(*[F.col(n) for n in known[::2]]) if k > 1 else F.col(known[0])
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(n) for n in known[1::2]])))
-    return out.select(*kept, "n_words", merge.alias("hit_spans"), items.alias("item_ids"))
+    return out.select(*kept, F.col("_words").alias(names[0]), merge.alias(names[1]), items.alias(names[2]))
 
 
 def merged_spans(*spans):
@@ -186,16 +187,16 @@ def without_hits(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """`docs` with every hit span cut out of its text; other columns stay."""
-    found = find(docs, benchmark, text=text, **options)
+    found = find(docs, benchmark, text=text, names=_PRIVATE, **options)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         spans = [[(s["start"], s["end"]) for s in row] for row in batch.column(1).to_pylist()]
         return [pa.array([t if not s or t is None else without_hits(t, s) for t, s in zip(batch.column(0).to_pylist(), spans, strict=True)], pa.string())]
 
-    return map_columns(found, [text, "hit_spans"], run, f"`{text}` string", [c for c in docs.columns if c != text]).select(*docs.columns)
+    return map_columns(found, [text, _PRIVATE[1]], run, f"`{text}` string", [c for c in docs.columns if c != text]).select(*docs.columns)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit."""
-    return find(docs, benchmark, **options).where(F.size("hit_spans") == 0).select(*docs.columns)
+    return find(docs, benchmark, names=_PRIVATE, **options).where(F.size(_PRIVATE[1]) == 0).select(*docs.columns)
 

@@ -86,7 +86,8 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with the repeated units cut out of its texts and `removed`, their original spans."""
+    """`docs` with the repeated units cut out of its texts and `removed`, their original spans; a column of that name is replaced."""
+    docs = docs.drop("removed")
     spans = repeats(docs, doc_id, text, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(spans, F.col(doc_id) == F.col("_id"), "left").drop("_id")
 

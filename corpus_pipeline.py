@@ -20,7 +20,7 @@ from chronoweave.llm.util import shared_folder
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below their language's threshold; the classifier learns from the labels of `docs`."""
     model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxic.score(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return toxic.drop(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
