@@ -14,7 +14,6 @@ from chronoweave.plans.prompts import evidence, grounded_text
 from chronoweave.plans.reason import by_rules
 from chronoweave.sources import journal, questions as q_source
 
-_NORM = "lower(replace(trim({}), '_', ' '))"
 #: Predictions made from the gold: right, wrong, finer, empty by k.
 _PRED = """preds AS (SELECT *, CASE k % 4 WHEN 0 THEN [' ' || upper(answers[1]) || ' '] WHEN 1 THEN ['Nobody', answers[1]] WHEN 2 THEN [answers[1] || '-01'] ELSE [] END AS pred FROM questions),
 hits AS (SELECT qid, k, answer_type, qlabel, qtype, question, answers, pred, len(pred) > 0 AND list_contains(list_transform(answers, lambda g: lower(replace(trim(g), '_', ' '))), lower(replace(trim(pred[1]), '_', ' '))) AS hit FROM preds)"""
@@ -180,9 +179,9 @@ def i24_rank_hash(v: Views) -> DataFrame:
     return v.questions.select("qid", sampling.rank_hash(42, F.col("qid")).alias("rank_hash"))
 
 
-@query(", manifest AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS pos FROM questions WHERE k % 3 = 0) SELECT pos, qid, question FROM manifest JOIN questions USING (qid)", f"{FACTS}, {QUESTIONS}")
+@query(", manifest AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS pos FROM questions) SELECT pos, qid, question FROM manifest JOIN questions USING (qid)", f"{FACTS}, {QUESTIONS}")
 def d11_ordered_selection(v: Views) -> DataFrame:
-    named = v.questions.where("k % 3 = 0").agg(F.sort_array(F.collect_list("qid")).alias("quids")).select(F.posexplode(F.concat("quids", F.array(F.lit("gone")))).alias("pos", "qid"))
+    named = v.questions.agg(F.sort_array(F.collect_list("qid")).alias("quids")).select(F.posexplode(F.concat("quids", F.array(F.lit("gone")))).alias("pos", "qid"))
     return q_source.select_in_order(v.questions, named.withColumn("pos", F.col("pos").cast("long"))).select("pos", "qid", "question")
 
 

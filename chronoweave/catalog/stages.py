@@ -115,12 +115,12 @@ def c3_grounded(v: Views) -> DataFrame:
 
 _SCORED = """scored AS (
   SELECT q.vec_id AS qid, i.vec_id AS item, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS sim
-  FROM embeddings q, embeddings i WHERE q.vec_id % 50 = 0 AND i.vec_id % 50 <> 0),
+  FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, item) AS rank FROM scored)"""
 
 
 def _ranked(v: Views, k: int) -> DataFrame:
-    ask, have = v.vectors(False).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), v.vectors(True).select(F.col("vec_id").alias("item"), F.col("embedding").alias("iv"))
+    ask, have = v.asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), v.table("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("iv"))
     return grounding.nearest(ask, have, k, blocks=8)
 
 
@@ -254,15 +254,14 @@ def i8_interval_midpoint(v: Views) -> DataFrame:
 
 
 @query(
-    """, answers AS (SELECT DISTINCT unnest(answers) AS e FROM questions WHERE answer_type = 'entity' AND k % 10 = 0), numbered AS (SELECT row_number() OVER (ORDER BY s, p, o, ts) AS n, * FROM facts WHERE p NOT LIKE 'Ship%')
-SELECT s, p, o, ts, CASE WHEN p = 'click' THEN 'nhấp' ELSE replace(p, '_', ' ') END AS relation_vi FROM numbered WHERE s IN (SELECT e FROM answers) OR o IN (SELECT e FROM answers)""",
+    """, answers AS (SELECT DISTINCT unnest(answers) AS e FROM questions WHERE answer_type = 'entity')
+SELECT s, p, o, ts, CASE WHEN p = 'click' THEN 'nhấp' ELSE replace(p, '_', ' ') END AS relation_vi FROM facts WHERE s IN (SELECT e FROM answers) OR o IN (SELECT e FROM answers)""",
     f"{FACTS}, {QUESTIONS}",
 )
 def d12_answer_subgraph(v: Views) -> DataFrame:
-    facts = v.facts.where(~F.col("p").startswith("Ship")).withColumn("fact_id", F.monotonically_increasing_id())
-    answers = v.questions.where("answer_type = 'entity' and k % 10 = 0").select(F.explode("answers").alias("answer"))
+    answers = v.questions.where("answer_type = 'entity'").select(F.explode("answers").alias("answer"))
     translated = v.spark.createDataFrame([("click", "nhấp")], "p string, relation_vi string")
-    return corpus.answer_subgraph(facts, answers, translated).drop("fact_id")
+    return corpus.answer_subgraph(v.facts, answers, translated)
 
 
 _TERMS = r"""terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS term FROM documents),
@@ -322,7 +321,7 @@ def e23_l2_norm(v: Views) -> DataFrame:
     return v.table("embeddings").select("vec_id", F.posexplode(vectors.l2_normalize(F.col("embedding"))).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), (F.round("x", 4) + 0.0).alias("x"))
 
 
-@query("SELECT q.vec_id AS a, i.vec_id AS b, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 4) AS sim FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 50 = 0 AND i.vec_id % 50 <> 0")
+@query("SELECT q.vec_id AS a, i.vec_id AS b, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 4) AS sim FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0")
 def i20_cosine(v: Views) -> DataFrame:
-    a, b = v.vectors(False).select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), v.vectors(True).select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
+    a, b = v.asked.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), v.table("embeddings").select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
     return a.join(b, "label").select("a", "b", F.round(vectors.dot(F.col("x"), F.col("y")), 4).alias("sim"))

@@ -91,10 +91,10 @@ class Views:
         """Conversation turns as a journal: a line for each turn, an error where the system speaks."""
         return self.table("conversations").select(F.col("conv_id").cast("string").alias("qid"), F.col("turn").alias("seq"), F.col("role").alias("source"), F.when(F.col("role") == "system", "refused").otherwise("").alias("error"))
 
-    def vectors(self, rest: bool) -> DataFrame:
-        """One vector in fifty asks, the others are the vocabulary."""
-        own = F.col("vec_id") % 50 == 0
-        return self.table("embeddings").where(~own if rest else own)
+    @cached_property
+    def asked(self) -> DataFrame:
+        """Vectors that search: every hundredth, against all."""
+        return self.table("embeddings").where("vec_id % 100 = 0")
 
 
 FACTS = """facts AS (

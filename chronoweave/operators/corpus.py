@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text
-from chronoweave.sources.graph import COLUMNS, endpoints
+from chronoweave.sources.graph import COLUMNS
 
 
 def not_yet(pool: DataFrame, existing: DataFrame, key: str = "quid") -> DataFrame:
@@ -23,11 +23,11 @@ def gated(translations: DataFrame, target: str = "vi", source: str = "en") -> Da
 def answer_subgraph(facts: DataFrame, answers: DataFrame, translated: DataFrame) -> DataFrame:
     """Facts with a subject or object among all answers, with the translated relation or else its plain words.
 
-    `facts` has fact_id, `answers` is (answer), `translated` (p, relation_vi); each fact comes once."""
+    `answers` is (answer), `translated` (p, relation_vi), each relation once. Each end is an equi-join with the distinct answers, so no fact is doubled."""
     wanted = answers.select(F.col("answer").alias("e")).distinct()
-    ids = endpoints(facts.select("fact_id", "s", "o"), loops_twice=False).join(wanted, "e", "left_semi").select("fact_id").distinct()
-    kept = facts.join(ids, "fact_id", "left_semi").join(translated, "p", "left")
-    return kept.select("fact_id", *COLUMNS, F.coalesce("relation_vi", F.translate("p", "_", " ")).alias("relation_vi"))
+    at = lambda end: wanted.select(F.col("e").alias(end), F.lit(True).alias(f"_{end}"))
+    kept = facts.join(at("s"), "s", "left").join(at("o"), "o", "left").where("_s or _o").join(translated, "p", "left")
+    return kept.select(*COLUMNS, F.coalesce("relation_vi", F.translate("p", "_", " ")).alias("relation_vi"))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
