@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
@@ -87,6 +88,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle and checkpoint files of tables that are no longer held: it does so only after the driver's garbage collection, and rounds of many small tables would pile them up until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Materialises `df` in the shared folder and cuts its lineage."""
     shared_folder(spark)
