@@ -18,17 +18,20 @@ from pyspark.sql import types as T
 MAX_BROADCAST_BYTES = 64 << 20
 
 _OBJECTS: dict[Any, Any] = {}
+#: Bounded dictionaries of modules, which `worker_object` empties.
+MEMOS: list[dict] = []
 
 
 def worker_object(key: Any, build: Callable[[], Any]) -> Any:
-    """An object that a Python worker builds once and keeps while tasks use the same key; the last two are kept."""
-    found = _OBJECTS.pop(key, None)
-    if found is None:
-        while len(_OBJECTS) >= 2:
-            del _OBJECTS[next(iter(_OBJECTS))]
-        found = build()
-    _OBJECTS[key] = found
-    return found
+    """An object that a Python worker builds once and keeps while tasks use the same key.
+
+    Workers outlive stages: what another operator has left, its object and the memos, goes first."""
+    if key not in _OBJECTS:
+        _OBJECTS.clear()
+        for memo in MEMOS:
+            memo.clear()
+        _OBJECTS[key] = build()
+    return _OBJECTS[key]
 
 
 class Shipped:
