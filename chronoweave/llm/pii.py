@@ -10,11 +10,14 @@ Checksums of card numbers stay valid or invalid, addresses stay private or publi
 telephone numbers keep their country code.  First names that are in the gender's list are
 permuted in that list; others keep their classes of letters, and titles stay.
 
-Collision check: a surrogate must not be an entity of the corpus.  The
-distinct entities are compared with the surrogates; one that is itself an
-entity is permuted again until it is none.  That keeps the map one-to-one: if two
-entities met, one of the steps before would have been the other entity.  Only
-these exceptions are joined back to the documents, and only if there are any.
+Collision check: a surrogate must not be an entity of the corpus.  The distinct
+entities are compared with the surrogates.  One whose surrogate is itself an entity
+tries others in turns, each by a permutation keyed for this entity and turn; a
+candidate counts if it is no entity and no other entity's surrogate, and of several
+entities that meet in one the smallest takes it.  So the map is one-to-one.  After
+`SAME_FORM` turns the form is taken to be full and gets wider: longer names, addresses and
+numbers, other check digits, a public address.  Only these exceptions are joined back
+to the documents, and only if there are any.
 
 Null texts stay null, empty ones empty.  Each row is handled alone otherwise, so
 ties, repeated rows and extra columns have no effect; columns named like an output are
@@ -50,6 +53,10 @@ _NAME = re.compile("(?<!\\w)(" + "|".join(re.escape(t) for t in sorted(TITLES, k
 _TITLE_MARKS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr.", "Sra.", "Dr", "Prof.")
 _DIGIT = re.compile(r"[0-9]")
 
+#: Turns in which an entity whose surrogate is taken keeps its form, and the turn after which the job fails.  Addresses and cards have forms too large to be full.
+SAME_FORM = {"email": 8, "ip": 32, "card": 32, "phone": 8, "name": 8}
+LAST_TURN = 64
+
 
 def detect(text: str | None) -> list[tuple[str, int, int, str]]:
     """(type, start, end, canonical form) of entities by start; of overlapping ones the first type listed stays."""
@@ -110,19 +117,34 @@ def _alphabets() -> dict[str, str]:
     return out
 
 
+@functools.lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The alphabet of a character, empty if it stays. Letters of other scripts have those of their kind among the 128 codes around them."""
+
+    def kind(x: str) -> tuple | None:
+        if x in known or not x.isalpha() or x != x.lower() or len(x.upper()) != 1 or x.upper().lower() != x or unicodedata.normalize("NFC", x) != x:
+            return None
+        return unicodedata.category(x), unicodedata.normalize("NFD", x)[0] in "aeiouy"
+
+    known = _alphabets()
+    if c in known or kind(c) is None:
+        return known.get(c, "")
+    block = ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if kind(x) == kind(c))
+
+
 def permuted_text(text: str, key: bytes, tweak: str) -> str:
     """Lower-case text with every character exchanged inside its alphabet, all at once; others stay and are part of the tweak."""
-    alphabets = _alphabets()
     number, size, form = 0, 1, []
     for c in text:
-        alphabet = alphabets.get(c)
+        alphabet = _alphabet(c)
         form.append(alphabet[0] if alphabet else "=" + c)
         if alphabet:
             number, size = number * len(alphabet) + alphabet.index(c), size * len(alphabet)
     number = permuted(number, size, key, tweak + "|" + "".join(form))
     out = []
     for c in reversed(text):
-        alphabet = alphabets.get(c)
+        alphabet = _alphabet(c)
         if alphabet:
             number, at = divmod(number, len(alphabet))
             c = alphabet[at]
@@ -185,17 +207,40 @@ def _listed() -> frozenset[str]:
     return frozenset(x.lower() for x in (*MALE, *FEMALE))
 
 
+def widened(kind: str, canonical: str, more: int) -> str:
+    """A canonical form of the same type with more room."""
+    if kind == "email":
+        return "ba" * more + canonical
+    if kind == "ip":
+        return "8.8.8.8"
+    if kind == "card":
+        return canonical[:-1] + str((int(canonical[-1]) + more) % 10)
+    if kind == "phone":
+        return canonical + "0" * more
+    # Letters that have no others to be exchanged with would stay in clear.
+    return "".join(c if _alphabet(c) or not c.isalpha() else "a" for c in canonical.rstrip(".")) + "ba" * more
+
+
+def other(kind: str, canonical: str, key: bytes, turn: int) -> str:
+    """A turn's candidate for an entity whose surrogate is taken."""
+    own = hashlib.blake2b(f"{turn}|{kind}|{canonical}".encode(), key=key, digest_size=32).digest()
+    more = turn - SAME_FORM[kind]
+    return surrogate(kind, widened(kind, canonical, more) if more > 0 else canonical, own)
+
+
 def shown(kind: str, original: str, canonical: str) -> str:
-    """A canonical surrogate in the original's case and separators."""
+    """A canonical surrogate in the original's case and separators; what a wider form has more comes last."""
     if kind == "ip":
         return canonical
     if kind in ("card", "phone"):
         digits = iter(canonical.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join([*(next(digits) if c.isdigit() else c for c in original), *digits])
     if kind == "name":
         canonical = canonical.split(":", 1)[1]
         if len(canonical) != len(original):  # a listed name may have another length
             return " ".join(w[:1].upper() + w[1:] for w in canonical.split(" "))
+    if len(canonical) != len(original):
+        return canonical
     return "".join(c.upper() if o.isupper() else c for o, c in zip(original, canonical, strict=True))
 
 
@@ -211,23 +256,34 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def exceptions(known: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical, surrogate) of entities whose first surrogate is an entity too; all steps until it is none."""
+    """(kind, canonical, surrogate) of entities whose first surrogate is an entity too; theirs are no entity's and nobody else's."""
     spark = known.sparkSession
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+    def first(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([surrogate(k, c, key) for k, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.string())]
 
+    def tried(left: DataFrame, turn: int) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array([other(k, c, key, turn) for k, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.string())]
+
+        return map_columns(left, ["kind", "canonical"], run, "step string")
+
     taken = known.select("kind", F.col("canonical").alias("step"))
-    steps = map_columns(known, ["kind", "canonical"], run, "step string")
-    done, turn = None, 0
-    while True:
-        met = cut(steps.join(taken, ["kind", "step"], "left_semi").select("kind", "canonical", "step"), spark)
-        if turn:
-            free = steps.join(taken, ["kind", "step"], "left_anti").select("kind", "canonical", F.col("step").alias("surrogate"))
-            done = free if done is None else done.unionAll(free)
-        if met.isEmpty():
-            return done if done is not None else met.withColumnRenamed("step", "surrogate")
-        steps, turn = cut(map_columns(met, ["kind", "step"], run, "step string"), spark), turn + 1
+    steps = map_columns(known, ["kind", "canonical"], first, "step string")
+    left = cut(steps.join(taken, ["kind", "step"], "left_semi").select("kind", "canonical"), spark)
+    if left.isEmpty():
+        return left.withColumn("surrogate", F.lit(None).cast("string"))
+    used, done, turn = cut(taken.unionAll(steps.join(taken, ["kind", "step"], "left_anti").select("kind", "step")), spark), None, 0
+    while not left.isEmpty():
+        turn += 1
+        if turn > LAST_TURN:
+            raise ValueError(f"no free surrogates after {LAST_TURN} turns")
+        free = tried(left, turn).join(used, ["kind", "step"], "left_anti")
+        won = cut(free.groupBy("kind", "step").agg(F.min("canonical").alias("canonical")).select("kind", "canonical", F.col("step").alias("surrogate")), spark)
+        left = cut(left.join(won, ["kind", "canonical"], "left_anti"), spark)
+        used = used.unionAll(won.select("kind", F.col("surrogate").alias("step")))
+        done = won if done is None else done.unionAll(won)
+    return done
 
 
 def replaced(text: str | None, key: bytes, special: dict[tuple[str, str], str]) -> tuple[str | None, list[dict]]:
@@ -259,11 +315,13 @@ def replace(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = sorted({(i, k, c) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True) for k, _, _, c in detect(t)})
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), *[pa.array([r[i] for r in found], pa.string()) for i in (1, 2)]], names=["_id", "kind", "canonical"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], names=["_id", "kind", "canonical"])
 
-        owners = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(spread, "_id long, kind string, canonical string")
+        # Rows without an id are known by their text.
+        row_id = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.col(text).cast("binary"))))
+        owners = docs.where(F.col(text).isNotNull()).select(row_id, text).mapInArrow(spread, "_id string, kind string, canonical string")
         own = owners.join(special, ["kind", "canonical"]).groupBy("_id").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("_special"))
-        rows = docs.join(own, F.col(doc_id) == F.col("_id"), "left")
+        rows = docs.join(own, row_id == F.col("_id"), "left")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         both = [replaced(t, key, {(s["kind"], s["canonical"]): s["surrogate"] for s in row or ()}) for t, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]

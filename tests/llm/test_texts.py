@@ -171,6 +171,19 @@ def test_collisions(spark, monkeypatch):
     assert {int(k): int(v) for k, v in special.items()} == {1: 4, 2: 4} or len(set(full.values())) <= 4
 
 
+def test_collisions_stay_one_to_one(spark):
+    """Full and nearly full forms, chains of entities and scripts without an alphabet of their own end with surrogates that are free and different."""
+    known = [("name", f"m:{c}.") for c in "aeiouy"] + [("name", f"f:{c}.") for c in "bcdfghjklmnpqrstvw"] + [("name", f"m:{n.lower()}") for n in pii.MALE] + [("name", "m:արամ"), ("name", "m:ßß"), ("ip", "10.0.0.1"), ("ip", pii.surrogate("ip", "10.0.0.1", KEY))]
+    special = {(r["kind"], r["canonical"]): r["surrogate"] for r in pii.exceptions(spark.createDataFrame(known, "kind string, canonical string"), KEY).collect()}
+    full = {(k, c): (k, special.get((k, c)) or pii.surrogate(k, c, KEY)) for k, c in known}
+    assert len(set(full.values())) == len(full) and not set(full.values()) & set(known)
+    assert ("ip", "10.0.0.1") in special and special["ip", "10.0.0.1"] != pii.surrogate("ip", pii.surrogate("ip", "10.0.0.1", KEY), KEY)
+    texts = [(i if i else None, f"Mr. {c.upper()}. came") for i, c in enumerate("aeiouy")]
+    out = pii.replace(spark.createDataFrame(texts, "doc_id long, text string"), KEY).collect()
+    assert len({r["text"] for r in out}) == 6 and not {r["text"] for r in out} & {t for _, t in texts}
+    assert pii.shown("phone", "020 555-1234", "99988877766") == "999 888-77766" and pii.shown("email", "A@b.de", "xya@b.de") == "xya@b.de"
+
+
 def test_pii_query(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = queries.op10_pii_surrogates(spark, data).collect()
