@@ -1,7 +1,9 @@
 """Surrogates for personal data.
 
 Detected are e-mail addresses, telephone numbers, IPv4 addresses, card-like numbers
-(13 to 19 digits) and names after a title.  An entity's canonical form (what differs only in
+(13 to 19 digits), names after a title and every other mention of such a name in its
+document, in full or by the last word, in any case that starts with a capital.  A last name that follows another title, or stands alone,
+is the first full name in the document that ends in it and has no other gender.  An entity's canonical form (what differs only in
 case or separators is one entity) is mapped by a keyed permutation of all
 strings of its form, so different entities get different surrogates and one entity gets
 the same everywhere.  Surrogates keep the type, the length and the class of each
@@ -26,6 +28,7 @@ replaced.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -49,6 +52,13 @@ _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)", re.ASCII)
 _CARD = re.compile(r"(?<![A-Za-z0-9.+-])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
 _PHONE = re.compile(r"(?<![A-Za-z0-9.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
+#: International numbers, with as many digits as the plans of +1, +33 and +34 have; national ones by their trunk prefix.
+_PLUS = re.compile(r"\+(?<![A-Za-z0-9.+]\+)(?:1(?:[ ./-]?\(?\d\)?){10}|3[34](?: ?\(0\))?(?:[ ./-]?\(?\d\)?){9}|(?!1|3[34])\d(?:[ ./-]?\(?\d\)?){7,14})(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
+_TRUNK = re.compile(r"0(?<![A-Za-z0-9.+-]0)(?<!\d 0)(?:[1-9]([ .-])\d\d(?:\1\d\d){3}(?! ?\d)|[1-9]\d{1,3}(?:[ -]| ?/ ?)\d{5,8}(?:-\d{1,4})?(?! ?\d)|[1-9]\d{8,9})(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
+_AREA = re.compile(r"\((?<![A-Za-z0-9.]\()0[1-9]\d{1,3}\) ?\d{5,8}(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
+#: Country codes of one and two digits; all others have three.
+COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile("(?<!\\w)(" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r") ((?:[^\W\d_]\.|[^\W\d_][^\W\d_]+)(?:[ -][^\W\d_][^\W\d_]+){0,2})(?!\w)")
 _TITLE_MARKS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr.", "Sra.", "Dr", "Prof.")
 _DIGIT = re.compile(r"[0-9]")
@@ -68,20 +78,71 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
     if _DIGIT.search(text):
         found += [("ip", *m.span(), m[0]) for m in _IP.finditer(text)]
         found += [("card", *m.span(), re.sub(r"[^0-9]", "", m[0])) for m in _CARD.finditer(text)]
-        found += [("phone", *m.span(), re.sub(r"[^0-9+]", "", m[0])) for m in _PHONE.finditer(text)]
+        forms = [_PHONE, *([_PLUS] if "+" in text else ()), *([_TRUNK] if "0" in text else ()), *([_AREA] if "(0" in text else ())]
+        found += [("phone", *m.span(), re.sub(r"[^0-9+]", "", m[0])) for form in forms for m in form.finditer(text)]
     if any(t in text for t in _TITLE_MARKS):
-        for m in _NAME.finditer(text):
-            words = m[2].split(" ")
-            kept = next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
+        titled: list[tuple[int, int, str, str]] = []
+        m = _NAME.search(text)
+        while m:
+            # What follows the name may be the next title.
+            words, at = m[2].split(" "), m.start(2)
+            kept = next((i for i, w in enumerate(words) if not w[0].isupper() or i and (w in TITLES or w + "." in TITLES)), len(words))
             if kept:
                 name = " ".join(words[:kept])
-                found.append(("name", m.start(2), m.start(2) + len(name), f"{TITLES[m[1]]}:{unicodedata.normalize('NFC', name).lower()}"))
+                titled.append((m.start(2), m.start(2) + len(name), TITLES[m[1]], unicodedata.normalize("NFC", name).lower()))
+                at += len(name)
+            m = _NAME.search(text, at)
+        if titled:
+            found += mentions(text, titled)
     order = {t: i for i, t in enumerate(TYPES)}
     out: list[tuple[str, int, int, str]] = []
-    for e in sorted(found, key=lambda e: (order[e[0]], e[1])):
-        if not any(o[1] < e[2] and e[1] < o[2] for o in out):
-            out.append(e)
-    return sorted(out, key=lambda e: e[1])
+    for e in sorted(found, key=lambda e: (order[e[0]], e[1], -e[2])):
+        at = bisect.bisect_left(out, e[1], key=lambda o: o[1])
+        if (not at or out[at - 1][2] <= e[1]) and (at == len(out) or out[at][1] >= e[2]):
+            out.insert(at, e)
+    return out
+
+
+def mentions(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[str, int, int, str]]:
+    """Names after titles (start, end, gender, name), and where else they are mentioned, all as the entities of their document."""
+    # Of one name, or of full names with one last name, the first of each gender, and the first at all.
+    whole: dict[tuple[str, str], str] = {}
+    ending: dict[tuple[str, str], str] = {}
+    for _, _, gender, name in titled:
+        if gender:
+            whole.setdefault((name, gender), f"{gender}:{name}")
+            whole.setdefault((name, ""), f"{gender}:{name}")
+    for _, _, gender, name in titled:
+        if not gender:
+            whole.setdefault((name, ""), f":{name}")
+    for _, _, gender, name in titled:
+        if " " in name:
+            entity = whole[name, gender]
+            last = name.rpartition(" ")[2]
+            for own in ("", *((entity[0],) if entity[0] != ":" else ("m", "f"))):
+                ending.setdefault((last, own), entity)
+
+    out: list[tuple[str, int, int, str]] = []
+    places: dict[str, dict[str, str]] = {}
+    for start, end, gender, name in titled:
+        entity = (ending.get((name, gender)) if " " not in name else None) or whole[name, gender]
+        out.append(("name", start, end, entity))
+        own, last = text[start:end].lower(), text[start:end].rpartition(" ")[2].lower()
+        for form, owner in ((own, entity), (last, ending.get((name.rpartition(" ")[2], ""), entity))):
+            if len(form) > 1 and not form.endswith("."):
+                places.setdefault(_WORD.search(form)[0], {}).setdefault(form, owner)
+    sizes = {first: sorted({len(f) for f in forms}, reverse=True) for first, forms in places.items()}
+    for m in _WORD.finditer(text):
+        first, a = m[0].lower(), m.start()
+        if first in places and m[0][0].isupper() and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+            for n in sizes[first]:
+                owner, b = places[first].get(text[a : a + n].lower()), a + n
+                if owner and not (text[b : b + 1].isalnum() or text[b : b + 1] == "_"):
+                    out.append(("name", a, b, owner))
+                    break
+    # Where both start at one place, the name after the title stays.
+    named = {o[1] for o in out[: len(titled)]}
+    return out[: len(titled)] + [o for o in out[len(titled) :] if o[1] not in named]
 
 
 def permuted(number: int, size: int, key: bytes, tweak: str) -> int:
@@ -163,6 +224,15 @@ def _private(octets: tuple[int, ...]) -> int:
     return 1 if a == 10 or a == 127 or (a == 172 and 16 <= b < 32) or (a, b) == (192, 168) else 2 if a == 0 or a >= 224 else 0
 
 
+def prefix(phone: str) -> str:
+    """What stays of a telephone number: + or 00 and the country code, a trunk 0, or the 1 before ten digits."""
+    lead = "+" if phone[0] == "+" else "00" if phone.startswith("00") else ""
+    if lead:
+        code = phone[len(lead) : len(lead) + 3]
+        return lead + next((code[:n] for n in (1, 2) if code[:n] in COUNTRIES), code)
+    return phone[0] if phone[0] == "0" or (phone[0] == "1" and len(phone) == 11) else ""
+
+
 def surrogate(kind: str, canonical: str, key: bytes) -> str:
     """One step of the permutation of a type's canonical forms."""
     if kind == "email":
@@ -182,11 +252,13 @@ def surrogate(kind: str, canonical: str, key: bytes) -> str:
         body = str(permuted(int(body), 10 ** len(body), key, f"card{len(body)}")).zfill(len(body))
         return body + str((_luhn(body) + offset) % 10)
     if kind == "phone":
-        # Ten digits are the subscriber's; what stands before them is the country code.
-        digits = canonical.lstrip("+")
-        n = min(10, len(digits))
-        head, tail = digits[: len(digits) - n], digits[len(digits) - n :]
-        return canonical[: len(canonical) - len(digits)] + head + str(permuted(int(tail), 10**n, key, f"phone{n}")).zfill(n)
+        # Walked on until the prefix is read as the same one again, so that the whole stays one-to-one.
+        head = prefix(canonical)
+        tail, n = canonical[len(head) :], len(canonical) - len(head)
+        while True:
+            tail = str(permuted(int(tail), 10**n, key, f"phone{n}")).zfill(n)
+            if prefix(head + tail) == head:
+                return head + tail
     gender, name = canonical.split(":", 1)
     first, blank, rest = name.partition(" ")
     for own, names in (("m", MALE), ("f", FEMALE)):
@@ -237,6 +309,7 @@ def shown(kind: str, original: str, canonical: str) -> str:
         return "".join([*(next(digits) if c.isdigit() else c for c in original), *digits])
     if kind == "name":
         canonical = canonical.split(":", 1)[1]
+        canonical = " ".join(canonical.split(" ")[-1 - original.count(" ") :])  # the last name alone
         if len(canonical) != len(original):  # a listed name may have another length
             return " ".join(w[:1].upper() + w[1:] for w in canonical.split(" "))
     if len(canonical) != len(original):

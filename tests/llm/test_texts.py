@@ -184,6 +184,30 @@ def test_collisions_stay_one_to_one(spark):
     assert pii.shown("phone", "020 555-1234", "99988877766") == "999 888-77766" and pii.shown("email", "A@b.de", "xya@b.de") == "xya@b.de"
 
 
+def test_every_mention_of_a_name():
+    text = "Frau Anna Meyer came. Anna Meyer said: Meyer, MEYER and Dr. Anna Meyer, Frau Meyer, Meyerin, meyer. Earlier Mr. B. met Mr. Brown; plan B. of Brown. Mr. Meyer is another."
+    new, rows = pii.replaced(text, KEY, {})
+    assert not re.search(r"Anna|Meyer\b|MEYER|Brown", new) and "Meyerin, meyer." in new and "plan B. of" in new
+    full = rows[0]["surrogate"]
+    last = full.split()[1]
+    assert [r["surrogate"] for r in rows[:6]] == [full, full, last, last.upper(), full, last]
+    assert len(rows) == 10 and rows[7]["surrogate"] == rows[8]["surrogate"] and rows[9]["surrogate"] != last
+
+
+def test_phone_forms():
+    forms = ["+14155550123", "06 12 34 56 78", "+33 6 12 34 56 78", "030 1234567", "+34 912 345 678", "+49 30 1234567", "(030) 1234567", "0612345678", "+352 621 123 456"]
+    codes = ["+1", "0", "+33", "0", "+34", "+49", "(0", "0", "+352"]
+    for form, code in zip(forms, codes, strict=True):
+        text = f"call {form}, please"
+        assert [(k, text[a:b]) for k, a, b, _ in pii.detect(text)] == [("phone", form)]
+        new, rows = pii.replaced(text, KEY, {})
+        assert rows[0]["surrogate"].startswith(code) and rows[0]["surrogate"] != form and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        assert [(k, new[a:b]) for k, a, b, _ in pii.detect(new)] == [("phone", rows[0]["surrogate"])]
+    assert "phone" not in [k for k, *_ in pii.detect("01 02 03 04 05 06 07, 3.0123456789 and 2024-01-02 05 10000")]
+    for numbers in ([f"{n:07d}" for n in range(0, 10**7, 997)], [f"+34{n:09d}" for n in range(3000)]):
+        assert len({pii.surrogate("phone", n, KEY) for n in numbers}) == len(numbers)
+
+
 def test_pii_query(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = queries.op10_pii_surrogates(spark, data).collect()
