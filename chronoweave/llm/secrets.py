@@ -5,14 +5,18 @@ assignment to a secret's name, an access key, and a long hexadecimal run.  The
 field adds spans: it tags tokens as begin, inside or outside of a secret from their
 shape, the words around them and features of the file, decoded by Viterbi.
 
-By the model's definition only tokens of at least `MIN_LENGTH` characters with a
-digit, or an upper-case letter after a lower-case one, can be secret; all others
-are outside for certain.  So the best path splits exactly at those, and only the
-runs between them are scored.
+All tokens of a text are one chain.  Scores of tokens and of what stands between them are
+kept by worker, and added up for a whole text at once.  A token whose score as outside
+is ahead of its others by more than all transitions around it could make up
+for is outside on the best path; the path splits there, and only what lies between is
+decoded step by step.  The result is that of Viterbi over the whole text.
 
 The field is fitted by stochastic gradient on the log-likelihood of a bounded sample:
 the `sample_docs` documents with the smallest hash of their id, at most
-`sample_runs` runs of each, labelled by the base.  A corpus without any base match in
+`sample_runs` pieces of each text's chain, labelled by the base: those around base
+matches, those around other tokens with digits or inner capitals, and one at a place that the text's
+checksum tells.  Every second piece with a match hides what stands before the secret, the
+assignment's name too, so that the secret's own form is learned.  A corpus without any base match in
 the sample gets no field, and only base spans are reported.
 
 Offsets count code points, ends are exclusive.  Null and empty texts have no spans.
@@ -21,8 +25,11 @@ Every row is handled alone, so ties, repeated rows and extra columns have no eff
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +49,11 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 MIN_LENGTH = 8
 _TOKEN = re.compile(rb"[A-Za-z0-9_+/.\-]+=*")
+_PIECE = re.compile(rb"([A-Za-z0-9_+/.\-]+=*)([^A-Za-z0-9_+/.\-]*)")
+_CONSONANTS = re.compile(rb"[bcdfghjklmnpqrstvwxz]+")
+#: Tokens around a match, around another odd token and at any place that are fitted, and the longest piece.
+AROUND, AROUND_ODD, ANYWHERE, PIECE = 6, 2, 10, 32
+MEMO_ENTRIES = 300_000
 _ODD = re.compile(rb"[0-9]|[a-z][A-Z]")
 BITS = 16
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -69,45 +81,100 @@ def may_be_secret(token: bytes) -> bool:
     return len(token) >= MIN_LENGTH and _ODD.search(token) is not None
 
 
-def _shape(token: bytes) -> str:
+_CLASSES = bytes(48 if 48 <= c <= 57 else 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else c for c in range(256))
+_REPEAT = re.compile(rb"(.)\1+", re.DOTALL)
+
+
+def _shape(classes: bytes) -> bytes:
     """Runs of character classes, without lengths, at most eight."""
-    classes = "".join("0" if 48 <= c <= 57 else "A" if 65 <= c <= 90 else "a" if 97 <= c <= 122 else chr(c) for c in token)
-    return re.sub(r"(.)\1+", r"\1", classes)[:8]
+    return _REPEAT.sub(rb"\1", classes)[:8]
 
 
 def _number(feature: str) -> int:
     return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
 
 
-def runs(data: bytes) -> list[list[tuple[int, int, list[int]]]]:
-    """Runs of neighbouring tokens that may be secret: each token's start, end and feature numbers."""
-    if not _ODD.search(data):
-        return []
-    tokens = [m.span() for m in _TOKEN.finditer(data)]
-    at = [i for i, (a, b) in enumerate(tokens) if b - a >= MIN_LENGTH and may_be_secret(data[a:b])]
-    if not at:
-        return []
+def _with(start: int, rest: bytes) -> int:
+    """The number of a feature whose name's checksum is known."""
+    return zlib.crc32(rest, start) & ((1 << BITS) - 1)
+
+
+_few = functools.lru_cache(65536)(_number)
+_NAMED = {n: zlib.crc32(n.encode()) for n in ("shape:", "starts:", "word:", "word-1:", "word-2:", "word+1:")}
+
+
+def own_features(token: bytes) -> list[int]:
+    classes, size = token.translate(_CLASSES), len(token)
+    digits, upper, lower = classes.count(b"0"), classes.count(b"A"), classes.count(b"a")
+    hexadecimal = not token.translate(None, b"0123456789abcdefABCDEF")
+    low, long = token.lower(), min(size // 8, 6)
+    hard = max(map(len, _CONSONANTS.findall(low)), default=0)
+    return [
+        _with(_NAMED["shape:"], _shape(classes)), _few(f"length:{min(size // 4, 16)}"), _few(f"digits:{4 * digits // size}"), _few(f"upper:{4 * upper // size}"), _few(f"lower:{4 * lower // size}"),
+        _few(f"hex:{hexadecimal}:{long}"), _few(f"kinds:{len(set(token)).bit_length()}:{long}"), _few(f"hard:{min(hard, 6)}:{long}"), _with(_NAMED["starts:"], token[:4]), _with(_NAMED["word:"], low[:24]), _few("bias"),
+    ]
+
+
+def near_features(token: bytes) -> tuple[int, int, int]:
+    """What a token is for the next one, the one after that and the one before."""
+    word = token.lower()[:24] or b"-"
+    return _with(_NAMED["word-1:"], word), _with(_NAMED["word-2:"], word), _with(_NAMED["word+1:"], _shape(word.translate(_CLASSES)))
+
+
+def gap_features(gap: bytes) -> tuple[int, int]:
+    """What stands between two tokens, for the second and for the first one."""
+    return _number(f"before:{gap[-8:].decode().strip()}"), _number(f"after:{gap[:1].decode()}")
+
+
+def file_features(data: bytes, odd: int, tokens: int) -> list[int]:
     lines = data.count(b"\n") + 1
-    file = [f"f:assigns{min(4, 8 * data.count(b'=') // lines)}", f"f:dense{min(4, 40 * len(at) // len(tokens))}", f"f:lines{min(4, lines.bit_length() // 2)}"]
-    word = lambda i: data[slice(*tokens[i])].lower()[:24].decode() if 0 <= i < len(tokens) else "-"
-    out: list[list[tuple[int, int, list[int]]]] = []
+    return [_number(n) for n in (f"f:assigns{min(4, 8 * data.count(b'=') // lines)}", f"f:dense{min(4, 40 * odd // tokens)}", f"f:lines{min(4, lines.bit_length() // 2)}")]
+
+
+def features_at(data: bytes, tokens: list[tuple[int, int]], at: list[int], file: list[int]) -> list[tuple[int, int, list[int]]]:
+    """Start, end and feature numbers of some tokens; those of what stands before come last."""
+    word = lambda i: data[slice(*tokens[i])] if 0 <= i < len(tokens) else b""
+    out = []
     for i in at:
         a, b = tokens[i]
-        token = data[a:b]
-        digits, upper, lower = sum(48 <= c <= 57 for c in token), sum(65 <= c <= 90 for c in token), sum(97 <= c <= 122 for c in token)
-        hexadecimal = not token.translate(None, b"0123456789abcdefABCDEF")
-        before = data[max(tokens[i - 1][1] if i else 0, a - 8) : a].decode().strip()
-        after = data[b : min(len(data), b + 1)].decode()
-        names = [
-            f"shape:{_shape(token)}", f"length:{min(len(token) // 4, 16)}", f"digits:{4 * digits // len(token)}", f"upper:{4 * upper // len(token)}", f"lower:{4 * lower // len(token)}",
-            f"hex:{hexadecimal}:{min(len(token) // 8, 6)}", f"kinds:{len(set(token)).bit_length()}:{min(len(token) // 8, 6)}", f"before:{before}", f"after:{after}", f"word-1:{word(i - 1)}", f"word-2:{word(i - 2)}", f"word+1:{_shape(word(i + 1).encode())}", f"starts:{token[:4].decode()}", *file, "bias",
-        ]
-        row = (a, b, [_number(n) for n in names])
-        if out and i - 1 == last:
-            out[-1].append(row)
-        else:
-            out.append([row])
-        last = i
+        before = gap_features(data[tokens[i - 1][1] if i else 0 : a])[0]
+        after = gap_features(data[b : tokens[i + 1][0] if i + 1 < len(tokens) else len(data)])[1]
+        out.append((a, b, [*own_features(data[a:b]), *file, after, near_features(word(i + 1))[2], before, near_features(word(i - 1))[0], near_features(word(i - 2))[1]]))
+    return out
+
+
+def odd_tokens(data: bytes, tokens: list[tuple[int, int]]) -> list[int]:
+    return [i for i, (a, b) in enumerate(tokens) if b - a >= MIN_LENGTH and may_be_secret(data[a:b])]
+
+
+def runs(data: bytes) -> list[list[tuple[int, int, list[int]]]]:
+    """The chain of all tokens, if there are any: each token's start, end and feature numbers."""
+    tokens = [m.span() for m in _TOKEN.finditer(data)]
+    return [features_at(data, tokens, list(range(len(tokens))), file_features(data, len(odd_tokens(data, tokens)), len(tokens)))] if tokens else []
+
+
+def pieces(data: bytes, spans: list[tuple[int, int, int, int]], most: int) -> list[tuple[list[list[int]], list[int]]]:
+    """Features and labels of at most so many pieces of a text's chain, those with a match first."""
+    tokens = [m.span() for m in _TOKEN.finditer(data)]
+    if not tokens:
+        return []
+    odd, starts = odd_tokens(data, tokens), [a for a, _ in tokens]
+    hits = {i for s in spans for i in range(max(0, bisect.bisect_right(starts, s[3]) - 1), bisect.bisect_left(starts, s[2])) if tokens[i][1] > s[3]}
+    place = zlib.crc32(data) % len(tokens)
+    wanted = [(i - AROUND, i + AROUND + 1) for i in sorted(hits)] + [(place, place + ANYWHERE)] + [(i - AROUND_ODD, i + AROUND_ODD + 1) for i in odd if i not in hits]
+    file, out, seen = file_features(data, len(odd), len(tokens)), [], set()
+    for a, b in wanted:
+        at = [i for i in range(max(0, a), min(len(tokens), b)) if i not in seen]
+        if len(out) == most:
+            break
+        # Neighbours in the chain only: what an earlier piece has ends this one.
+        at = [i for k, i in enumerate(at) if i - at[0] == k][:PIECE]
+        if at:
+            seen.update(at)
+            rows = features_at(data, tokens, at, file)
+            labels = labels_of(rows, spans)
+            hide = any(labels) and len(out) % 2 == place % 2
+            out.append(([f[:-3] if hide and y else f for (_, _, f), y in zip(rows, labels, strict=True)], labels))
     return out
 
 
@@ -141,17 +208,43 @@ class Field:
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
         """The best labels of a run; of equal paths the one with smaller labels from the end on."""
-        scores = self.emissions(features)
-        best, back = scores[0] + self.START, []
+        return self.path(self.emissions(features), self.START, np.zeros(3))
+
+    def path(self, scores: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
+        """The best labels of a part of the chain, given the scores of coming to its first label and from its last one."""
+        best, back = scores[0] + start, []
         for row in scores[1:]:
             through = best[:, None] + self.pairs
             back.append(through.argmax(axis=0))
             best = through.max(axis=0) + row
-        labels = [int(best.argmax())]
+        labels = [int((best + end).argmax())]
         for pointers in reversed(back):
             labels.append(int(pointers[labels[-1]]))
         return labels[::-1]
 
+    def margins(self) -> tuple[float, float]:
+        """The most that labels around gain if a token isn't outside: before a token that isn't inside, and before one that is, which would begin then."""
+        pairs = np.zeros((4, 4))  # the last is the end of the chain
+        pairs[:3, :3] = self.pairs
+        pairs[3, INSIDE] = -1e9
+        plain = [pairs[p, x] + pairs[x, q] - pairs[p, OUTSIDE] - pairs[OUTSIDE, q] for p in range(4) for x in (BEGIN, INSIDE) for q in (OUTSIDE, BEGIN, 3)]
+        inside = [pairs[p, x] + pairs[x, INSIDE] + pairs[INSIDE, r] - pairs[p, OUTSIDE] - pairs[OUTSIDE, BEGIN] - pairs[BEGIN, r] for p in range(4) for x in (BEGIN, INSIDE) for r in range(4)]
+        return max(plain), max(inside)
+
+    def decode(self, scores: np.ndarray, margins: tuple[float, float]) -> list[tuple[int, int]]:
+        """(token, label) of all that aren't outside on the best path."""
+        plain, inside = margins
+        ahead = scores[:, OUTSIDE] - scores[:, BEGIN:].max(axis=1)
+        follow = np.full(len(scores), -np.inf)
+        follow[:-1] = scores[1:, INSIDE] - scores[1:, BEGIN]
+        opened = np.flatnonzero(ahead <= np.maximum(plain, inside + follow) + 1e-3)
+        out = []
+        for part in np.split(opened, np.flatnonzero(np.diff(opened) > 1) + 1) if len(opened) else ():
+            start = self.pairs[OUTSIDE] if part[0] else self.START
+            end = self.pairs[:, OUTSIDE] if part[-1] + 1 < len(scores) else np.zeros(3)
+            out += [(i, y) for i, y in zip(part.tolist(), self.path(scores[part], start, end), strict=True) if y != OUTSIDE]
+        return out
+
     def expectations(self, features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of labels, and summed ones of label pairs, by forward and backward sums."""
         scores = self.emissions(features)
@@ -178,10 +271,12 @@ def fit(data: list[tuple[list[list[int]], list[int]]], epochs: int = 6, rate: fl
             features, labels = data[k]
             each, both = field.expectations(features)
             truth = np.eye(3)[labels]
-            for f, g in zip(features, each - truth, strict=True):
-                g = g.astype(np.float32) + decay * field.weights[f]
-                held[f] += g * g
-                field.weights[f] -= rate * g / np.sqrt(held[f])
+            some, place = np.unique(np.concatenate(features), return_inverse=True)
+            g = np.zeros((len(some), 3), np.float32)
+            np.add.at(g, place, np.repeat(each - truth, [len(f) for f in features], axis=0).astype(np.float32))
+            g += decay * field.weights[some]
+            held[some] += g * g
+            field.weights[some] -= rate * g / np.sqrt(held[some])
             for a, b in zip(labels[:-1], labels[1:], strict=True):
                 both[a, b] -= 1
             both[OUTSIDE, INSIDE] = 0
@@ -190,18 +285,84 @@ def fit(data: list[tuple[list[list[int]], list[int]]], epochs: int = 6, rate: fl
     return field
 
 
-def field_spans(data: bytes, field: Field | None, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+class _Scores(dict):
+    """Row numbers of byte strings, and the rows: the summed weights of their first features and the weights of `single` more."""
+
+    def __init__(self, features: Callable[[bytes], list[int]], single: int, weights: np.ndarray):
+        self.features, self.single, self.weights = features, single, weights
+        self.rows, self.odd = np.zeros((1024, 3 * (1 + single)), np.float32), np.zeros(1024, bool)
+
+    def add(self, keys: list[bytes]) -> None:
+        n = len(self)
+        while n + len(keys) > len(self.rows):
+            self.rows, self.odd = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.odd, np.zeros_like(self.odd)])
+        each = self.weights[np.array([self.features(k) for k in keys])]
+        cut = each.shape[1] - self.single
+        self.rows[n : n + len(keys)] = np.concatenate([each[:, :cut].sum(axis=1), each[:, cut:].reshape(len(keys), -1)], axis=1)
+        self.odd[n : n + len(keys)] = [len(k) >= MIN_LENGTH and may_be_secret(k) for k in keys]
+        self.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def numbers(self, keys: list[bytes]) -> np.ndarray:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        at = list(map(self.get, keys))
+        if None in at:
+            self.add([k for k in dict.fromkeys(keys) if k not in self])
+            at = list(map(self.__getitem__, keys))
+        return np.array(at)
+
+
+class Tagger:
+    """A field with the scores of what it has met."""
+
+    def __init__(self, field: Field):
+        self.field, self.margins = field, field.margins()
+        self.tokens = _Scores(lambda t: [*own_features(t), *near_features(t)], 3, field.weights)
+        self.gaps = _Scores(lambda g: [*gap_features(g)], 1, field.weights)
+        self.none = [field.weights[n] for n in near_features(b"")]
+
+    def scores(self, data: bytes, tokens: list[bytes], gaps: list[bytes]) -> np.ndarray:
+        """Emissions of all tokens; `gaps` stand before the first one and after each."""
+        at, between = self.tokens.numbers(tokens), self.gaps.numbers(gaps)
+        own, between = self.tokens.rows[at], self.gaps.rows[between]
+        odd = int(self.tokens.odd[at].sum())
+        out = own[:, :3] + self.field.weights[file_features(data, odd, len(tokens))].sum(axis=0, dtype=np.float64)
+        out += between[:-1, :3]
+        out += between[1:, 3:]
+        one, two, after = self.none
+        out[1:] += own[:-1, 3:6]
+        out[2:] += own[:-2, 6:9]
+        out[:-1] += own[1:, 9:]
+        out[0] += one
+        out[:2] += two
+        out[-1] += after
+        return out
+
+    def labels(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, label) of tokens that aren't outside."""
+        found = _PIECE.findall(data)
+        if not found:
+            return []
+        tokens, gaps = map(list, zip(*found, strict=True))
+        first = len(data) - sum(map(len, tokens)) - sum(map(len, gaps))
+        hits = self.field.decode(self.scores(data, tokens, [data[:first], *gaps]), self.margins)
+        if not hits:
+            return []
+        ends = np.cumsum([first, *(len(t) + len(g) for t, g in found)])
+        return [(int(ends[i]), int(ends[i]) + len(tokens[i]), y) for i, y in hits]
+
+
+def field_spans(data: bytes, field: Field | Tagger | None, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Spans that the field finds and that overlap no base match."""
-    out = []
-    for run in runs(data) if field is not None else ():
-        spans: list[list[int]] = []
-        for (a, b, _), label in zip(run, field.viterbi([f for _, _, f in run]), strict=True):
-            if label == BEGIN:
-                spans.append([a, b])
-            elif label == INSIDE:
-                spans[-1][1] = b
-        out += [(a, 3, b, a) for a, b in spans if not any(s[0] < b and a < s[2] for s in base)]
-    return out
+    if field is None:
+        return []
+    spans: list[list[int]] = []
+    for a, b, label in (field if isinstance(field, Tagger) else Tagger(field)).labels(data):
+        if label == BEGIN:
+            spans.append([a, b])
+        else:
+            spans[-1][1] = b
+    return [(a, 3, b, a) for a, b in spans if not any(s[0] < b and a < s[2] for s in base)]
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 12_000, sample_runs: int = 20) -> Field | None:
@@ -217,20 +378,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
         out = []
         for t in texts_of(batch, 0):
             data = flat(t)
-            spans = base_spans(data)
-            found = [(r, labels_of(r, spans)) for r in runs(data)]
-            # Runs with a secret first, so that a document of many numbers doesn't hide them.
-            found.sort(key=lambda x: not any(x[1]))
-            out.append([{"features": [f for _, _, f in r], "labels": y} for r, y in found[:sample_runs]])
+            out.append([{"features": f, "labels": y} for f, y in pieces(data, base_spans(data), sample_runs)])
         return [pa.array(out, pa.list_(pa.struct([("features", pa.list_(pa.list_(pa.int32()))), ("labels", pa.list_(pa.int32()))])))]
 
     found = map_columns(rows, ["_text"], run, "runs array<struct<features:array<array<int>>,labels:array<int>>>", [doc_id]).where(F.size("runs") > 0)
-    # A run past 64 tokens is a table of numbers: it tells no more about secrets.
-    sample = [(r["features"], r["labels"]) for row in sorted(found.limit(sample_docs).collect(), key=lambda row: (row[doc_id] is None, row[doc_id])) for r in row["runs"] if len(r["labels"]) <= 64]
+    sample = [(r["features"], r["labels"]) for row in sorted(found.limit(sample_docs).collect(), key=lambda row: (row[doc_id] is None, row[doc_id])) for r in row["runs"]]
     return fit(sample) if any(any(y) for _, y in sample) else None
 
 
-def _all_spans(text: str | None, field: Field | None) -> tuple[list, list]:
+def _all_spans(text: str | None, field: Field | Tagger | None) -> tuple[list, list]:
     data = flat(text)
     base = base_spans(data)
     return base, sorted([*base, *field_spans(data, field, base)]) if field is not None else base
@@ -243,7 +399,7 @@ def scan(docs: DataFrame, field: Field | None, text: str = "text", keep: list[st
     rows = lambda spans: [{"kind": KINDS[k], "start": a, "end": b, "secret_start": s} for a, k, b, s in spans]
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = worker_object(("field", held.id), lambda: held.value)
+        own = worker_object(("field", held.id), lambda: held.value and Tagger(held.value))
         both = [_all_spans(t, own) for t in texts_of(batch, 0)]
         return [pa.array([rows(b) for b, _ in both], kind), pa.array([rows(f) for _, f in both], kind)]
 
@@ -264,7 +420,7 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def masked(text: str | None, field: Field | None, mark: str = "[SECRET]") -> str | None:
+def masked(text: str | None, field: Field | Tagger | None, mark: str = "[SECRET]") -> str | None:
     """The text with each found secret replaced; of an assignment only the value. Overlapping ones become one mark."""
     spans = sorted((s, b) for _, _, b, s in _all_spans(text, field)[1])
     if not spans:
@@ -282,7 +438,7 @@ def mask(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     held = Shipped(docs.sparkSession, field)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = worker_object(("field", held.id), lambda: held.value)
+        own = worker_object(("field", held.id), lambda: held.value and Tagger(held.value))
         return [pa.array([masked(t, own) for t in batch.column(0).to_pylist()], pa.string())]
 
     return map_columns(docs, [text], run, f"`{text}` string").select(*docs.columns)

@@ -76,6 +76,33 @@ def test_field_on_held_out(spark):
     assert all(s[1] == 3 for s in secrets.field_spans(hidden, field, []))
 
 
+def test_hidden_secrets_are_found():
+    """Secrets that the base can't see, of letters only too, and the same labels as Viterbi over all tokens."""
+    rng = random.Random(3)
+    words = "the of it house river and then see value mail was near from about which".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    key = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    text = lambda: f"{some(9)} {rng.choice(['token = ' + key(24), 'password: ' + key(24), 'Item' + str(rng.randrange(10**6))])} {some(9)}"
+    sample = []
+    for _ in range(400):
+        data = secrets.flat(text())
+        sample += secrets.pieces(data, secrets.base_spans(data), 20)
+    field = secrets.fit(sample)
+    found = 0
+    for _ in range(50):
+        head = some(7) + " "
+        hidden, value = secrets.flat(f"{head}{key(24)} {some(6)}"), (len(head), 3, len(head) + 24, len(head))
+        assert not secrets.base_spans(hidden)
+        found += secrets.field_spans(hidden, field, []) == [value]
+        clean = secrets.flat(some(30))
+        assert not secrets.field_spans(clean, field, [])
+    assert found >= 45
+    for data in [secrets.flat(text()) for _ in range(50)] + [b"one", b"  a= b", hidden]:
+        (chain,) = secrets.runs(data)
+        want = [(a, b, y) for (a, b, _), y in zip(chain, field.viterbi([f for _, _, f in chain]), strict=True) if y]
+        assert secrets.Tagger(field).labels(data) == want
+
+
 def brute_hits(text, items, width=10):
     low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
