@@ -12,12 +12,12 @@ for is outside on the best path; the path splits there, and only what lies betwe
 decoded step by step.  The result is that of Viterbi over the whole text.
 
 The field is fitted by stochastic gradient on the log-likelihood of a bounded sample:
-the `sample_docs` documents with the smallest hash of their id, at most
-`sample_runs` pieces of each text's chain, labelled by the base: those around base
+half of the `sample_docs` documents are those with a base match and the smallest hash of their
+id, half those of the smallest hash among all, at most `sample_runs` pieces of each text's chain, labelled by the base: those around base
 matches, those around other tokens with digits or inner capitals, and one at a place that the text's
 checksum tells.  Every second piece with a match hides what stands before the secret, the
-assignment's name too, so that the secret's own form is learned.  A corpus without any base match in
-the sample gets no field, and only base spans are reported.
+assignment's name too, so that the secret's own form is learned.  A corpus without any base match
+gets no field, and only base spans are reported.
 
 Offsets count code points, ends are exclusive.  Null and empty texts have no spans.
 Every row is handled alone, so ties, repeated rows and extra columns have no effect.
@@ -366,11 +366,19 @@ def field_spans(data: bytes, field: Field | Tagger | None, base: list[tuple[int,
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 12_000, sample_runs: int = 20) -> Field | None:
-    """The field, from the sample; None if the base finds nothing there."""
+    """The field, from the sample; None if the base finds nothing in any document with an id."""
     order = [F.xxhash64(F.col(doc_id)), F.col(doc_id)]
-    ids = [r[0] for r in docs.select(doc_id).orderBy(*order).limit(sample_docs).collect()]
+
+    def flag(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([bool(base_spans(flat(t))) for t in texts_of(batch, 0)], pa.bool_())]
+
+    known = docs.where(F.col(doc_id).isNotNull())
+    matched = map_columns(known.select(F.col(doc_id), F.col(text).alias("_text")), ["_text"], flag, "_hit boolean", [doc_id]).where("_hit")
+    half = -(-sample_docs // 2)
+    ids = [r[0] for r in matched.select(doc_id).distinct().orderBy(*order).limit(half).collect()]
     if not ids:
         return None
+    ids += [r[0] for r in known.select(doc_id).orderBy(*order).limit(half).collect()]
     few = docs.sparkSession.createDataFrame([(i,) for i in set(ids)], docs.select(doc_id).schema)
     rows = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(few), doc_id)
 

@@ -103,6 +103,14 @@ def test_hidden_secrets_are_found():
         assert secrets.Tagger(field).labels(data) == want
 
 
+def test_rare_secret_gives_a_field(spark):
+    """The one document with a match isn't among the smallest hashes."""
+    ids = [r["id"] for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]
+    docs = spark.createDataFrame([(i, f"see number {i} here" + (" token = abcdefghijklmnop" if i == ids[-1] else "")) for i in ids], "doc_id long, text string")
+    assert secrets.train(docs, sample_docs=20) is not None
+    assert secrets.train(docs.where(F.col("doc_id") != ids[-1]), sample_docs=20) is None
+
+
 def brute_hits(text, items, width=10):
     low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
