@@ -10,8 +10,8 @@ from chronoweave.functions import dates, text, vectors
 from chronoweave.operators.grounding import best
 from chronoweave.sources.graph import COLUMNS
 
-#: Largest number of neighbours; a literal bound is what lets partitions prune before the shuffle.
-BOUND = 1000
+#: The bound of numbers of neighbours that are a column, if the caller knows none: all are kept.
+BOUND = 2**31 - 1
 LARGE, K_LARGE = 1000, 80
 
 
@@ -21,13 +21,14 @@ def effective_k(fq: DataFrame, k: int, lang: str) -> DataFrame:
     return fq.groupBy("qid").agg(F.when((F.lit(lang) == "vi") & (n > LARGE), F.greatest(F.lit(k), F.lit(K_LARGE))).otherwise(k).alias("k"))
 
 
-def knn(fq: DataFrame, anchors: DataFrame, k: int | str = 40) -> DataFrame:
+def knn(fq: DataFrame, anchors: DataFrame, k: int | str = 40, bound: int = BOUND) -> DataFrame:
     """Facts among the k nearest in time to any of the question's anchors; a question without anchors keeps all.
 
-    `fq` has d and pos, `anchors` is (qid, anchor); `k` a number or a column of `fq`. Ties go by pos."""
+    `fq` has d and pos, `anchors` is (qid, anchor); `k` a number or a column of `fq`. Ties go by pos.
+    `bound` is the largest number that the column has: a literal bound is what lets partitions prune before the shuffle."""
     near = fq.join(anchors.distinct(), "qid").withColumn("dist", dates.distance(F.col("d"), F.col("anchor")))
     own = F.lit(k) if isinstance(k, int) else F.col(k)
-    bound = k if isinstance(k, int) else BOUND
+    bound = k if isinstance(k, int) else bound
     kept = best(near, ["qid", "anchor"], bound, [F.col("dist"), F.col("pos")], "_rank").where(F.col("_rank") <= own)
     kept = kept.select(*fq.columns).distinct()
     free = fq.join(anchors.select("qid").distinct(), "qid", "left_anti")

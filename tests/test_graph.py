@@ -54,6 +54,15 @@ def test_nearest_in_time(spark, facts):
     assert {r["o"] for r in chain.knn(ks, anchors, "k").collect()} == {"Beta"}
 
 
+def test_more_than_a_thousand_neighbours(spark):
+    fq = graph.dated(subgraph.in_order(spark.range(1100).selectExpr("'q' qid", "'a' s", "'p' p", "concat('o', id) o", "'2001-01-01' ts")))
+    anchors = fq.select("qid", F.col("d").alias("anchor")).distinct()
+    assert chain.knn(fq.withColumn("k", F.lit(1050)), anchors, "k").count() == 1050
+    plan = TemporalQA(fq.select("s", "p", "o", "ts"), RunSpec(k=1050))
+    questions = spark.sql("select 'q' qid, 'which' question, 'a' main, array('a') aux")
+    assert plan.spec.neighbours == 1050 and plan.stage2(questions, fq, anchors).count() == 1050
+
+
 def test_grounding(spark):
     names = spark.createDataFrame([("A_b",), ("a_b",), ("Iran",)], "entity string")
     said = spark.createDataFrame([(1, " a B "), (2, "nobody"), (3, "Iran")], "i int, mention string")
