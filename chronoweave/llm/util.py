@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import hashlib
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
@@ -84,20 +85,71 @@ def _q(name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share: the cluster's `spark.checkpoint.dir`; one below the working folder only where that is unset, as in tests."""
+    """The checkpoint folder that all executors share: the cluster's `spark.checkpoint.dir`.
+
+    Where that is unset, one below the working folder in local mode; an error on a cluster, whose executors wouldn't see it."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{Path.cwd()}/spark-warehouse/checkpoints")
-    return context._jsc.sc().getCheckpointDir().get()
+    if not context.getCheckpointDir():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(f"{Path.cwd()}/spark-warehouse/checkpoints")
+    return context.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, whichever it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_LISTS: list[list[tuple[SparkSession, str]]] = []
+#: Set while a table is written: its shuffle files go when it is complete.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What `cut` writes inside is deleted at the end; results must have been stored by then."""
+    _LISTS.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _LISTS.pop():
+            delete(spark, path)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle and checkpoint files of tables that are no longer held: it does so only after the driver's garbage collection, and rounds of many small tables would pile them up until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def written(df: DataFrame, spark: SparkSession) -> str:
+    """The path of `df` written as a table in the shared folder."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _LISTS:
+        _LISTS[-1].append((spark, path))
+    return path
 
 
 def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Materialises `df` in the shared folder and cuts its lineage."""
-    shared_folder(spark)
-    return df.checkpoint(eager=True)
+    """`df` as a table in the shared folder: its lineage ends there, so a lost executor costs a read."""
+    return spark.read.schema(df.schema).parquet(written(df, spark))
+
+
+class Rounds:
+    """Tables of a computation in rounds: `keep` replaces the one of the same name, whose files go."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = written(df, self.spark)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                delete(self.spark, self.paths.pop(name))
