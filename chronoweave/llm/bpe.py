@@ -22,9 +22,11 @@ extra columns have no effect; columns named like an output are replaced.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,15 @@ from pyspark.sql import DataFrame
 
 from chronoweave.llm.util import Shipped, file_bytes, map_columns, texts_of, worker_object
 
-MEMO_ENTRIES = 300_000
-STATE_ENTRIES = 180_000
-PAIR_ENTRIES = 400_000
+#: What a worker keeps: outputs by text and the longest text, states, chains and pairs of the machine.
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 64
+STATE_ENTRIES, CHAIN_ENTRIES, PAIR_ENTRIES = 400_000, 300_000, 400_000
+#: Bytes of pre-tokens that are encoded in one call, and when the few that are left of one go alone.
+CALL_BYTES = 1 << 20
+LONG, FEW = 64, 4
+
+_LOW = 0xFFFFFFFF
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -54,140 +62,277 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = Non
     return parts
 
 
-class Transducer:
-    """Lazily determinised tokeniser of one rank table.
+class _Table:
+    """Integers by integer key, in sorted arrays: a large one, and a small one of the latest keys."""
 
-    `encode(piece)` gives the ids of one pre-token.  The machine's tables are
-    dropped and rebuilt when `STATE_ENTRIES` is passed; results don't change.
-    """
+    def __init__(self, keys: np.ndarray | None = None, values: np.ndarray | None = None):
+        none = np.zeros(0, np.int64)
+        order = np.argsort(keys) if keys is not None else none
+        self.large = (keys[order], values[order]) if keys is not None else (none, none)
+        self.small = (none, none)
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 where a key is missing."""
+        out = np.full(len(keys), -1, np.int64)
+        for own, values in (self.large, self.small):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                out = np.where(own[at] == keys, values[at], out)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once, in order."""
+        at = np.searchsorted(self.small[0], keys)
+        self.small = np.insert(self.small[0], at, keys), np.insert(self.small[1], at, values)
+        if 8 * len(self.small[0]) > len(self.large[0]) + 8192:
+            at = np.searchsorted(self.large[0], self.small[0])
+            self.large = np.insert(self.large[0], at, self.small[0]), np.insert(self.large[1], at, self.small[1])
+            self.small = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, first: list[int]):
+        self.held, self.used = np.zeros(1024, np.int64), 0
+        self.extend(np.array(first, np.int64))
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held[: self.used], np.zeros(end, np.int64)])
+        self.held[self.used : end] = values
+        self.used = end
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many each."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
+class Compiled:
+    """What the driver makes of a rank table, for the workers: the trie, which two tokens each token's own merge joins, and all pairs of tokens that join to one."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.token_bytes = {i: b for b, i in ranks.items()}
-        self.next: dict[int, int] = {}
-        self.token_at = [-1]
-        self.branches = [0]
+        children: dict[int, int] = {}
+        token_at, branches, size = [-1], [0], max(ranks.values(), default=-1) + 1
+        joins: dict[int, int] = {}
+        self.halves = np.full((size, 2), -1, np.int64)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                child = self.next.get(node << 8 | byte)
+                child = children.get(node << 8 | byte)
                 if child is None:
-                    child = self.next[node << 8 | byte] = len(self.token_at)
-                    self.token_at.append(-1)
-                    self.branches.append(0)
-                    self.branches[node] += 1
+                    child = children[node << 8 | byte] = len(token_at)
+                    token_at.append(-1)
+                    branches.append(0)
+                    branches[node] += 1
                 node = child
-            self.token_at[node] = rank
-        self.splits: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[int, bool] = {}  # key: left << 32 | right
+            token_at[node] = rank
+            cuts = [(ranks[token[:k]], ranks[token[k:]]) for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
+            joins |= {a << 32 | b: rank for a, b in cuts}
+            if len(cuts) > 1:
+                parts = merge_by_rank(token, ranks, rank)
+                cuts = [(ranks[parts[0]], ranks[parts[1]])] if len(parts) == 2 else []
+            if cuts:
+                self.halves[rank] = cuts[0]
+        table = lambda d: _Table(np.fromiter(d.keys(), np.int64, len(d)), np.fromiter(d.values(), np.int64, len(d)))
+        self.trie, self.joins = table(children), table(joins)
+        self.token_at, self.branches = np.array(token_at, np.int64), np.array(branches) > 0
+
+    def stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the joined bytes of two tokens gives the two again.
+
+        The merges that built both are undone from the latest back; one across the border must not come before those still undone."""
+        out, at, limit = np.zeros(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 60)
+        while len(at):
+            joined = self.joins.get(left << 32 | right)
+            a, b = self.halves[left], self.halves[right]
+            over = (a[:, 0] < 0) & (b[:, 0] < 0)
+            fails = (joined >= 0) & (joined < limit)
+            out[at[over & ~fails]] = True
+            # Merges run by rank, then from the left: of two equal ranks the right one came last.
+            from_left = (b[:, 0] < 0) | (a[:, 0] >= 0) & (left > right)
+            limit = np.where(from_left, left, right + 1)
+            left, right = np.where(from_left, a[:, 1], left), np.where(from_left, right, b[:, 0])
+            stays = ~(over | fails)
+            at, left, right, limit = at[stays], left[stays], right[stays], limit[stays]
+        return out
+
+
+class Transducer:
+    """Lazily determinised tokeniser of one rank table.
+
+    `encode_many(pieces)` gives the ids of pre-tokens, which go through the machine side by side,
+    one byte of each at a time; only moves that no piece has taken before are computed, all those of a step at once.
+    A state is a range of rows (trie node, last token, pending tokens), one for each live path; states are
+    told apart by a 64-bit hash of their rows.  Sequences of tokens are chains, numbered by (chain without its
+    last token, last token).  The tables are dropped and rebuilt when `STATE_ENTRIES` or `CHAIN_ENTRIES` is
+    passed; results don't change.
+    """
+
+    def __init__(self, compiled: Compiled):
+        self.compiled, self.pairs = compiled, _Table()  # key of a pair: left << 32 | right
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1, ()),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.moves: dict[int, tuple[int, str]] = {}
-        self.finals: dict[int, str] = {}
+        self.chains, self.texts, self.head, self.tail = _Table(), [""], _Column([-1]), _Column([0])
+        self.node, self.last, self.pending = _Column([0]), _Column([-1]), _Column([0])
+        self.start, self.count, self.final = _Column([0]), _Column([1]), _Column([0])
+        self.numbers, self.moves = _Table(), _Table()
         if len(self.pairs) > PAIR_ENTRIES:
-            self.pairs.clear()
-
-    def split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens that the token's own merge joins, None for a single byte."""
-        if token not in self.splits:
-            parts = merge_by_rank(self.token_bytes[token], self.ranks, token)
-            self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
-        return self.splits[token]
-
-    def may_follow(self, left: int, right: int) -> bool:
-        """Whether merging the joined bytes of both gives (left, right) again.
-
-        The merges that built both tokens are undone from the latest back; a
-        merge across the border must not come before those still undone."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self._may_follow(left, right)
-        return found
-
-    def _may_follow(self, left: int, right: int) -> bool:
-        limit = 1 << 60
+            self.pairs = _Table()
+
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the joined bytes of both gives (left, right) again; -1 on the left is the start."""
+        keys = left << 32 | right
+        found = np.where(left < 0, 1, self.pairs.get(keys))
+        new = np.unique(keys[found < 0])
+        if len(new):
+            self.pairs.add(new, self.compiled.stable(new >> 32, new & _LOW).astype(np.int64))
+            found = np.where(left < 0, 1, self.pairs.get(keys))
+        return found > 0
+
+    def extended(self, chains: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The chains with one token more each."""
+        keys, at = np.unique(chains << 32 | tokens, return_inverse=True)
+        found = self.chains.get(keys)
+        new = keys[found < 0]
+        if len(new):
+            long = new[new >> 32 > 0]
+            if len(long):
+                self.extended(self.tail[long >> 32], long & _LOW)
+            new = new[self.chains.get(new) < 0]
+            before, token = new >> 32, new & _LOW
+            self.chains.add(new, len(self.texts) + np.arange(len(new)))
+            texts = self.texts
+            texts += [f"{texts[b]} {t}" for b, t in zip(before.tolist(), token.tolist(), strict=True)]
+            self.head.extend(np.where(before > 0, self.head[before], token))
+            self.tail.extend(np.where(before > 0, self.chains.get(self.tail[before] << 32 | token), 0))
+            found = self.chains.get(keys)
+        return found[at]
+
+    def _determinise(self, keys: np.ndarray) -> np.ndarray:
+        """Moves (state << 32 | chain that is emitted) of keys (state << 8 | byte)."""
+        m = len(keys)
+        counts = self.count[keys >> 8]
+        owner, rows = np.repeat(np.arange(m), counts), _ragged(self.start[keys >> 8], counts)
+        child = self.compiled.trie.get(self.node[rows] << 8 | (keys & 255)[owner])
+        live = np.flatnonzero(child >= 0)
+        owner, child, last, pending = owner[live], child[live], self.last[rows[live]], self.pending[rows[live]]
+        token = self.compiled.token_at[child]
+        ends = np.flatnonzero(token >= 0)
+        ends, on = ends[self.may_follow(last[ends], token[ends])], np.flatnonzero(self.compiled.branches[child])
+        pending = np.concatenate([self.extended(pending[ends], token[ends]), pending[on]])
+        last = np.concatenate([token[ends], last[on]])
+        node = np.concatenate([np.zeros(len(ends), np.int64), child[on]])
+        owner = np.concatenate([owner[ends], owner[on]])
+        # Paths of a state have different nodes: in the order of these, equal states have equal rows.
+        order = np.lexsort((node, owner))
+        owner, node, last, pending = owner[order], node[order], last[order], pending[order]
+        begins = np.searchsorted(owner, np.arange(m))
+        if len(np.unique(owner)) < m:
+            raise ValueError("the rank table lacks a byte")
+        out = np.zeros(m, np.int64)
         while True:
-            joined = self.ranks.get(self.token_bytes[left] + self.token_bytes[right])
-            if joined is not None and joined < limit:
-                return False
-            a, b = self.split(left), self.split(right)
-            if a is None and b is None:
-                return True
-            # Merges run by rank, then from the left: of two equal ranks the right one came last.
-            if b is None or a is not None and left > right:
-                limit, left = left, a[1]
-            else:
-                limit, right = right + 1, b[0]
-
-    def _move(self, state: int, byte: int) -> tuple[int, str]:
-        paths = []
-        for node, last, pending in self.states[state]:
-            child = self.next.get(node << 8 | byte)
-            if child is None:
-                continue
-            token = self.token_at[child]
-            if token >= 0 and (last < 0 or self.may_follow(last, token)):
-                paths.append((0, token, (*pending, token)))
-            if self.branches[child]:
-                paths.append((child, last, pending))
-        first = paths[0][2]
-        shared = len(first)
-        for _, _, pending in paths[1:]:
-            k = 0
-            while k < shared and k < len(pending) and pending[k] == first[k]:
-                k += 1
-            shared = k
-        after = tuple((node, last, pending[shared:]) for node, last, pending in paths)
-        number = self.number.get(after)
-        if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-        move = self.moves[state << 8 | byte] = (number, "".join([f" {t}" for t in first[:shared]]) if shared else "")
-        return move
-
-    def _final(self, state: int) -> str:
-        ended = next(pending for node, last, pending in self.states[state] if node == 0)
-        self.finals[state] = text = "".join(f" {t}" for t in ended)
-        return text
-
-    def encode_text(self, piece: bytes) -> str:
-        """The ids of one pre-token in decimal, each after a blank."""
-        if len(self.states) > STATE_ENTRIES or len(self.pairs) > 2 * PAIR_ENTRIES:
+            first = self.head[pending]
+            shared = np.minimum.reduceat(first, begins)
+            same = (shared >= 0) & (shared == np.maximum.reduceat(first, begins))
+            if not same.any():
+                break
+            out[same] = self.extended(out[same], shared[same])
+            pending = np.where(same[owner], self.tail[pending], pending)
+        h = node.astype(np.uint64) * _MIX[0]
+        for column in (last, pending):
+            h = (h ^ h >> np.uint64(32)) + column.astype(np.uint64) + np.uint64(7)
+            h *= _MIX[1]
+        h = (h ^ h >> np.uint64(29)) * _MIX[0]
+        hashes, first, at = np.unique(np.add.reduceat(h, begins).view(np.int64), return_index=True, return_inverse=True)
+        numbers = self.numbers.get(hashes)
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            numbers[fresh] = self.start.used + np.arange(len(fresh))
+            self.numbers.add(hashes[fresh], numbers[fresh])
+            sizes = np.diff(np.append(begins, len(owner)))[first[fresh]]
+            rows = _ragged(begins[first[fresh]], sizes)
+            self.start.extend(self.node.used + np.cumsum(sizes) - sizes)
+            self.count.extend(sizes)
+            self.final.extend(np.where(node[begins[first[fresh]]] == 0, pending[begins[first[fresh]]], -1))
+            for column, values in ((self.node, node), (self.last, last), (self.pending, pending)):
+                column.extend(values[rows])
+        return numbers[at] << 32 | out
+
+    def encode_many(self, pieces: list[bytes]) -> list[str]:
+        """The ids of each pre-token in decimal, each after a blank."""
+        if self.start.used > STATE_ENTRIES or len(self.texts) > CHAIN_ENTRIES or len(self.pairs) > 2 * PAIR_ENTRIES:
             self.reset()
-        state, out, moves = 0, [], self.moves
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data, begins = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), np.cumsum(sizes) - sizes
+        active, state, steps, level, rest = np.argsort(-sizes, kind="stable"), np.zeros(len(pieces), np.int64), [], 0, {}
+        while True:
+            active = active[: np.searchsorted(-sizes[active], -level)]
+            if level >= LONG and len(active) < FEW:
+                rest = {i: "".join(f" {t}" for t in self._follow(int(state[i]), pieces[i][level:])) for i in active.tolist()}
+                break
+            if not len(active):
+                break
+            keys, at = np.unique(state[active] << 8 | data[begins[active] + level], return_inverse=True)
+            moves = self.moves.get(keys)
+            new = moves < 0
+            if new.any():
+                moves[new] = self._determinise(keys[new])
+                self.moves.add(keys[new], moves[new])
+            moves = moves[at]
+            state[active] = moves >> 32
+            emits = moves & _LOW
+            steps.append((active[emits > 0], emits[emits > 0]))
+            level += 1
+        ended = self.final[state]
+        ended[list(rest)] = 0
+        steps.append((np.flatnonzero(ended), ended[ended != 0]))
+        owner, chain = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(owner, kind="stable")
+        texts, ends = [self.texts[c] for c in chain[order].tolist()], np.searchsorted(owner[order], np.arange(len(pieces) + 1)).tolist()
+        out = ["".join(texts[a:b]) for a, b in pairwise(ends)]
+        for i, text in rest.items():
+            out[i] += text
+        return out
+
+    def stream(self, piece: bytes) -> Iterator[int]:
+        """The ids of one pre-token, each as soon as all live paths share it."""
+        return self._follow(0, piece)
+
+    def _follow(self, state: int, piece: bytes) -> Iterator[int]:
+        """The ids from a state on, path by path and without keeping states: for the few pre-tokens that are long."""
+        rows = slice(int(self.start.held[state]), int(self.start.held[state] + self.count.held[state]))
+        paths = [(node, last, tuple(map(int, self.texts[p].split()))) for node, last, p in zip(self.node.held[rows].tolist(), self.last.held[rows].tolist(), self.pending.held[rows].tolist(), strict=True)]
         for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out.append(move[1])
-        out.append(self.finals[state] if state in self.finals else self._final(state))
-        return "".join(out)
+            nodes, lasts = np.array([p[0] for p in paths]), np.array([p[1] for p in paths])
+            child = self.compiled.trie.get(nodes << 8 | byte)
+            token = self.compiled.token_at[child]
+            ends = (child >= 0) & (token >= 0)
+            ends[ends] = self.may_follow(lasts[ends], token[ends])
+            on = (child >= 0) & self.compiled.branches[child]
+            paths = [(0, t, (*p[2], t)) for p, t, e in zip(paths, token.tolist(), ends, strict=True) if e] + [(c, *p[1:]) for p, c, o in zip(paths, child.tolist(), on, strict=True) if o]
+            if not paths:
+                raise ValueError("the rank table lacks a byte")
+            shared = 0
+            for step in zip(*(p[2] for p in paths), strict=False):
+                if len(set(step)) > 1:
+                    break
+                shared += 1
+            yield from paths[0][2][:shared]
+            paths = [(node, last, pending[shared:]) for node, last, pending in paths]
+        yield from next(pending for node, _, pending in paths if node == 0)
 
     def encode(self, piece: bytes) -> list[int]:
-        return [int(x) for x in self.encode_text(piece).split()]
-
-
-class Memo(dict):
-    """Outputs by text: when half of `MEMO_ENTRIES` are new, only those that were looked up since the last time stay."""
-
-    def __init__(self, compute):
-        self.compute, self.old = compute, {}
-
-    def __missing__(self, text: str) -> str:
-        found = self.old.get(text)
-        if found is None:
-            found = self.compute(text)
-        if len(text) <= 64:
-            if len(self) >= MEMO_ENTRIES // 2:
-                self.old = dict(self)
-                self.clear()
-            self[text] = found
-        return found
+        return [int(x) for x in self.encode_many([piece])[0].split()]
 
 
 class Encoder:
@@ -195,24 +340,70 @@ class Encoder:
 
     Between two single blanks the pattern's matches depend on nothing outside,
     so outputs are kept by such stretches; texts with wider white space are
-    split by the pattern itself.  `MEMO_ENTRIES` bounds what is kept.
+    split by the pattern itself.  Of a block of texts only what isn't kept yet goes through the machine, in one call.
+    `MEMO_ENTRIES` and `MEMO_CHARS` bound what is kept from one block to the next.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    def __init__(self, compiled: Compiled, pattern: str):
+        self.machine = Transducer(compiled)
         self.matches = regex.compile(pattern).findall
-        self.pieces = Memo(lambda piece: self.machine.encode_text(piece.encode()))
-        self.stretches = Memo(lambda part: self._split(" " + part))
-
-    def _split(self, text: str) -> str:
-        return "".join(map(self.pieces.__getitem__, self.matches(text)))
+        self.stretches: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
+
+    def encode_texts(self, texts: list[str]) -> list[str]:
+        """Decimal ids joined by one blank, of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and looking for cycles among all that is kept takes a fifth of the time
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[str]) -> list[str]:
+        split = [None if _wide(t) else t.split(" ") for t in texts]
+        whole = [self.matches(t) if parts is None else self.matches(parts[0]) for t, parts in zip(texts, split, strict=True)]
+        used = set(chain.from_iterable(islice(p, 1, None) for p in split if p))
+        fresh = list(used.difference(self.stretches))
+        # One call for all: the matches of a stretch are those that end within it.
+        matches = self.matches(" " + " ".join(fresh)) if fresh else []
+        ends = np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches)))
+        cuts = [0, *(np.searchsorted(ends, np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1)) + 1).tolist()]
+        single = [k for k, (a, b) in enumerate(pairwise(cuts)) if b - a == 1]
+        several = [k for k, (a, b) in enumerate(pairwise(cuts)) if b - a > 1]
+        used_pieces = {*chain.from_iterable(whole), *(p for k in several for p in matches[cuts[k] : cuts[k + 1]])}
+        pieces = list(used_pieces.difference(self.pieces))
+        ids = self._encoded([*pieces, *(matches[cuts[k]] for k in single)])
+        self.pieces.update(zip(pieces, ids))
+        self.stretches.update(zip((fresh[k] for k in single), ids[len(pieces) :], strict=True))
+        piece, stretch = self.pieces.__getitem__, self.stretches.__getitem__
+        self.stretches.update((fresh[k], "".join(map(piece, matches[cuts[k] : cuts[k + 1]]))) for k in several)
+        out = ["".join([*map(piece, first), *map(stretch, islice(parts or (), 1, None))])[1:] for first, parts in zip(whole, split, strict=True)]
+        self.stretches, self.pieces = _bounded(self.stretches, fresh, used), _bounded(self.pieces, pieces, used_pieces)
+        return out
+
+    def _encoded(self, pieces: list[str]) -> list[str]:
+        """In calls of at most so many bytes that the machine's tables stay bounded."""
+        out, block, size = [], [], 0
+        for p in pieces:
+            data = p.encode()
+            if block and size + len(data) > CALL_BYTES:
+                out += self.machine.encode_many(block)
+                block, size = [], 0
+            block.append(data)
+            size += len(data)
+        return out + (self.machine.encode_many(block) if block else [])
 
     def encode_text(self, text: str) -> str:
-        """Decimal ids joined by one blank."""
-        if _wide(text):
-            return self._split(text)[1:]
-        first, *rest = text.split(" ")
-        return (self._split(first) + "".join(map(self.stretches.__getitem__, rest)))[1:]
+        return self.encode_texts([text])[0]
+
+
+def _bounded(memo: dict[str, str], fresh: list[str], used: set[str]) -> dict[str, str]:
+    """`memo` without long keys, and if it is full, only what the last block has used."""
+    for key in fresh:
+        if len(key) > MEMO_CHARS:
+            del memo[key]
+    return {k: memo[k] for k in used.intersection(memo)} if len(memo) > MEMO_ENTRIES else memo
 
 
 #: White space other than blanks and line feeds, which may stand beside a blank.
@@ -316,21 +507,28 @@ class Decoder:
         return "".join([*(machine.feed(self.decode_bytes(ids[k : k + block])) for k in range(0, len(ids), block)), machine.close()])
 
 
-def _coder(vocabulary, pattern: str) -> tuple[Encoder, Decoder]:
-    def build():
-        ranks = read_ranks(vocabulary.value)
-        return Encoder(ranks, pattern), Decoder(ranks)
+class _Shipped:
+    """A compiled rank table for the workers; each keeps one coder of it."""
+
+    def __init__(self, df: DataFrame, path: str, pattern: str):
+        ranks = read_ranks(file_bytes(path))
+        self.held, self.pattern = Shipped(df.sparkSession, (Compiled(ranks), Decoder(ranks))), pattern
+
+    def coder(self) -> tuple[Encoder, Decoder]:
+        def build():
+            compiled, decoder = self.held.value
+            return Encoder(compiled, self.pattern), decoder
 
-    return worker_object(("bpe", vocabulary.id, pattern), build)
+        return worker_object(("bpe", self.held.id, self.pattern), build)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds `ids` (array<int>) and `n_tokens` (long) to each row."""
-    vocabulary = Shipped(df.sparkSession, file_bytes(path))
+    vocabulary = _Shipped(df, path, pattern)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder = _coder(vocabulary, pattern)[0]
-        ids = [np.array(encoder.encode_text(t).split(), dtype=np.int32) for t in texts_of(batch, 0)]
+        encoder = vocabulary.coder()[0]
+        ids = [np.fromstring(t, dtype=np.int32, sep=" ") for t in encoder.encode_texts(texts_of(batch, 0))]
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))), pa.array(np.diff(ends).astype(np.int64))]
 
@@ -339,10 +537,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds `decoded` (string) to each row."""
-    vocabulary = Shipped(df.sparkSession, file_bytes(path))
+    vocabulary = _Shipped(df, path, "")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        decoder = _coder(vocabulary, "")[1]
+        decoder = vocabulary.coder()[1]
         return [pa.array([decoder.decode(np.array(row or (), dtype=np.int64)) for row in batch.column(0).to_pylist()], pa.string())]
 
     return map_columns(df, [ids], run, "decoded string")
@@ -350,13 +548,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256: both operators in one pass, without their arrays between."""
-    vocabulary = Shipped(df.sparkSession, file_bytes(path))
+    vocabulary = _Shipped(df, path, pattern)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder, decoder = _coder(vocabulary, pattern)
+        encoder, decoder = vocabulary.coder()
         counts, digests, decoded = [], [], []
-        for t in texts_of(batch, 0):
-            ids = encoder.encode_text(t)
+        for ids in encoder.encode_texts(texts_of(batch, 0)):
             counts.append(ids.count(" ") + bool(ids))
             digests.append(hashlib.sha256(ids.encode()).hexdigest())
             decoded.append(hashlib.sha256(decoder.decode(np.fromstring(ids, dtype=np.int32, sep=" ")).encode()).hexdigest())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import hashlib
 import pickle
 import uuid
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 #: Largest file or table of parameters that is broadcast.
 MAX_BROADCAST_BYTES = 64 << 20
 
+#: Rows that are computed at once: a worker holds Python objects of so many texts, not of a whole Arrow batch.
+BLOCK_ROWS = 512
+
 _OBJECTS: dict[Any, Any] = {}
 #: Bounded dictionaries of modules, which `worker_object` empties.
 MEMOS: list[dict] = []
@@ -28,13 +33,23 @@ def worker_object(key: Any, build: Callable[[], Any]) -> Any:
 
     Workers outlive stages: what another operator has left, its object and the memos, goes first."""
     if key not in _OBJECTS:
-        _OBJECTS.clear()
-        for memo in MEMOS:
-            memo.clear()
+        if _OBJECTS:
+            _OBJECTS.clear()
+            for memo in MEMOS:
+                memo.clear()
+            _give_back()
         _OBJECTS[key] = build()
     return _OBJECTS[key]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Shipped:
     """A broadcast value with an id that workers can key by: equal values have equal ids."""
 
@@ -73,8 +88,9 @@ def map_columns(df: DataFrame, inputs: list[str], run: Callable[[pa.RecordBatch]
     reads, passes, out_names = [sent.index(c) for c in inputs], len(kept), [f.name for f in schema]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:passes], *run(batch.select(reads))], names=out_names)
 
     return df.select(*[F.col(_q(c)) for c in sent]).mapInArrow(mapped, schema)

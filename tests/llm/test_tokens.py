@@ -20,7 +20,7 @@ EDGES = ["", " ", "  a", "a  ", "\n", "a\n\n b", "it's   fine\t\n", "é" * 300,
 @pytest.fixture(scope="module")
 def coder():
     ranks = bpe.read_ranks(open(RANKS, "rb").read())
-    return bpe.Encoder(ranks, P.PATTERN), bpe.Decoder(ranks), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return bpe.Encoder(bpe.Compiled(ranks), P.PATTERN), bpe.Decoder(ranks), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def ids(text: str) -> np.ndarray:
@@ -40,13 +40,47 @@ def test_lookahead_and_reset(coder, monkeypatch):
     """Small tables give the same ids."""
     monkeypatch.setattr(bpe, "STATE_ENTRIES", 3)
     monkeypatch.setattr(bpe, "MEMO_ENTRIES", 4)
-    fresh = bpe.Encoder(coder[0].machine.ranks, P.PATTERN)
+    fresh = bpe.Encoder(coder[0].machine.compiled, P.PATTERN)
     rng = random.Random(3)
     for _ in range(200):
         text = " ".join("".join(rng.choice("abeinrst") for _ in range(rng.randint(1, 14))) for _ in range(4))
         assert fresh.encode_text(text) == " ".join(map(str, coder[2].encode_ordinary(text)))
 
 
+def test_texts_at_once(coder, monkeypatch):
+    """Blocks of texts share what is kept, whatever it is bounded to; long pre-tokens leave the common steps."""
+    monkeypatch.setattr(bpe, "CALL_BYTES", 40)
+    rng = random.Random(4)
+    texts = [rng.choice(EDGES) + " ".join("".join(rng.choice("abeinrstéё1") for _ in range(rng.choice([1, 5, 9, 200]))) for _ in range(6)) for _ in range(120)]
+    want = [coder[2].encode_ordinary(t) for t in texts]
+    for most in (5, 10**6):
+        monkeypatch.setattr(bpe, "MEMO_ENTRIES", most)
+        monkeypatch.setattr(bpe, "CHAIN_ENTRIES", 50 * most)
+        fresh = bpe.Encoder(coder[0].machine.compiled, P.PATTERN)
+        assert [ids(x).tolist() for k in range(0, 120, 40) for x in fresh.encode_texts(texts[k : k + 40])] == want
+
+
+def test_stream(coder):
+    """Tokens leave before the end of a long pre-token; a table without all bytes is an error."""
+    piece = b"the" * 400
+    assert list(coder[0].machine.stream(piece)) == coder[2].encode_ordinary(piece.decode()) == coder[0].machine.encode(piece)
+    taken = 0
+
+    def feed():
+        nonlocal taken
+        for byte in piece:
+            taken += 1
+            yield byte
+
+    next(coder[0].machine.stream(feed()))
+    assert taken < 200
+    short = bpe.Transducer(bpe.Compiled({b"a": 0, b"b": 1, b"ab": 2}))
+    assert short.encode(b"aab") == [0, 2]
+    for run in (short.encode, lambda x: list(short.stream(x))):
+        with pytest.raises(ValueError, match="byte"):
+            run(b"ac")
+
+
 def test_incremental_decoding(coder):
     data = "aé中😀\x00z".encode()
     for size in (1, 2, 3, 5):
