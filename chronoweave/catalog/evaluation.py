@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.catalog.registry import query
-from chronoweave.catalog.views import FACTS, FULL, GRAPH, JOURNAL, QUESTIONS, ROWS, Views
+from chronoweave.catalog.views import ANCHORS, CHAIN, EXPLICIT, FACTS, FULL, GRAPH, JOURNAL, QUESTIONS, ROWS, VECTORS, Views
 from chronoweave.functions import dates, scores
 from chronoweave.operators import corpus, metrics, sampling
 from chronoweave.plans.answer import TemporalQA
 from chronoweave.plans.prompts import evidence, grounded_text
 from chronoweave.plans.reason import by_rules
+from chronoweave.plans.spec import RunSpec
 from chronoweave.sources import journal, questions as q_source
 
 #: Predictions made from the gold: right, wrong, finer, empty by k.
@@ -43,15 +44,14 @@ def e24_any_hit(v: Views) -> DataFrame:
     return _preds(v).select("qid", scores.any_hit(F.col("pred"), F.col("answers")).alias("hit"))
 
 
-@query("SELECT qid, len(pred) = 0 AND k % 3 = 0 AS abstained FROM hits", f"{FACTS}, {QUESTIONS}, {_PRED}")
+@query("SELECT qid, len(pred) = 0 AND k % 3 = 0 AND k % 5 > 0 AS abstained FROM hits", f"{FACTS}, {QUESTIONS}, {_PRED}")
 def e10_abstained(v: Views) -> DataFrame:
     ok = F.when(F.col("k") % 3 == 0, True).when(F.col("k") % 3 == 1, False)
-    return _preds(v).select("qid", scores.abstained(F.lit(3), ok, F.col("pred")).alias("abstained"))
+    return _preds(v).select("qid", scores.abstained(F.col("k") % 5, ok, F.col("pred")).alias("abstained"))
 
 
 @query(
-    """SELECT qid, answer_type = 'time' AND ((regexp_matches(question, 'What month') AND 3 = list_min(list_transform(answers, lambda g: len(string_split(g, '-')))) AND FALSE)
-  OR (regexp_matches(question, 'what year') AND list_min(list_transform(answers, lambda g: len(string_split(g, '-')))) > 1) OR (regexp_matches(question, 'What month') AND list_min(list_transform(answers, lambda g: len(string_split(g, '-')))) > 2)) AS mismatch FROM questions""",
+    """SELECT qid, answer_type = 'time' AND ((regexp_matches(question, 'what year') AND list_min(list_transform(answers, lambda g: len(string_split(g, '-')))) > 1) OR (regexp_matches(question, 'What month') AND list_min(list_transform(answers, lambda g: len(string_split(g, '-')))) > 2)) AS mismatch FROM questions""",
     f"{FACTS}, {QUESTIONS}",
 )
 def e11_granularity_mismatch(v: Views) -> DataFrame:
@@ -133,21 +133,26 @@ def e22_flat_summary(v: Views) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS n_scored, round(avg(hit::INT), 9) AS hits_at_1, round(avg((NOT hit AND hit_b)::INT), 9) AS reasoning_loss_rate, round(avg((seq % 4 = 0)::INT), 9) AS empty_subgraph_rate, round(avg((seq % 3 = 1)::INT), 9) AS parse_fail_rate,
-  round(avg(hit_b::INT) FILTER (seq % 2 = 0), 9) AS anchor_recall, round(avg((seq % 2 = 0)::INT), 9) AS anchor_derivable_rate, round(avg((seq % 5 = 0)::INT), 9) AS error_rate, round(avg((seq % 3 = 0 AND seq % 4 <> 0)::INT), 9) AS abstain_rate FROM rows""",
+    """, drawn AS (SELECT *, seq % 4 AS size_sg, seq % 5 AS size_chain, seq % 2 = 0 AS derivable, seq % 7 < 3 AS r_anchor, seq % 11 < 4 AS r_chain, seq % 13 < 6 AS r_sg, hit_b AS in_chain, seq % 3 = 0 AS parsed, seq % 3 = 1 AS unparsed, seq % 17 < 5 AS finer, seq % 19 < 8 AS two, seq % 23 < 9 AS said, seq % 29 = 0 AS failed, seq % 6 < 2 AS is_time FROM rows)
+SELECT count(*) AS n_scored, round(avg(hit::INT), 9) AS hits_at_1, round(avg(finer::INT), 9) AS hits_at_1_granular, round(avg(r_sg::INT), 9) AS answer_recall_sg, round(avg(in_chain::INT), 9) AS answer_recall_chain,
+  round(avg(r_anchor::INT) FILTER (derivable), 9) AS anchor_recall, round(avg(r_chain::INT) FILTER (derivable), 9) AS chain_recall, round(avg(derivable::INT), 9) AS anchor_derivable_rate, round(avg((size_sg = 0)::INT), 9) AS empty_subgraph_rate,
+  round(avg(unparsed::INT), 9) AS parse_fail_rate, round(avg((size_chain > 0 AND parsed AND NOT said)::INT), 9) AS abstain_rate, round(avg((NOT hit AND in_chain)::INT), 9) AS reasoning_loss_rate, round(avg(two::INT), 9) AS relation_expanded_rate,
+  round(avg((is_time AND seq % 31 < 12)::INT), 9) AS granularity_mismatch_rate, round(avg(failed::INT), 9) AS error_rate FROM drawn""",
     ROWS,
 )
 def e9_run_summary(v: Views) -> DataFrame:
-    """Every measure of a run in one pass; those that the table can drive are shown."""
-    n = F.col("seq")
-    none = F.array().cast("array<string>")
+    """Every measure of a run in one pass, each driven by a share of its own."""
+    n, none = F.col("seq"), F.array().cast("array<string>")
+    share = lambda m, below: n % m < below
+    pick = lambda yes, *names: F.when(yes, F.array(*map(F.lit, names)))
     meta = F.struct(
-        (n % 4).alias("subgraph_size"), (n % 4).alias("chain_size"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("parse_ok"), none.alias("relation_ids"), (n % 2 == 0).alias("anchor_derivable"), F.col("hit_b").alias("anchor_recall"),
-        F.col("hit_b").alias("chain_recall"), F.col("hit_b").alias("answer_recall_sg"), F.col("hit_b").alias("answer_recall_chain"), F.when(n % 5 == 0, "timed out").alias("error"),
+        (n % 4).alias("subgraph_size"), (n % 5).alias("chain_size"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("parse_ok"), pick(share(19, 8), "a", "b").otherwise(F.array(F.lit("a"))).alias("relation_ids"), (n % 2 == 0).alias("anchor_derivable"),
+        share(7, 3).alias("anchor_recall"), share(11, 4).alias("chain_recall"), share(13, 6).alias("answer_recall_sg"), F.col("hit_b").alias("answer_recall_chain"), F.when(n % 29 == 0, "timed out").alias("error"),
     )
-    rows = v.rows.select("qid", "hit", F.col("hit").alias("hit_gran"), F.lit("When?").alias("question"), none.alias("gold"), none.alias("pred"), F.lit("entity").alias("answer_type"), meta.alias("meta"))
-    names = "hits_at_1", "reasoning_loss_rate", "empty_subgraph_rate", "parse_fail_rate", "anchor_recall", "anchor_derivable_rate", "error_rate", "abstain_rate"
-    return metrics.summarize(rows).select("n_scored", *[F.round(c, 9).alias(c) for c in names])
+    asks, gold = F.when(share(31, 12), "In what year?").otherwise("When?"), F.array(F.lit("2005-01-02"))
+    rows = v.rows.select("qid", "hit", share(17, 5).alias("hit_gran"), asks.alias("question"), gold.alias("gold"), pick(share(23, 9), "x").otherwise(none).alias("pred"), F.when(share(6, 2), "time").otherwise("entity").alias("answer_type"), meta.alias("meta"))
+    found = metrics.summarize(rows)
+    return found.select("n_scored", *[F.round(c, 9).alias(c) for c in found.columns if c != "n_scored"])
 
 
 @query("SELECT qtype || '|' || answer_type || '|' || time_level AS stratum, count(*) AS n FROM questions GROUP BY 1", f"{FACTS}, {QUESTIONS}")
@@ -187,7 +192,7 @@ def d11_ordered_selection(v: Views) -> DataFrame:
 
 @query("SELECT DISTINCT ON (qid) qid, source, seq FROM journal ORDER BY qid, seq DESC", JOURNAL)
 def f3_latest_row(v: Views) -> DataFrame:
-    return journal.latest(v.journal.select("qid", "seq", "source")).select("qid", "source", F.lit(0).alias("x")).drop("x").join(v.journal.groupBy("qid").agg(F.max("seq").alias("seq")), "qid")
+    return journal.latest(v.journal.select("qid", "seq", "source")).select("qid", "source", "seq")
 
 
 @query("SELECT qid, seq FROM journal WHERE qid <> '' AND error = ''", JOURNAL)
@@ -282,13 +287,68 @@ def k1_rule_reasoner(v: Views) -> DataFrame:
     return by_rules(v.questions, v.chain, v.anchors).select("qid", F.array_join("pred", ",").alias("pred"))
 
 
-@query(
-    """SELECT questions.qid, array_to_string(pred, ',') AS pred, coalesce((SELECT count(*) FROM fq WHERE fq.qid = questions.qid), 0) AS subgraph_size, coalesce((SELECT count(*) FROM chain WHERE chain.qid = questions.qid), 0) AS chain_size,
-  questions.qid IN (SELECT qid FROM in_sg) AS answer_recall_sg, questions.qid IN (SELECT qid FROM in_chain) AS answer_recall_chain FROM questions JOIN answered USING (qid)""",
-    f"{FULL.replace('r <= 5', 'r <= 40')}, {_RECALL}, {_RULES}",
-)
+_IMPLICIT = "implicit AS (SELECT DISTINCT qid, d AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, pos) AS r FROM scored) WHERE r <= 2)"
+_BOTH = "anchors AS (SELECT qid, anchor FROM explicit UNION SELECT qid, anchor FROM implicit)"
+_ALL = ANCHORS.replace("SELECT qid, anchor FROM explicit UNION", "SELECT qid, anchor FROM explicit UNION SELECT qid, anchor FROM implicit UNION")
+_START = f"{GRAPH}, {VECTORS}, {EXPLICIT}, {_IMPLICIT}"
+_NEAREST = CHAIN.replace("r <= 5", "r <= 40")
+_WIDER = "ks AS (SELECT qid, CASE WHEN count(*) > 1000 THEN 80 ELSE 40 END AS kk FROM fq GROUP BY qid), " + CHAIN.replace("kept AS (", "near0 AS (", 1).replace("WHERE r <= 5", "JOIN ks USING (qid) WHERE r <= kk").replace(
+    "), near AS (", "), kept AS (SELECT * FROM near0 UNION SELECT fq.qid, s, p, o, ts, d, pos FROM fq JOIN questions USING (qid) WHERE main <> aux AND s IN (main, aux) AND o IN (main, aux)), near AS (", 1)
+_SIMILAR = """counted AS (SELECT qid, count(*) AS n FROM anchors GROUP BY qid),
+top AS (SELECT scored.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY scored.qid ORDER BY sim DESC, pos) AS r FROM scored LEFT JOIN counted USING (qid)),
+near AS (SELECT top.qid, s, p, o, ts, d, pos, any_value(r) AS r, min(abs(date_diff('day', anchor, d))) AS dist FROM top LEFT JOIN anchors USING (qid) WHERE r <= 40 * greatest(1, n) GROUP BY ALL),
+chain AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce(dist, 0), CASE WHEN dist IS NULL THEN r ELSE pos END, pos) AS rank FROM near)"""
+_SHUFFLED = _NEAREST[: _NEAREST.index("), near AS (")] + """), chain AS (
+  SELECT kept.*, row_number() OVER (PARTITION BY qid ORDER BY sha256('42:' || question || ':' || s || ':' || p || ':' || o || ':' || ts), pos) AS rank FROM kept JOIN questions USING (qid))"""
+_GLOBAL = r"""said AS (SELECT *, '[' || s || ', ' || p || ', ' || o || ', ' || ts || ']' AS fid, regexp_extract_all(lower(replace(s || ' ' || p || ' ' || o, '_', ' ') || ' (' || ts || ')'), '([\p{L}\p{N}_]+)', 1) AS terms FROM (SELECT DISTINCT * FROM facts)),
+posted AS (SELECT fid, any_value(len) AS len, term, count(*) AS tf FROM (SELECT fid, len(terms) AS len, unnest(terms) AS term FROM said) GROUP BY fid, term),
+idfs AS (SELECT term, ln(1 + ((SELECT count(*) FROM said) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posted GROUP BY term),
+terms AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(question), '([\p{L}\p{N}_]+)', 1)) AS term FROM questions),
+lexical AS (SELECT qid, fid, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len(terms)) FROM said)))), 6) AS score FROM terms JOIN posted USING (term) JOIN idfs USING (term) GROUP BY qid, fid),
+short AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fid) AS place FROM lexical QUALIFY place <= 200),
+fq AS (SELECT qid, s, p, o, ts, ts::DATE AS d, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, place) - 1 AS pos
+  FROM short JOIN said USING (fid) JOIN questions USING (qid) JOIN embeddings a ON a.vec_id = k % 500 JOIN embeddings b ON b.vec_id = (length(s) * 31 + length(o) * 7 + length(p) * 3 + length(ts)) % 500 QUALIFY pos < 100)"""
+
+
+def _answers(v: Views, **settings) -> DataFrame:
+    qs = v.questions.withColumn("aux", F.array("aux")).withColumn("relations", F.array("relation"))
+    plan = TemporalQA(v.facts, RunSpec(**settings), scored=lambda fq, questions, kind: v.similar(fq), vectors=lambda questions, facts: v.vectors(facts))
+    out = plan.answer(qs)
+    return out.select("qid", F.array_join("pred", ",").alias("pred"), "subgraph_size", "chain_size", "answer_recall_sg", "answer_recall_chain", "anchor_recall")
+
+
+_RESULT = """SELECT questions.qid, array_to_string(pred, ',') AS pred, coalesce((SELECT count(*) FROM fq WHERE fq.qid = questions.qid), 0) AS subgraph_size, coalesce((SELECT count(*) FROM chain WHERE chain.qid = questions.qid), 0) AS chain_size,
+  questions.qid IN (SELECT qid FROM in_sg) AS answer_recall_sg, questions.qid IN (SELECT qid FROM in_chain) AS answer_recall_chain, questions.qid IN (SELECT qid FROM on_anchor) AS anchor_recall FROM questions JOIN answered USING (qid)"""
+
+
+@query(_RESULT, f"{_START}, {_BOTH}, {_NEAREST}, {_RECALL}, {_RULES}")
 def answer_pipeline(v: Views) -> DataFrame:
     """All three stages over all questions (flagship)."""
-    qs = v.questions.withColumn("aux", F.array("aux")).withColumn("relations", F.array("relation"))
-    out = TemporalQA(v.facts).answer(qs)
-    return out.select("qid", F.array_join("pred", ",").alias("pred"), "subgraph_size", "chain_size", "answer_recall_sg", "answer_recall_chain")
+    return _answers(v)
+
+
+@query(_RESULT, f"{_START}, {_ALL}, {_WIDER}, {_RECALL}, {_RULES}")
+def answer_pipeline_vi(v: Views) -> DataFrame:
+    """With what Vietnamese adds: dates of superlatives, more neighbours, facts between grounded entities (G12, E2, H3)."""
+    return _answers(v, lang="vi")
+
+
+@query(_RESULT, f"{_START}, {_BOTH}, {_SIMILAR}, {_RECALL}, {_RULES}")
+def k4_no_kntn(v: Views) -> DataFrame:
+    """The run without nearest facts."""
+    return _answers(v, ablation="no_kntn")
+
+
+@query(_RESULT, f"{_START}, {_BOTH}, {_SHUFFLED}, {_RECALL}, {_RULES}")
+def k4_no_ps(v: Views) -> DataFrame:
+    """The run without proximity order."""
+    return _answers(v, ablation="no_ps")
+
+
+_SUBJECTS = _RULES.replace("WHEN s = main THEN o ELSE s END AS value", "ELSE s END AS value").replace("AND (answer_type = 'time' OR CASE WHEN s = main THEN o ELSE s END <> main)", "")
+
+
+@query(_RESULT, f"{FACTS}, {QUESTIONS}, {_GLOBAL}, {VECTORS}, {EXPLICIT}, {_IMPLICIT}, {_BOTH}, {_NEAREST}, {_RECALL}, {_SUBJECTS}")
+def k3_no_sg(v: Views) -> DataFrame:
+    """The run without a subgraph: facts by the words and vectors of the question."""
+    return _answers(v, ablation="no_sg")

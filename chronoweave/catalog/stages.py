@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.catalog.registry import query
-from chronoweave.catalog.views import ANCHORS, CHAIN, ENDPOINTS, EXPLICIT, FACTS, FULL, GRAPH, INTERVALS, QUESTIONS, Views
+from chronoweave.catalog.views import ANCHORS, CHAIN, ENDPOINTS, EXPLICIT, FACTS, FULL, GRAPH, INTERVALS, QUESTIONS, VECTORS, Views
 from chronoweave.functions import dates, text, vectors
 from chronoweave.operators import chain, corpus, grounding, retrieval, subgraph
 from chronoweave.sources import graph
@@ -200,32 +200,20 @@ def g12_effective_k(v: Views) -> DataFrame:
     return chain.effective_k(v.fq, 40, "vi")
 
 
-_VECTORS = """scored AS (
-  SELECT fq.qid, s, p, o, ts, d, pos, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
-  FROM fq JOIN questions USING (qid) JOIN embeddings a ON a.vec_id = k % 500 JOIN embeddings b ON b.vec_id = (length(s) * 31 + length(o) * 7 + length(p) * 3 + length(ts)) % 500)"""
-
-
-def _scored(v: Views) -> DataFrame:
-    e = v.table("embeddings")
-    asked = v.questions.withColumn("vec_id", F.col("k") % 500).join(e, "vec_id").select("qid", F.col("embedding").alias("qv"))
-    number = (F.length("s") * 31 + F.length("o") * 7 + F.length("p") * 3 + F.length("ts")) % 500
-    return chain.score_facts(v.fq.withColumn("number", number.cast("long")), asked, e.select(F.col("vec_id").alias("number"), F.col("embedding").alias("fv")), ["number"]).drop("number")
-
-
-@query("SELECT DISTINCT qid, d::VARCHAR AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, pos) AS r FROM scored) WHERE r <= 2", f"{GRAPH}, {_VECTORS}")
+@query("SELECT DISTINCT qid, d::VARCHAR AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, pos) AS r FROM scored) WHERE r <= 2", f"{GRAPH}, {VECTORS}")
 def g3_implicit_anchors(v: Views) -> DataFrame:
-    return chain.implicit(_scored(v), 2).select("qid", F.col("anchor").cast("string").alias("anchor"))
+    return chain.implicit(v.similar(v.fq), 2).select("qid", F.col("anchor").cast("string").alias("anchor"))
 
 
 @query(
     """, counted AS (SELECT qid, count(*) AS n FROM anchors GROUP BY qid),
 best AS (SELECT scored.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY scored.qid ORDER BY sim DESC, pos) AS r FROM scored LEFT JOIN counted USING (qid)),
-far AS (SELECT best.qid, pos, min(abs(date_diff('day', anchor, d))) AS dist FROM best LEFT JOIN anchors USING (qid) WHERE r <= 3 * greatest(1, n) GROUP BY best.qid, pos)
-SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY coalesce(dist, 0), pos) AS rank FROM far""",
-    f"{GRAPH}, {EXPLICIT}, {ANCHORS}, {_VECTORS}",
+far AS (SELECT best.qid, pos, any_value(r) AS r, min(abs(date_diff('day', anchor, d))) AS dist FROM best LEFT JOIN anchors USING (qid) WHERE r <= 3 * greatest(1, n) GROUP BY best.qid, pos)
+SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY coalesce(dist, 0), CASE WHEN dist IS NULL THEN r ELSE pos END, pos) AS rank FROM far""",
+    f"{GRAPH}, {EXPLICIT}, {ANCHORS}, {VECTORS}",
 )
 def g6_semantic_chain(v: Views) -> DataFrame:
-    return chain.semantic_chain(_scored(v), v.anchors, 3).select("qid", "pos", "rank")
+    return chain.semantic_chain(v.similar(v.fq), v.anchors, 3).select("qid", "pos", "rank")
 
 
 @query(
@@ -254,8 +242,9 @@ def i8_interval_midpoint(v: Views) -> DataFrame:
 
 
 @query(
-    """, answers AS (SELECT DISTINCT unnest(answers) AS e FROM questions WHERE answer_type = 'entity')
-SELECT s, p, o, ts, CASE WHEN p = 'click' THEN 'nhấp' ELSE replace(p, '_', ' ') END AS relation_vi FROM facts WHERE s IN (SELECT e FROM answers) OR o IN (SELECT e FROM answers)""",
+    """, answers AS (SELECT DISTINCT unnest(answers) AS e FROM questions WHERE answer_type = 'entity'), others AS (SELECT facts.* FROM facts ANTI JOIN answers ON s = e),
+found AS (SELECT facts.* FROM facts SEMI JOIN answers ON s = e UNION ALL SELECT others.* FROM others SEMI JOIN answers ON o = e)
+SELECT s, p, o, ts, CASE WHEN p = 'click' THEN 'nhấp' ELSE replace(p, '_', ' ') END AS relation_vi FROM found""",
     f"{FACTS}, {QUESTIONS}",
 )
 def d12_answer_subgraph(v: Views) -> DataFrame:

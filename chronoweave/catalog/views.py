@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import chain, subgraph
 from chronoweave.sources import graph
+from chronoweave.sources.tables import kept
 
 #: Names of question types, by number.
 QTYPES = ("equal", "before_after", "first_last", "equal_multi", "after_first", "before_last")
@@ -16,7 +17,7 @@ LEVELS = ("day", "month", "year")
 
 
 class Views:
-    """Tables of one folder, built on demand."""
+    """Tables of one folder, built on demand; what queries read several times is written once and kept."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -56,7 +57,7 @@ class Views:
         )
         gold = self.facts.join(q.select("qid", F.col("main").alias("s"), F.col("relation").alias("p"), F.col("t0").alias("ts")), ["s", "p", "ts"]).groupBy("qid").agg(F.sort_array(F.collect_set("o")).alias("objects"))
         answers = F.when(F.col("answer_type") == "time", F.array(F.when(F.col("time_level") == "year", F.substring("t0", 1, 4)).when(F.col("time_level") == "month", F.substring("t0", 1, 7)).otherwise(F.col("t0")))).otherwise(F.col("objects"))
-        return q.join(gold, "qid").select("qid", "k", "question", "main", "relation", "aux", "answer_type", "qlabel", "qtype", "time_level", answers.alias("answers"))
+        return kept(q.join(gold, "qid").select("qid", "k", "question", "main", "relation", "aux", "answer_type", "qlabel", "qtype", "time_level", answers.alias("answers")))
 
     @cached_property
     def wanted(self) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +67,19 @@ class Views:
 
     @cached_property
     def fq(self) -> DataFrame:
-        return graph.dated(subgraph.in_order(subgraph.retrieve(self.facts, *self.wanted)))
+        return kept(graph.dated(subgraph.in_order(subgraph.retrieve(self.facts, *self.wanted))))
+
+    def vectors(self, facts: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+        """Vectors of the table in place of an encoder's: (qid, qv), and (fact_id or other keys, dv)."""
+        e = self.table("embeddings")
+        asked = self.questions.withColumn("vec_id", F.col("k") % 500).join(e, "vec_id").select("qid", F.col("embedding").alias("qv"))
+        number = ((F.length("s") * 31 + F.length("o") * 7 + F.length("p") * 3 + F.length("ts")) % 500).cast("long")
+        return asked, facts.withColumn("vec_id", number).join(e, "vec_id").select(*(keys or ("fact_id",)), F.col("embedding").alias("dv"))
+
+    def similar(self, fq: DataFrame) -> DataFrame:
+        """Facts of questions with their similarity by these vectors."""
+        asked, known = self.vectors(fq.select(*graph.COLUMNS).distinct(), *graph.COLUMNS)
+        return chain.score_facts(fq, asked, known.withColumnRenamed("dv", "fv"), graph.COLUMNS)
 
     @cached_property
     def explicit(self) -> DataFrame:
@@ -74,11 +87,11 @@ class Views:
 
     @cached_property
     def anchors(self) -> DataFrame:
-        return chain.all_anchors(self.explicit, chain.extremes(self.fq, self.questions))
+        return kept(chain.all_anchors(self.explicit, chain.extremes(self.fq, self.questions)))
 
     @cached_property
     def chain(self) -> DataFrame:
-        return chain.serialize(chain.knn(self.fq, self.anchors, 5), self.anchors)
+        return kept(chain.serialize(chain.knn(self.fq, self.anchors, 5), self.anchors))
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -123,6 +136,9 @@ QUESTIONS = """base AS (
 FQ = """wanted AS (SELECT qid, main AS e, relation AS p FROM questions UNION SELECT qid, aux, relation FROM questions),
 fq0 AS (SELECT DISTINCT qid, s, p, o, ts FROM wanted JOIN ends USING (e, p)),
 fq AS (SELECT *, ts::DATE AS d, row_number() OVER (PARTITION BY qid ORDER BY s, p, o, ts) - 1 AS pos FROM fq0)"""
+VECTORS = """scored AS (
+  SELECT fq.qid, s, p, o, ts, d, pos, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
+  FROM fq JOIN questions USING (qid) JOIN embeddings a ON a.vec_id = k % 500 JOIN embeddings b ON b.vec_id = (length(s) * 31 + length(o) * 7 + length(p) * 3 + length(ts)) % 500)"""
 EXPLICIT = """explicit AS (
   SELECT qid, unnest(CASE k % 5 WHEN 0 THEN [DATE '2024-01-05'] WHEN 3 THEN [DATE '2024-01-01', DATE '2025-01-01'] WHEN 4 THEN [] ELSE [DATE '2024-01-01'] END) AS anchor FROM questions)"""
 ANCHORS = """extremes AS (

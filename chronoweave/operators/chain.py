@@ -90,12 +90,16 @@ def with_pairs(kept: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def semantic_chain(scored: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The ablation without neighbours: the most similar facts, k for each anchor, at least k; then in order of proximity."""
+    """The ablation without neighbours: the most similar facts, k for each anchor, at least k; then in order of proximity, or of similarity without anchors.
+
+    The number kept differs by question; the largest one is a literal bound, which lets partitions prune before the shuffle."""
     n = anchors.distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
-    joined = scored.join(n, "qid", "left")
-    ranked = joined.withColumn("_rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "pos")))
-    kept = ranked.where(F.col("_rank") <= k * F.greatest(F.lit(1), F.coalesce("_n", F.lit(0)))).drop("_rank", "_n")
-    return serialize(kept, anchors)
+    most = n.agg(F.max("_n")).first()[0] or 1
+    ranked = best(scored, ["qid"], k * most, [F.desc("sim"), F.asc("pos")], "_rank").join(n, "qid", "left")
+    chosen = ranked.where(F.col("_rank") <= k * F.greatest(F.lit(1), F.coalesce("_n", F.lit(0))))
+    order = [F.coalesce("dist", F.lit(0)), F.when(F.col("_n").isNull(), F.col("_rank")).otherwise(F.col("pos")), F.col("pos")]
+    near = min_distance(chosen, anchors).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order)).cast("long"))
+    return near.drop("_rank", "_n")
 
 
 def shuffled(chain: DataFrame, questions: DataFrame, seed: int, question: str = "question") -> DataFrame:

@@ -23,10 +23,13 @@ def gated(translations: DataFrame, target: str = "vi", source: str = "en") -> Da
 def answer_subgraph(facts: DataFrame, answers: DataFrame, translated: DataFrame) -> DataFrame:
     """Facts with a subject or object among all answers, with the translated relation or else its plain words.
 
-    `answers` is (answer), `translated` (p, relation_vi), each relation once. Each end is an equi-join with the distinct answers, so no fact is doubled."""
+    `answers` is (answer), `translated` (p, relation_vi), each relation once. Each end is a semi join with the distinct answers, objects only of facts whose subject is none, so no fact is doubled."""
     wanted = answers.select(F.col("answer").alias("e")).distinct()
-    at = lambda end: wanted.select(F.col("e").alias(end), F.lit(True).alias(f"_{end}"))
-    kept = facts.join(at("s"), "s", "left").join(at("o"), "o", "left").where("_s or _o").join(translated, "p", "left")
+    by_subject = facts.join(wanted.withColumnRenamed("e", "s"), "s", "left_semi")
+    # A subject that is no answer: NULL subjects too.
+    rest = facts.join(wanted.select(F.col("e").alias("_e")), F.col("s") == F.col("_e"), "left_anti")
+    by_object = rest.join(wanted.withColumnRenamed("e", "o"), "o", "left_semi")
+    kept = by_subject.select(*COLUMNS).unionAll(by_object.select(*COLUMNS)).join(translated, "p", "left")
     return kept.select(*COLUMNS, F.coalesce("relation_vi", F.translate("p", "_", " ")).alias("relation_vi"))
 
 

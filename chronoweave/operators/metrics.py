@@ -23,6 +23,22 @@ def answer_recall(facts: DataFrame, gold: DataFrame) -> DataFrame:
     return entity.unionAll(time).distinct().withColumn("recalled", F.lit(True))
 
 
+def sizes(facts: DataFrame, gold: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """(qid, n, recalled, on_anchor): a question's facts, whether one has a gold answer, and whether one is on an anchor, in one pass over `facts` (with d).
+
+    `answer_recall` and `anchor_recall` for facts that are at hand by question: a question's few answers and dates go with its row."""
+    own = gold.select("qid", "answer_type", F.transform("answers", text.normalize).alias("_names"), F.col("answers").alias("_times"))
+    if anchors is None:
+        own = own.withColumn("_days", F.array().cast("array<date>"))
+    else:
+        own = own.join(anchors.groupBy("qid").agg(F.collect_set("anchor").alias("_days")), "qid", "left")
+    named = F.arrays_overlap(F.array(text.normalize(F.col("s")), text.normalize(F.col("o"))), F.col("_names"))
+    timed = F.exists("_times", lambda g: scores.time_matches(F.col("ts"), g))
+    is_in = F.coalesce(F.when(F.col("answer_type") == scores.TIME, timed).otherwise(named), F.lit(False))
+    on = F.coalesce(F.array_contains("_days", dates.parse_ts(F.col("ts"))), F.lit(False))
+    return facts.join(own, "qid").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max(is_in).alias("recalled"), F.max(on).alias("on_anchor"))
+
+
 def anchor_recall(facts: DataFrame, anchors: DataFrame) -> DataFrame:
     """(qid, recalled) for questions with a fact on one of their anchors."""
     days = facts.select("qid", dates.parse_ts(F.col("ts")).alias("anchor"))

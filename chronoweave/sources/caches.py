@@ -6,10 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH = 256
+#: What Spark's errors say of a cache that is absent or isn't a table of Parquet files with the wanted columns.
+REBUILT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "Could not read footer")
 
 
 def response_key(model: Column, prompt: Column, temperature: Column, max_tokens: Column, extra: Column) -> Column:
@@ -81,14 +83,17 @@ def cache_is_valid(cache: DataFrame, keys: DataFrame) -> bool:
 
 
 def load_or_build(spark, path: str, slug: str, keys: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The cached embeddings of a model if they are of these keys; built and written otherwise, or if unreadable."""
+    """The cached embeddings of a model if they are of these keys; built and written where they are absent, of other keys or damaged.
+
+    Any other error, as of a lost connection, is raised: the cache stays as it is."""
     place = f"{path}/model_slug={slug}"
     try:
         cached = spark.read.parquet(place)
         if cache_is_valid(cached, keys):
             return cached
-    except Exception:  # unreadable or absent: built anew
-        pass
+    except PySparkException as e:
+        if not any(mark in str(e) for mark in REBUILT):
+            raise
     build(keys).write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
 

@@ -30,12 +30,12 @@ def answered(rows: DataFrame, error: str = "meta.error") -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str = "qid", order: str = "seq") -> DataFrame:
-    """The last row of each key by `order`, with `first_seen`, where the key first stood.
+    """The last row of each key by `order`, with `order` and `first_seen`, where the key first stood.
 
     As an aggregate, so that repeated rows of one key meet in partial sums and not in one task's window."""
     rest = [c for c in rows.columns if c not in (key, order)]
     last = F.max(F.struct(order, *rest)).alias("last")
-    return rows.groupBy(key).agg(last, F.min(order).alias("first_seen")).select(key, "last.*", "first_seen")
+    return rows.groupBy(key).agg(last, F.min(order).alias("first_seen")).select(key, *[F.col(f"last.{c}").alias(c) for c in (order, *rest)], "first_seen")
 
 
 def pending(sample: DataFrame, *done: DataFrame, key: str = "qid") -> DataFrame:
