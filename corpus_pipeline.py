@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 `documents`.  `run` writes each stage's result as Parquet in the shared folder and reads it
-again, so that a lost executor costs one stage's tasks at most.
+again, so that a lost executor costs one stage's tasks at most.  A stage's input and what it
+has written on its way are deleted once its result is complete; the last result stays for the caller.
+
+Null and empty texts pass every stage: they aren't toxic, have no duplicates, benchmark windows or secrets, and
+no tokens.  Rows without an id stay, too; of rows with one id one stays.  Of equal texts the smallest id stays.
+Empty tables give empty results; without labels of both kinds, or without items, the first and the third stage keep all.
+Further columns pass through all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, decontam, near, secrets, toxic
-from chronoweave.llm.util import shared_folder
+from chronoweave.llm.util import delete, scratch, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    for k, (name, stage) in enumerate(STAGES):
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
