@@ -1,20 +1,24 @@
 """Substring dedup by line and sentence hashing.
 
-Units are the lines of a text and, where a line has several, its sentences (they end
+Units are the lines of a text or, where a line has several, its sentences (they end
 at `.`, `!` or `?` before a blank).  A unit is normalised to lower case with single
-blanks; units of fewer than `MIN_WORDS` words aren't looked at, as short ones repeat by chance.  Digests are
+blanks; units without any other character are none.  Digests of all units are
 grouped over all documents; the occurrence with the smallest document id, then the
-smallest offset, stays, every other one is removed.  Offsets are those of the
+smallest offset, stays, every other one is a repeat.  Offsets are those of the
 original text in code points, ends exclusive.
 
+Short units repeat by chance, so what is removed are runs: repeats that follow each other in a
+document go if their normalised units have `RUN_CHARS` characters or more in all, however short each of them is.
+With `run_chars=1` every repeat goes.
+
 The smallest occurrence of each digest is a partial aggregate, so a unit in a
 third of all documents costs one row for each task.  Only digests that occur twice
 are joined back; they are written out first, so that the join's large partitions
-can be split.
+can be split.  Runs are found in windows by document, over its repeats only.
 
 Null and empty texts have no units.  Rows with one id are one document: equal
 units at the same offset of it are one occurrence; rows without an id are left
-alone.  Extra columns have no effect.
+alone.  Ids are whole numbers, others are an error.  Extra columns have no effect.
 """
 
 from __future__ import annotations
@@ -26,52 +30,63 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.util import cut, map_columns, texts_of
+from chronoweave.llm.util import BLOCK_ROWS, cut, map_columns, texts_of
 
-MIN_WORDS = 8
+RUN_CHARS = 80
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
+_BLANKS = re.compile(r"[\t\v\f\r ]+")
 
 
-def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
-    """(digest of the normalised unit, start, end)."""
+def units(text: str | None) -> Iterator[tuple[bytes, int, int, int]]:
+    """(digest of the normalised unit, its length, start, end)."""
     start = 0
     for line in (text or "").split("\n"):
-        if line.count(" ") >= min_words - 1:
-            cuts = [start, *(start + m.end() for m in _SENTENCE.finditer(line)), start + len(line) + 1]
-            spans = [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            for a, b in [(start, start + len(line)), *(spans if len(spans) > 1 else ())]:
-                words = text[a:b].lower().split(" ")
-                if "" in words:
-                    words = [w for w in words if w]
-                if len(words) >= min_words:
-                    yield hashlib.md5(" ".join(words).encode()).digest(), a, b
+        low = line.lower()
+        same = len(low) == len(line)
+        cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line) + 1]
+        for k in range(len(cuts) - 1):
+            a, b = cuts[k], cuts[k + 1] - 1
+            unit = _BLANKS.sub(" ", low[a:b] if same else line[a:b].lower()).strip(" ")
+            if unit:
+                yield hashlib.md5(unit.encode()).digest(), len(unit), start + a, start + b
         start += len(line) + 1
 
 
-def exploded(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """digest, doc_id, start, end of every unit."""
+def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """digest, doc_id, k (the unit's number in its text), size, start, end of every unit."""
+    names = ["digest", "doc_id", "k", "size", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [list(units(t, min_words)) for t in texts_of(batch, 1)]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(u) for u in found])))
-            flat = [u for us in found for u in us]
-            yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in flat], pa.binary()), ids, pa.array([u[1] for u in flat], pa.int32()), pa.array([u[2] for u in flat], pa.int32())], names=["digest", "doc_id", "start", "end"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                found = [list(units(t)) for t in texts_of(batch, 1)]
+                counts = [len(u) for u in found]
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), counts)))
+                numbers = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in counts)])
+                flat = [u for us in found for u in us]
+                columns = [pa.array([u[i] for u in flat], kind) for i, kind in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([columns[0], ids, pa.array(numbers), *columns[1:]], names=names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "digest binary, doc_id long, start int, end int")
+    return rows.mapInArrow(run, "digest binary, doc_id long, k int, size int, start int, end int")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
     """doc_id, start, end of every unit to be removed, and kept_doc_id, kept_start of the occurrence that stays."""
-    found = exploded(docs, doc_id, text, min_words)
+    found = exploded(docs, doc_id, text)
     place = F.struct("doc_id", "start")
     firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = cut(firsts.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")), docs.sparkSession)
-    removed = found.join(firsts, "digest").where("doc_id <> kept_doc_id or start <> kept_start")
-    return removed.select("doc_id", "start", "end", "kept_doc_id", "kept_start")
+    again = found.join(firsts, "digest").where("doc_id <> kept_doc_id or start <> kept_start").drop("digest")
+    if run_chars > 1:
+        again = again.distinct()
+        again = again.withColumn("run", F.col("k") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("k")))
+        again = again.withColumn("length", F.sum("size").over(W.partitionBy("doc_id", "run"))).where(F.col("length") >= run_chars)
+    return again.select("doc_id", "start", "end", "kept_doc_id", "kept_start")
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -85,10 +100,10 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
     """`docs` with the repeated units cut out of its texts and `removed`, their original spans; a column of that name is replaced."""
     docs = docs.drop("removed")
-    spans = repeats(docs, doc_id, text, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
+    spans = repeats(docs, doc_id, text, run_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(spans, F.col(doc_id) == F.col("_id"), "left").drop("_id")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -104,20 +119,19 @@ WITH lines AS (
   SELECT doc_id, i, l[i] AS line, sum(length(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l[i]) - 1 AS line_at
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i)
 ), parts AS (
-  SELECT doc_id, i, line_at, j, s[j] AS part, len(s) AS n, sum(length(s[j]) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - length(s[j]) - 1 AS inside
+  SELECT doc_id, line_at, s[j] AS part, sum(length(s[j]) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - length(s[j]) - 1 AS inside
   FROM (SELECT doc_id, i, line_at, string_split(replace(replace(replace(line, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)) AS s FROM lines), unnest(range(1, len(s) + 1)) AS r(j)
-), units AS (
-  SELECT doc_id, line_at AS start, line_at + length(line) AS "end", line AS unit FROM lines
-  UNION
-  SELECT doc_id, line_at + inside, line_at + inside + length(part), part FROM parts WHERE n > 1
 ), normal AS (
-  SELECT doc_id, start, "end", list_filter(string_split(lower(unit), ' '), lambda w: w <> '') AS words FROM units
-), long AS (
-  SELECT doc_id, start, "end", array_to_string(words, ' ') AS unit FROM normal WHERE len(words) >= 8
+  SELECT doc_id, line_at + inside AS start, line_at + inside + length(part) AS "end", trim(regexp_replace(lower(part), '[\t\v\f\r ]+', ' ', 'g'), ' ') AS unit FROM parts
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM normal WHERE unit <> ''
 ), firsts AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
-  FROM long WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
+  FROM numbered WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
+), again AS (
+  SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM firsts WHERE doc_id <> kept_doc_id OR start <> kept_start
+), sized AS (
+  SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id, run) AS size FROM again
 )
-SELECT doc_id, start::INT AS start, "end"::INT AS "end", kept_doc_id, kept_start::INT AS kept_start
-FROM firsts WHERE doc_id <> kept_doc_id OR start <> kept_start
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", kept_doc_id, kept_start::INT AS kept_start FROM sized WHERE size >= 80
 """
