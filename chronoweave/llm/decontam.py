@@ -3,9 +3,8 @@
 Items and documents are lower-cased (A-Z only) and cut into words.  Every run of
 `width` item words is a window; an item with fewer words, but not none, is one
 window.  The windows' hashes go to the executors as a sorted set, behind a
-check of their number: benchmarks with more windows than `block` are scanned in
-blocks of items, each against all documents, and the blocks' findings are
-merged.  A document's words become numbers of the item vocabulary (0: no item has
+check of the items' bytes; those of a larger benchmark are joined with the documents' windows that pass
+a Bloom filter of one size.  A document's words become numbers of the item vocabulary (0: no item has
 it), its windows are hashed by a rolling polynomial, and each hash that is in the
 set is verified word by word.  A document word inside any occurrence is hit.
 
@@ -22,13 +21,17 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.util import Shipped, map_columns, texts_of, worker_object
+from chronoweave.llm.util import BLOCK_ROWS, MEMOS, Shipped, cut, map_columns, texts_of, worker_object
 
 WIDTH = 10
-MAX_BLOCK_BYTES = 8 << 20
+#: Largest benchmark, in bytes of its texts, whose windows are broadcast; bits of the filter for larger ones.
+MAX_BYTES, FILTER_BITS = 8 << 20, 26
+MEMO_ENTRIES = 200_000
+_SPANS = "array<struct<start:int,end:int>>"
 
 #: Bytes of words stay (A-Z as a-z, bytes of other scripts as they are); all others become blanks.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -112,48 +115,120 @@ NAMES = ("n_words", "hit_spans", "item_ids")
 _PRIVATE = ("_n_words_", "_hit_spans_", "_item_ids_")
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """Items in blocks whose texts have at most `max_bytes` (one item alone may have more); they are streamed to the driver, one partition at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        grows = len((row["t"] or "").encode())
-        if block and size + grows > max_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row["i"], row["t"]))
-        size += grows
-    if block:
-        yield block
-
-
-def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, max_block_bytes: int = MAX_BLOCK_BYTES, keep: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, max_bytes: int = MAX_BYTES, keep: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """Adds n_words, hit_spans (merged spans of word numbers, end exclusive) and item_ids (sorted as strings) to each document, or columns of other `names`; a document's column of such a name is replaced."""
     spark = docs.sparkSession
-    out, known = docs, []
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    blocks = _blocks(benchmark, item_id, item_text, max_block_bytes)
-    block, k, last = next(blocks, []), 0, False
-    while not last:
-        windows = Shipped(spark, block)
-        block = next(blocks, None)
-        last = block is None
-
-        def run(batch: pa.RecordBatch, windows=windows) -> list[pa.Array]:
-            held = worker_object(("windows", windows.id, width), lambda: WindowSet(windows.value, width))
-            texts, rows = texts_of(batch, 0), []
-            for at in range(0, len(texts), 256):
-                rows += held.scan(texts[at : at + 256])
-            spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            return [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
-
-        own = f"_spans{k}", f"_items{k}"
-        added = f"_words long, {own[0]} array<struct<start:int,end:int>>, {own[1]} array<string>"
-        out = map_columns(out, [text], run, added, [*kept, *known] if last else [*dict.fromkeys([*kept, text]), *known])
-        known += own
-        k += 1
-    merge = merged_spans(*[F.col(n) for n in known[::2]]) if k > 1 else F.col(known[0])
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(n) for n in known[1::2]])))
-    return out.select(*kept, F.col("_words").alias(names[0]), merge.alias(names[1]), items.alias(names[2]))
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > max_bytes:
+        return _find_by_join(docs, items, text, width, kept, names)
+    windows = Shipped(spark, [tuple(r) for r in items.collect()])
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        held = worker_object(("windows", windows.id, width), lambda: WindowSet(windows.value, width))
+        texts, rows = texts_of(batch, 0), []
+        for at in range(0, len(texts), 256):
+            rows += held.scan(texts[at : at + 256])
+        spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        return [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
+
+    out = map_columns(docs, [text], run, f"_words long, _spans {_SPANS}, _items array<string>", kept)
+    return out.select(*kept, F.col("_words").alias(names[0]), F.col("_spans").alias(names[1]), F.array_sort(F.array_distinct("_items")).alias(names[2]))
+
+
+class _Words(dict):
+    """64-bit hash of a word; at most `MEMO_ENTRIES` are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_WORDS = _Words()
+MEMOS.append(_WORDS)
+
+
+def _places(words: list[bytes], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter for each window of n words."""
+    h = WindowSet.hashes(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), n)
+    return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (h, (h ^ h >> np.uint64(31)) * _MULTIPLIER))
+
+
+def _find_by_join(docs: DataFrame, items: DataFrame, text: str, width: int, kept: list[str], names: tuple[str, str, str], bits: int = FILTER_BITS) -> DataFrame:
+    """The same findings for benchmarks that can't be broadcast.
+
+    A Bloom filter of the items' windows, of one size whatever their number, lets few of the documents' windows pass; those are
+    joined with the items' windows by their words.  Findings belong to a text, so equal texts share them, and rows need no id."""
+    spark = docs.sparkSession
+
+    def of_item(words: list[bytes]) -> range:
+        n = min(width, len(words))
+        return range(len(words) - n + 1) if n else range(0)
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, sizes = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
+                words = words_of(t)
+                n = min(width, len(words))
+                own = {b" ".join(words[k : k + n]) for k in of_item(words)}
+                ids += [i] * len(own)
+                found += own
+                sizes += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary()), pa.array(sizes, pa.int32())], names=["item", "window", "n"])
+
+    def filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for t in texts_of(batch, 1):
+                words = words_of(t)
+                for places in _places(words, min(width, len(words)), bits) if words else ():
+                    held[places] = True
+        packed = np.packbits(held).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], names=["at", "bits"])
+
+    named = items.select(F.col("i").cast("string").alias("i"), "t")
+    windows = cut(named.mapInArrow(item_windows, "item string, window binary, n int"), spark)
+    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # at most `width`
+    parts = named.mapInArrow(filter_bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 1 << bits - 6 rows
+    packed = np.zeros(1 << bits - 6, np.int64)
+    packed[parts["at"].to_numpy()] = parts["bits"].to_numpy()
+    bloom = Shipped(spark, packed)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = worker_object(("bloom", bloom.id), lambda: np.unpackbits(bloom.value.view(np.uint8)).view(bool))
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                keys, starts, sizes, found = [], [], [], []
+                for key, t in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
+                    words = words_of(t)
+                    for n in lengths:
+                        if len(words) >= n:
+                            one, two = _places(words, n, bits)
+                            for k in np.flatnonzero(held[one] & held[two]).tolist():
+                                keys.append(key)
+                                starts.append(k)
+                                sizes.append(n)
+                                found.append(b" ".join(words[k : k + n]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary())], names=["key", "start", "n", "window"])
+
+    def count(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([len(words_of(t)) for t in texts_of(batch, 0)], pa.int64())]
+
+    key = F.sha2(F.col(text), 256)
+    asked = docs.where(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("t"))
+    passed = cut(asked.mapInArrow(candidates, "key string, start int, n int, window binary").distinct(), spark)
+    hits = passed.join(windows.select("window").distinct(), "window", "left_semi")
+    spans = hits.groupBy("key").agg(merged_spans(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("_spans"))
+    owners = hits.select("key", "window").distinct().join(windows.select("window", "item"), "window").select("key", "item").distinct()
+    found = spans.join(owners.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("_items")), "key")
+    counted = map_columns(docs.withColumn("_key", key), [text], count, "_words long", [*kept, "_key"])
+    out = counted.join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    return out.select(*kept, F.col("_words").alias(names[0]), F.coalesce("_spans", F.array().cast(_SPANS)).alias(names[1]), F.coalesce("_items", F.array().cast("array<string>")).alias(names[2]))
 
 
 def merged_spans(*spans):
