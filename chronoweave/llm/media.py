@@ -35,8 +35,8 @@ FRAMES, MELS = 32, 16
 class Params:
     """Resampling by up/down, frame and hop in resampled samples, FFT size, and thresholds of segments in dB below the clip's loudest frame."""
 
-    up: int = 1
-    down: int = 2
+    up: int = 3
+    down: int = 4
     half_taps: int = 8
     frame: int = 128
     hop: int = 64
@@ -98,16 +98,12 @@ def resample(x: np.ndarray, up: int, down: int, half_taps: int) -> np.ndarray:
     padded = np.concatenate([np.zeros(width // 2, np.float32), x.astype(np.float32), np.zeros(width, np.float32)])
     count = -(-len(x) * up // down)
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    if up == 1:
-        rows = windows[: count * down : down]
-        out = np.zeros(count, np.float32)
-        for k in range(width):  # tap by tap: sums in one order for every length
-            out += rows[:count, k] * table[0, width - 1 - k]
-        return out
-    at = np.arange(count) * down
     out = np.zeros(count, np.float32)
-    for k in range(width):
-        out += windows[at // up, k] * table[at % up, width - 1 - k]
+    for r in range(min(up, count)):  # every up-th output sample has one phase, and windows `down` apart
+        first, phase = divmod(r * down, up)
+        own = windows[first::down][: -(-(count - r) // up)]
+        for k in range(width):  # tap by tap: sums in one order for every length
+            out[r::up] += own[:, k] * table[phase, width - 1 - k]
     return out
 
 
@@ -173,31 +169,43 @@ def analyse(samples: bytes, rate: int, p: Params = Params()) -> Features:
     return Features(mel, found, tensors.reshape(count, FRAMES, MELS), spans)
 
 
-def tensor_array(tensors: np.ndarray) -> pa.Array:
-    """Arrow's fixed-shape tensor array of blocks of `FRAMES` x `MELS`."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
+def pack(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream with the blocks of `FRAMES` x `MELS` as a fixed-shape tensor array, and their time spans."""
+    array = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors)) if len(tensors) else pa.ExtensionArray.from_storage(_TENSOR, pa.array([], _TENSOR.storage_type))
+    times = [pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([array, *times], schema=_STORED)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _STORED) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The tensors and spans of such a stream; the shape is read from its type."""
+    with pa.ipc.open_stream(data) as reader:
+        batch = reader.read_next_batch()
+    array = batch.column(0)
+    tensors = array.to_numpy_ndarray() if len(array) else np.zeros((0, *array.type.shape), np.float32)
+    return tensors, list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
 
 
+_TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+_STORED = pa.schema([("tensor", _TENSOR), ("start_s", pa.float64()), ("end_s", pa.float64())])
 _SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 def extract(df: DataFrame, media: str = "media", p: Params = Params(), keep: list[str] | None = None) -> DataFrame:
-    """Adds `tensors` (array of flattened FRAMES x MELS blocks, the storage of the fixed-shape tensors), `tensor_spans` and `segments` (seconds)."""
+    """Adds `tensors` (binary: an Arrow stream of fixed-shape tensors with their time spans, see `unpack`) and `segments` (seconds)."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        sizes, blocks, spans, found = [0], [np.zeros((0, FRAMES, MELS), np.float32)], [], []
+        tensors, found = [], []
         for clip in batch.column(0).to_pylist():
             f = analyse(*read_wave(clip), p) if clip is not None else analyse(b"", RATE, p)
-            sizes.append(len(f.tensors))
-            blocks.append(f.tensors)
-            spans.append([{"start_s": a, "end_s": b} for a, b in f.spans])
+            tensors.append(pack(f.tensors, f.spans))
             found.append([{"start_s": a, "end_s": b} for a, b in f.segments])
-        storage = tensor_array(np.concatenate(blocks)).storage if sum(sizes) else pa.array([], pa.list_(pa.float32(), FRAMES * MELS))
-        flat = pa.ListArray.from_arrays(np.arange(len(storage) + 1, dtype=np.int32) * (FRAMES * MELS), storage.flatten())
-        return [pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), flat), pa.array(spans, pa.list_(_SPAN)), pa.array(found, pa.list_(_SPAN))]
+        return [pa.array(tensors, pa.binary()), pa.array(found, pa.list_(_SPAN))]
 
-    spans = "array<struct<start_s:double,end_s:double>>"
-    return map_columns(df, [media], run, f"tensors array<array<float>>, tensor_spans {spans}, segments {spans}", keep)
+    return map_columns(df, [media], run, "tensors binary, segments array<struct<start_s:double,end_s:double>>", keep)
 
 
 def store(df: DataFrame, text: str = "text", media: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -209,15 +217,24 @@ def store(df: DataFrame, text: str = "text", media: str = "media", keep: list[st
     return map_columns(df, [text], run, f"`{media}` binary", keep)
 
 
-def feature_text(f: Features) -> str:
-    """A short digest of the features: shape, mean log-mel row in tenths, segments in milliseconds."""
-    mean = np.rint(f.mel.astype(np.float64).mean(axis=0) * 10).astype(int).tolist() if len(f.mel) else []
-    spans = hashlib.sha256(";".join(f"{a * 1000:.0f}-{b * 1000:.0f}" for a, b in f.segments).encode()).hexdigest()[:16]
-    return f"frames={len(f.mel)} tensors={len(f.tensors)} mel={','.join(map(str, mean))} segments={len(f.segments)} spans={spans}"
+def _digest(values: np.ndarray) -> str:
+    return hashlib.sha256(values.tobytes()).hexdigest()[:16]
+
+
+def _spans_digest(spans: list[tuple[float, float]]) -> str:
+    return _digest(np.rint(np.array(spans, dtype=np.float64) * 1000).astype("<i8"))
+
+
+def feature_text(tensors: np.ndarray, spans: list[tuple[float, float]], found: list[tuple[float, float]]) -> str:
+    """A short form of stored features: shape and digest of the tensors (hundredths) and of their spans (milliseconds), mean row in tenths, number and digest of segments."""
+    mean = np.rint(tensors.astype(np.float64).mean(axis=(0, 1)) * 10).astype(int).tolist() if len(tensors) else []
+    values = np.rint(tensors.astype(np.float64) * 100).astype("<i4")
+    shape = "x".join(map(str, tensors.shape))
+    return f"tensors={shape}:{_digest(values)} spans={_spans_digest(spans)} mel={','.join(map(str, mean))} segments={len(found)}:{_spans_digest(found)}"
 
 
 def round_trip(df: DataFrame, text: str = "text", p: Params = Params(), keep: list[str] | None = None) -> DataFrame:
-    """Stores each text as a clip, reads it back and adds the digests of what was stored, read and computed."""
+    """Stores each text as a clip, reads it back and adds the digests of what was stored, read and computed; features are those of the stored tensors, read back."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []
@@ -225,7 +242,9 @@ def round_trip(df: DataFrame, text: str = "text", p: Params = Params(), keep: li
             n_bytes, payload = payload_of(t)
             media = write_wave(payload)
             samples, rate = read_wave(media)
-            rows.append((n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PADDING:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(analyse(samples, rate, p))))
+            f = analyse(samples, rate, p)
+            tensors, spans = unpack(pack(f.tensors, f.spans))
+            rows.append((n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PADDING:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(tensors, spans, f.segments)))
         kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()
         return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
 

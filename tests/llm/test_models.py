@@ -82,6 +82,48 @@ def test_toxic_query(spark, data):
     assert all(r["held_out"] == held_out(r["doc_id"]) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def brute_feature(payload: bytes):
+    """The feature by plain loops and textbook formulas, in double precision."""
+    up, down, half, size, hop, rate = 3, 4, 8, 128, 64, 6000
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    n = np.arange(-half * up, half * up + 1)
+    taps = np.sinc(n / down) * np.hamming(len(n))
+    weights = [taps[r::up].sum() for r in range(up)]
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    whole = np.convolve(stuffed, taps)[half * up :]
+    y = np.array([whole[k * down] / weights[k * down % up] for k in range(-(-len(x) * up // down))])
+    frames = max(1, -(-(len(y) - size) // hop) + 1)
+    y = np.concatenate([y, np.zeros(frames * hop + size)])
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(mel(0), mel(rate / 2), media.MELS + 2) / 2595) - 1)
+    bank = np.zeros((media.MELS, size // 2 + 1))
+    for m in range(media.MELS):
+        for b in range(size // 2 + 1):
+            f = b * rate / size
+            bank[m, b] = max(0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1])))
+        if not bank[m].any():
+            bank[m, int(np.rint(edges[m + 1] * size / rate))] = 1
+    window = np.hanning(size)
+    cut = [y[k * hop : k * hop + size] * window for k in range(frames)]
+    rows = np.log([bank @ np.abs(np.fft.rfft(c)) ** 2 + 1e-6 for c in cut])
+    energy = np.array([10 * np.log10((c * c).mean() + 1e-6) for c in cut])
+    low, high = energy >= energy.max() - 6, energy >= energy.max() - 3
+    found, start = [], None
+    for k in range(frames + 1):
+        if k < frames and low[k]:
+            start = k if start is None else start
+        elif start is not None:
+            if high[start:k].any():
+                found.append((start * hop / rate, (k - 1) * hop / rate + size / rate))
+            start = None
+    count = -(-frames // media.FRAMES)
+    tensors = np.full((count * media.FRAMES, media.MELS), np.log(1e-6))
+    tensors[:frames] = rows
+    spans = [(k * media.FRAMES * hop / rate, (min(frames, (k + 1) * media.FRAMES) - 1) * hop / rate + size / rate) for k in range(count)]
+    return tensors.reshape(count, media.FRAMES, media.MELS), spans, found
+
+
 def test_media_query(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     for r in queries.op8_media(spark, data).collect():
@@ -90,6 +132,13 @@ def test_media_query(spark, data):
         wave = media.write_wave(payload)
         want = len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wave), hashlib.sha256(wave).hexdigest()
         assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == want
+        tensors, spans, found = brute_feature(payload)
+        f = media.analyse(payload, media.RATE)
+        stored, times = media.unpack(media.pack(f.tensors, f.spans))
+        # Values agree within single precision; the query's text is that of the values that were stored.
+        assert stored.shape == tensors.shape and np.abs(np.exp(stored) - np.exp(tensors)).max() < 1e-3 * np.exp(tensors).max()
+        assert np.allclose(times, spans) and len(f.segments) == len(found) and np.allclose(f.segments, found)
+        assert r["feature"] == media.feature_text(stored, times, f.segments)
 
 
 def test_wave_round_trip(spark):
@@ -108,7 +157,11 @@ def test_wave_round_trip(spark):
     rows = media.round_trip(docs).collect()
     assert rows[0][2:] == rows[1][2:]
     out = media.extract(media.store(docs).unionByName(spark.createDataFrame([(4, None, None)], "doc_id long, text string, media binary"))).collect()
-    assert len(out) == 4 and all(len(t) == media.FRAMES * media.MELS for r in out for t in r["tensors"]) and out[3]["tensors"] == []
+    stored = [media.unpack(r["tensors"]) for r in out]
+    assert [t.shape for t, _ in stored] == [(1, media.FRAMES, media.MELS)] * 3 + [(0, media.FRAMES, media.MELS)] and [len(s) for _, s in stored] == [1, 1, 1, 0]
+    clash = media.store(docs.withColumn("segments", F.lit(1)), media="media").withColumn("tensors", F.lit("t"))
+    again = media.extract(clash)
+    assert again.count() == 3 and dict(again.dtypes)["tensors"] == "binary" and media.extract(clash.limit(0)).count() == 0
 
 
 def test_features():
@@ -117,7 +170,7 @@ def test_features():
     f = media.analyse((tone * 120 + 128).astype(np.uint8).tobytes(), rate)
     assert len(f.segments) == 1 and f.segments[0][0] == pytest.approx(0.5, abs=0.05) and f.segments[0][1] == pytest.approx(1.0, abs=0.05)
     loud = f.mel[len(f.mel) // 3]
-    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 2000 / 700), media.MELS + 2) / 2595) - 1)
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 3000 / 700), media.MELS + 2) / 2595) - 1)
     assert edges[loud.argmax()] < 440 < edges[loud.argmax() + 2]
     x = np.random.default_rng(1).standard_normal(300).astype(np.float32)
     for up, down in ((1, 2), (3, 2), (2, 1), (1, 1)):
@@ -126,9 +179,11 @@ def test_features():
         padded = np.concatenate([np.zeros(width // 2), x, np.zeros(width)])
         want = [sum(padded[k * down // up + j] * table[k * down % up, width - 1 - j] for j in range(width)) for k in range(-(-300 * up // down))]
         assert media.resample(x, up, down, half) == pytest.approx(np.array(want), abs=1e-4)
-    array = media.tensor_array(f.tensors)
+    with pa.ipc.open_stream(media.pack(f.tensors, f.spans)) as reader:
+        stored = reader.read_all()
+    array = stored.column("tensor").chunk(0)
     assert isinstance(array, pa.FixedShapeTensorArray) and array.type.shape == [media.FRAMES, media.MELS]
-    assert (array.to_numpy_ndarray() == f.tensors).all() and len(f.spans) == len(f.tensors)
+    assert (array.to_numpy_ndarray() == f.tensors).all() and stored.column("end_s").to_pylist() == [b for _, b in f.spans]
 
 
 def test_pipeline(spark, data):
