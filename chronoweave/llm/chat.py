@@ -70,13 +70,34 @@ def preference_pairs(turns: DataFrame, pair_id: str = "pair_id", side: str = "si
 
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs from a table of conversations: number 2k is the chosen one of pair k, 2k + 1 the rejected one."""
-    return conversations.withColumn("pair_id", F.floor(F.col("conv_id") / 2)).withColumn("side", F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected"))
+    return conversations.withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("side", F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected"))
+
+
+def answered_by_next(conversations: DataFrame) -> DataFrame:
+    """Pairs from a table of conversations: each is chosen, and rejected with the last answer of the following conversation in place of its own.
+
+    Without an answer of its own both sides are equal; without one of the next conversation the rejected answer is empty.
+    Turns without a number come first, as they are."""
+    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
+    last = F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last")
+    lasts = rows.where((F.col("role") == TRAINED) & F.col("turn").isNotNull()).groupBy("conv_id").agg(last)
+    own, following = lasts.select("conv_id", F.col("last.turn").alias("_last")), lasts.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("_reply"))
+    met = rows.join(own.join(following, "conv_id", "left"), "conv_id", "left")
+    replaced = F.when((F.col("turn") == F.col("_last")) & (F.col("role") == TRAINED), F.coalesce("_reply", F.lit(""))).otherwise(F.col("text"))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), text.alias("text"))
+    both = met.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(F.array(side("chosen", F.col("text")), side("rejected", replaced))).alias("both"))
+    return both.select("pair_id", "both.side", "turn", "role", "both.text")
 
 
 SQL = r"""
-WITH turns AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
-  FROM conversations
+WITH lasts AS (
+  SELECT conv_id, max({'turn': turn, 'text': coalesce(text, '')}) AS last FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id
+), met AS (
+  SELECT c.conv_id AS pair_id, turn, role, text, CASE WHEN turn = own.last.turn AND role = 'assistant' THEN coalesce(following.last.text, '') ELSE text END AS other
+  FROM conversations c LEFT JOIN lasts own ON own.conv_id = c.conv_id LEFT JOIN lasts following ON following.conv_id = own.conv_id + 1 WHERE c.conv_id IS NOT NULL
+), turns AS (
+  SELECT DISTINCT pair_id, side, turn, coalesce(role, 'unknown') AS role, replace(coalesce(CASE side WHEN 0 THEN text ELSE other END, ''), '<|im_', '<| im_') AS text
+  FROM met, (SELECT unnest([0, 1]) AS side)
 ), both_sides AS (
   SELECT pair_id,
     coalesce(list({'role': role, 'text': text} ORDER BY turn, role, text) FILTER (side = 0), []) AS c,

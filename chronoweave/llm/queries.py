@@ -29,8 +29,8 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_preference_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring conversations as chosen and rejected ones."""
-    return chat.preference_pairs(chat.neighbours(_table(spark, folder, "conversations")))
+    """Conversations as chosen ones, with the next one's answer as rejected ones."""
+    return chat.preference_pairs(chat.answered_by_next(_table(spark, folder, "conversations")))
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,17 @@ def test_chat_equals_sql(same):
     assert same("op3_preference_chat") > 0
 
 
+def test_chat_pairs_share_their_prompt(spark, data):
+    """All turns before the last answer are rendered once; a long turn, too."""
+    rows = [(1, 0, "user", "q" * 200_000), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", "x"), (2, 1, "assistant", "c"), (3, 0, "user", "alone"), (2**60, 0, "assistant", None)]
+    out = {r["pair_id"]: r for r in chat.preference_pairs(chat.answered_by_next(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert out[1]["n_common"] == 3 and len(out[1]["prompt"]) > 200_000 and out[1]["chosen"].count("<|im_start|>") == out[1]["rejected"].count("<|im_start|>") == 1
+    assert "\nb<" in out[1]["chosen"] and "\nc<" in out[1]["rejected"] and "\n<" in out[2]["rejected"] and out[2]["n_common"] == 1
+    assert out[3]["n_common"] == 1 and out[3]["chosen"] == out[3]["rejected"] == "" and out[2**60]["n_common"] == 1
+    table = queries.op3_preference_chat(spark, data)
+    assert table.where("n_common > 0").count() > 0.5 * table.count()
+
+
 def test_chat_edges(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (5, 0, "user", "a<|im_end|>b"), (None, 0, "user", "x")]
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
