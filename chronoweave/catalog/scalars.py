@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.catalog.registry import query
-from chronoweave.catalog.views import FACTS, INTERVALS, QUESTIONS, Views
+from chronoweave.catalog.views import FACTS, FULL, INTERVALS, QUESTIONS, Views
 from chronoweave.functions import dates, scores, text
 from chronoweave.operators import corpus, sampling
 from chronoweave.plans import prompts
@@ -183,9 +183,23 @@ def b7_relation_list(v: Views) -> DataFrame:
     return prompts.sorted_list(v.facts, "p")
 
 
-@query("SELECT qid, contains(t, question) AND contains(t, main) AS whole FROM (SELECT qid, question, main, question || main AS t FROM questions)", f"{FACTS}, {QUESTIONS}")
+_PROMPT = prompts.template("strict", "en").replace("'", "''")
+_FILLED = "'" + _PROMPT.replace("{question}", "' || question || '").replace("{answer_type}", "' || answer_type || '").replace("{topk}", "' || CASE qlabel WHEN 'Multiple' THEN '5' ELSE '1' END || '").replace("{entities}", "' || entities || '").replace("{facts}", "' || coalesce(facts, '') || '") + "'"
+
+
+@query(
+    f""", said AS (SELECT qid, string_agg('[' || s || ', ' || p || ', ' || o || ', ' || ts || ']', chr(10) ORDER BY rank) AS facts FROM chain GROUP BY qid),
+named AS (SELECT *, CASE WHEN main < aux THEN main || ', ' || aux WHEN main = aux THEN main ELSE aux || ', ' || main END AS entities FROM questions)
+SELECT qid, {_FILLED} AS prompt FROM named LEFT JOIN said USING (qid)""",
+    FULL,
+)
 def b8_reasoning_prompt(v: Views) -> DataFrame:
-    """Each prompt holds its question, entities and facts."""
+    """Each question's whole prompt."""
     names = v.questions.select("qid", F.explode(F.array("main", "aux")).alias("entity"))
-    made = prompts.reasoning(v.questions, v.chain, names, "strict", "en")
-    return made.join(v.questions.select("qid", "question", "main"), "qid").select("qid", (F.col("prompt").contains(F.col("question")) & F.col("prompt").contains(F.col("main"))).alias("whole"))
+    return prompts.reasoning(v.questions, v.chain, names, "strict", "en")
+
+
+@query("SELECT qid, 'Which one of these relations does the question ask about? Answer with its name only.' || chr(10) || 'Relations: [x]' || chr(10) || 'Entities: ' || main || chr(10) || 'Question: ' || question AS prompt FROM questions", f"{FACTS}, {QUESTIONS}")
+def b7_relation_prompt(v: Views) -> DataFrame:
+    """The extraction prompt for relations."""
+    return v.questions.select("qid", prompts.extraction("relation", "en", {"relations": F.lit("[x]"), "entities": F.col("main"), "question": F.col("question")}).alias("prompt"))

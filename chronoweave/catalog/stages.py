@@ -121,7 +121,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, item
 
 def _ranked(v: Views, k: int) -> DataFrame:
     ask, have = v.asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), v.table("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("iv"))
-    return grounding.nearest(ask, have, k, blocks=8)
+    return grounding.nearest(ask, have, k)
 
 
 @query("SELECT qid, item FROM ranked WHERE rank = 1", _SCORED)

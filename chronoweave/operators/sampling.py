@@ -18,10 +18,19 @@ def stratum(fields: list[str] = STRATUM) -> Column:
 
 
 def nested_order(questions: DataFrame, seed: int, fields: list[str] = STRATUM) -> DataFrame:
-    """`questions` with `stratum` and `place` in (0, 1): the order by (place, stratum) mixes strata in proportion at every prefix."""
-    own = W.partitionBy(*fields)
-    at = F.row_number().over(own.orderBy(rank_hash(seed, F.col("qid")), "qid")) - 1
-    return questions.withColumn("place", (at + 0.5) / F.count(F.lit(1)).over(own)).withColumn("stratum", stratum(fields))
+    """`questions` with `stratum` and `place` in (0, 1): the order by (place, stratum) mixes strata in proportion at every prefix.
+
+    A window over a stratum would be one task: its hashes, which are even, are cut into 4,096 ranges, ranks run
+    inside a range, and the ranges' counts are summed before."""
+    key, part = [F.coalesce(F.col(f), F.lit("\0")).alias(f"_{i}") for i, f in enumerate(fields)], F.substring("_hash", 1, 3).alias("_part")
+    names = [f"_{i}" for i in range(len(fields))]
+    rows = questions.withColumn("_hash", rank_hash(seed, F.col("qid"))).select("*", *key, part)
+    counts = rows.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*names).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*names, "_part", before.alias("_before"), F.sum("_n").over(W.partitionBy(*names)).alias("_all"))
+    at = F.row_number().over(W.partitionBy(*names, "_part").orderBy("_hash", "qid")) - 1 + F.col("_before")
+    placed = rows.join(starts, [*names, "_part"]).withColumn("place", (at + 0.5) / F.col("_all"))
+    return placed.select(*questions.columns, "place").withColumn("stratum", stratum(fields))
 
 
 def sample(questions: DataFrame, n: int, seed: int, fields: list[str] = STRATUM) -> DataFrame:

@@ -45,6 +45,12 @@ def pending(sample: DataFrame, *done: DataFrame, key: str = "qid") -> DataFrame:
     return sample
 
 
+def released(claims: DataFrame, done: DataFrame, now, seconds: int, key: str = "qid") -> DataFrame:
+    """Claimed questions (key, claimed_at) that aren't done and were claimed more than so many seconds before `now`: to be asked again."""
+    stale = claims.groupBy(key).agg(F.max("claimed_at").alias("_at")).where(F.unix_timestamp(now) - F.unix_timestamp("_at") > seconds)
+    return pending(stale.select(key), done, key=key)
+
+
 def replayable(sample: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Journal rows worth keeping, and questions to ask again: error rows count as unanswered."""
     good = answered(rows)
@@ -89,7 +95,7 @@ def legacy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.struct(F.avg(F.col("hit").cast("int")).alias("hits_at_1"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("qid", "hit"))).alias("results"))).alias("json"))
 
 
-def running_accuracy(rows: DataFrame, order: str = "seq", part: str = "part", block: int = 4096) -> DataFrame:
+def running_accuracy(rows: DataFrame, order: str = "seq", part: str = "part", block: int = 1 << 16) -> DataFrame:
     """Hits so far and their share in order of completion.
 
     A window over all rows would be one task: rows are cut into blocks of `block` numbers, each block's

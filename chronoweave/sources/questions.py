@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.sources.tables import write_text
+
 COLUMNS = ("qid", "question_vi", "question_en", "answers", "answer_type", "qtype", "qlabel", "qgroup", "time_level")
 POINT, INTERVAL = "point", "interval"
 SIMPLE_TYPES = ("simple_entity", "simple_time")  # fixed values of the interval corpus
@@ -59,7 +60,7 @@ def write_manifest(path: str, sample: DataFrame, dataset: str, split: str, n: in
     for r in rows:
         strata[r["stratum"]] = strata.get(r["stratum"], 0) + 1
     out = {"sample_id": f"{dataset}_n{n}_seed{seed}", "dataset": dataset, "split": split, "n": len(rows), "seed": seed, "strata": dict(sorted(strata.items())), "quids": [r["qid"] for r in rows]}
-    Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=1))
+    write_text(sample.sparkSession, path, json.dumps(out, ensure_ascii=False, indent=1))
     return out
 
 

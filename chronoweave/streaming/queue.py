@@ -6,15 +6,14 @@ budget ends the stream after the batch that passes it; what is unread stays for
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.sources import journal
+from chronoweave.sources.tables import delete
 
 
 class BudgetPassed(Exception):
@@ -31,13 +30,17 @@ def done_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
-def process_batch(batch: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, schema: T.StructType, max_usd: float | None = None, cost: str = "cost") -> int:
-    """Scores the batch's questions that the journal hasn't, appends the rows and returns their number. Error rows are asked again; raises before any work if the budget is spent."""
+def process_batch(batch: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, schema: T.StructType, max_usd: float | None = None, cost: str = "cost", read_only: bool = False) -> int:
+    """Scores the batch's questions that the journal hasn't, appends the rows and returns their number. Error rows are asked again; raises before any work if the budget is spent.
+
+    `read_only` scores nothing and writes nothing: the number is what would be asked."""
     spark = batch.sparkSession
     known = done_rows(spark, path, schema)
     if max_usd is not None and cost in known.columns and (known.agg(F.sum(cost)).first()[0] or 0.0) >= max_usd:
         raise BudgetPassed(f"{max_usd} are spent")
     todo = journal.pending(batch.dropDuplicates(["qid"]), journal.answered(known, "error"))
+    if read_only:
+        return todo.count()
     rows = score(todo).select(*schema.names).persist()
     try:
         n = rows.count()
@@ -55,7 +58,7 @@ def start(spark: SparkSession, source: str, question_schema: T.StructType, score
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def clear(journal_path: str, checkpoint: str) -> None:
-    """Forgets a run: its journal and the stream's checkpoint."""
+def clear(spark: SparkSession, journal_path: str, checkpoint: str) -> None:
+    """Forgets a run: its journal and the stream's checkpoint, wherever they are."""
     for place in (journal_path, checkpoint):
-        shutil.rmtree(Path(place), ignore_errors=True)
+        delete(spark, place)

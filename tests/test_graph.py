@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import chain, corpus, grounding, subgraph
+from chronoweave.operators import chain, corpus, grounding, metrics, subgraph
 from chronoweave.plans.answer import TemporalQA
 from chronoweave.plans.spec import RunSpec
 from chronoweave.sources import graph
@@ -83,6 +83,32 @@ def test_all_stages(spark, facts):
     assert rows["q2"]["pred"] == [] and not rows["q2"]["hit"] and rows["q2"]["subgraph_size"] == 0
 
 
+def test_language_and_ablation(spark, facts):
+    """What a setting adds or takes away, with the default encoder."""
+    questions = spark.createDataFrame(
+        [("q1", "Who did Alpha visit first after 3 November 2005?", "Alpha_(North)", ["Beta"], ["Make_a_visit", "Host_a_visit"], "entity", "Multiple", ["beta"]), ("q2", "Praise of Gamma?", "Gamma", None, ["Praise_or_endorse"], "entity", "Single", ["Beta"])],
+        "qid string, question string, main string, aux array<string>, relations array<string>, answer_type string, qlabel string, answers array<string>",
+    )
+    run = lambda **kw: {r["qid"]: r for r in TemporalQA(facts, RunSpec(**kw)).answer(questions).collect()}
+    en, vi = run(k=1, n_implicit=1), run(lang="vi", k=1, n_implicit=1)
+    assert en["q1"]["subgraph_size"] == 4 and vi["q1"]["subgraph_size"] == 5  # the second relation, too
+    assert vi["q1"]["n_anchors"] >= en["q1"]["n_anchors"] and vi["q1"]["chain_size"] > en["q1"]["chain_size"]
+    assert en["q2"]["pred"] == ["Beta"] and en["q2"]["meta"]["anchor_derivable"] and en["q2"]["meta"]["parse_ok"]
+    similar, shuffled = run(ablation="no_kntn", k=1), run(ablation="no_ps")
+    assert similar["q2"]["chain_size"] == 1 and shuffled["q1"]["chain_size"] == 4
+    everywhere = run(ablation="no_sg")
+    assert everywhere["q2"]["main"] is None and everywhere["q2"]["subgraph_size"] >= 1 and everywhere["q2"]["meta"]["retrieval"] == "global_semantic"
+    summary = metrics.summarize(TemporalQA(facts, RunSpec()).answer(questions)).first()
+    assert summary["n_scored"] == 2 and summary["relation_expanded_rate"] == 0.0 and summary["anchor_derivable_rate"] == 1.0
+
+
+def test_similar_facts_without_anchors(spark, facts):
+    fq = graph.dated(subgraph.in_order(facts.distinct().withColumn("qid", F.lit("q"))))
+    scored = fq.withColumn("sim", F.col("pos") / 10)
+    none = spark.createDataFrame([], "qid string, anchor date")
+    assert [r["pos"] for r in chain.semantic_chain(scored, none, 3).orderBy("rank").collect()] == [5, 4, 3]
+
+
 def test_answer_subgraph(spark, facts):
     answers = spark.createDataFrame([("Gamma",), ("Gamma",)], "answer string")
     words = spark.createDataFrame([("Praise_or_endorse", "khen")], "p string, relation_vi string")

@@ -44,7 +44,7 @@ def test_journal(spark, rows):
     assert {(r["qid"], r["v"], r["first_seen"]) for r in journal.latest(lines).collect()} == {("a", "z", 1), ("b", "y", 2)}
     assert journal.counts(sample, journal.answered(rows)).first().asDict() == {"done": 3, "queued": 2, "inflight": 0}
     n = 10_000
-    run = journal.running_accuracy(spark.range(n).select(F.col("id").alias("seq"), (F.col("id") % 2 == 0).alias("hit"))).orderBy(F.desc("seq")).first()
+    run = journal.running_accuracy(spark.range(n).select(F.col("id").alias("seq"), (F.col("id") % 2 == 0).alias("hit")), block=1024).orderBy(F.desc("seq")).first()
     assert (run["hits"], run["n"]) == (n // 2, n)
 
 
@@ -117,5 +117,5 @@ def test_stream(spark, tmp_path):
     assert sorted((r["qid"], r["error"]) for r in done.collect()) == [("a", ""), ("b", ""), ("b", "down"), ("c", "")]
     with pytest.raises(queue.BudgetPassed):
         queue.process_batch(spark.createDataFrame([("d",)], schema), works, path, out, max_usd=3.0)
-    queue.clear(path, mark)
+    queue.clear(spark, path, mark)
     assert queue.done_rows(spark, path, out).count() == 0
