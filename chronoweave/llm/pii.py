@@ -2,7 +2,7 @@
 
 Detected are e-mail addresses, telephone numbers, IPv4 addresses, card-like numbers
 (13 to 19 digits), names after a title and every other mention of such a name in its
-document, in full or by the last word, in any case that starts with a capital.  A last name that follows another title, or stands alone,
+document, in full or by the last word, in any case that starts with a capital or in a script without case.  A last name that follows another title, or stands alone,
 is the first full name in the document that ends in it and has no other gender.  An entity's canonical form (what differs only in
 case or separators is one entity) is mapped by a keyed permutation of all
 strings of its form, so different entities get different surrogates and one entity gets
@@ -62,6 +62,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile("(?<!\\w)(" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r") ((?:[^\W\d_]\.|[^\W\d_][^\W\d_]+)(?:[ -][^\W\d_][^\W\d_]+){0,2})(?!\w)")
 _TITLE_MARKS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr.", "Sra.", "Dr", "Prof.")
 _DIGIT = re.compile(r"[0-9]")
+#: Longest word of a script without case that is read as a name.
+CASELESS = 12
 
 #: Turns in which an entity whose surrogate is taken keeps its form, and the turn after which the job fails.  Addresses and cards have forms too large to be full.
 SAME_FORM = {"email": 8, "ip": 32, "card": 32, "phone": 8, "name": 8}
@@ -86,7 +88,7 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
         while m:
             # What follows the name may be the next title.
             words, at = m[2].split(" "), m.start(2)
-            kept = next((i for i, w in enumerate(words) if not w[0].isupper() or i and (w in TITLES or w + "." in TITLES)), len(words))
+            kept = next((i for i, w in enumerate(words) if not names_start(w) or i and (w in TITLES or w + "." in TITLES)), len(words))
             if kept:
                 name = " ".join(words[:kept])
                 titled.append((m.start(2), m.start(2) + len(name), TITLES[m[1]], unicodedata.normalize("NFC", name).lower()))
@@ -103,6 +105,11 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def names_start(word: str) -> bool:
+    """Whether a word may be part of a name: it starts with a capital, or is of a script without case and at most `CASELESS` letters long, as longer runs are sentences."""
+    return word[0].isupper() or unicodedata.category(word[0]) == "Lo" and len(word) <= CASELESS
+
+
 def mentions(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[str, int, int, str]]:
     """Names after titles (start, end, gender, name), and where else they are mentioned, all as the entities of their document."""
     # Of one name, or of full names with one last name, the first of each gender, and the first at all.
@@ -134,7 +141,7 @@ def mentions(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[s
     sizes = {first: sorted({len(f) for f in forms}, reverse=True) for first, forms in places.items()}
     for m in _WORD.finditer(text):
         first, a = m[0].lower(), m.start()
-        if first in places and m[0][0].isupper() and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+        if first in places and names_start(m[0]) and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
             for n in sizes[first]:
                 owner, b = places[first].get(text[a : a + n].lower()), a + n
                 if owner and not (text[b : b + 1].isalnum() or text[b : b + 1] == "_"):

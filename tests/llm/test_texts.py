@@ -255,6 +255,18 @@ def test_every_mention_of_a_name():
     assert len(rows) == 10 and rows[7]["surrogate"] == rows[8]["surrogate"] and rows[9]["surrogate"] != last
 
 
+def test_names_without_case(spark):
+    """Scripts without case have names, too, exchanged in their own script; sentences without blanks stay."""
+    text = "Dr. 王伟 came, then 王伟 left. Mr. محمد علي came. Dr. 王伟先生今天下午来到了北京大学图书馆 stays."
+    new, rows = pii.replaced(text, KEY, {})
+    assert [r["kind"] for r in rows] == ["name"] * 3 and rows[0]["surrogate"] == rows[1]["surrogate"] != "王伟" and "محمد" not in new
+    assert all("\u4e00" <= c <= "\u9fff" for c in rows[0]["surrogate"]) and len(rows[2]["surrogate"]) == len("محمد علي") and "王伟先生今天" in new
+    twice = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x" * 300_000 + " mail a@b.de")], "doc_id long, text string")
+    out = pii.replace(twice, KEY).collect()
+    assert len({r["text"] for r in out if r["text"].startswith("Dr.")}) == 1 and len(out) == 4 and not any(r["text"].endswith("a@b.de") for r in out)
+    assert pii.replace(twice.limit(0), KEY).count() == 0
+
+
 def test_phone_forms():
     forms = ["+14155550123", "06 12 34 56 78", "+33 6 12 34 56 78", "030 1234567", "+34 912 345 678", "+49 30 1234567", "(030) 1234567", "0612345678", "+352 621 123 456"]
     codes = ["+1", "0", "+33", "0", "+34", "+49", "(0", "0", "+352"]
