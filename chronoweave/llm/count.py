@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 
 from chronoweave.llm.util import Shipped, file_bytes, map_columns, texts_of, worker_object
 
-MEMO_ENTRIES = 600_000
+#: What a worker keeps: counts by stretch of text, and the longest stretch.
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 64
 BLOCK_SYMBOLS = 1 << 20
 
 
@@ -93,7 +94,7 @@ _SPACE = regex.compile(r"\s+")
 
 
 class Counter:
-    """Counts the tokens of whole texts for one tokeniser file; at most `MEMO_ENTRIES` pre-tokens' counts are kept."""
+    """Counts the tokens of whole texts for one tokeniser file; at most `MEMO_ENTRIES` stretches' counts are kept, of `MEMO_CHARS` characters each."""
 
     def __init__(self, data: bytes):
         spec = json.loads(data)
@@ -115,7 +116,8 @@ class Counter:
         plain = (unicodedata.normalize("NFC", part).replace("Σ", "σ").lower() for part in parts)
         return [s for part in plain for s in (part.split() if not any(c in part for c in _SEPARATORS) else _SPACE.split(part)) if s], len(parts) - 1
 
-    def learn(self, stretches: set[str]) -> None:
+    def learn(self, stretches: set[str]) -> list[str]:
+        """Counts those that aren't known, and returns them."""
         new = [s for s in stretches if s not in self.known]
         if len(self.known) + len(new) > MEMO_ENTRIES:
             self.known.clear()
@@ -131,16 +133,20 @@ class Counter:
             counts.update(zip(block, self.table.counts(block).tolist(), strict=True))
         for s, ps in zip(new, pieces, strict=True):
             self.known[s] = sum(map(counts.__getitem__, ps))
+        return new
 
     def count(self, texts: list[str], block: int = 400) -> list[int]:
         """Token counts of texts, `block` texts at a time."""
         out = []
         for k in range(0, len(texts), block):
             split = [self.stretches(t) for t in texts[k : k + block]]
-            self.learn({s for stretches, _ in split for s in stretches})
+            new = self.learn({s for stretches, _ in split for s in stretches})
             out += [sum(map(self.known.__getitem__, stretches)) + cut for stretches, cut in split]
             if len(self.known) > MEMO_ENTRIES:
                 self.known.clear()
+            for s in new:
+                if len(s) > MEMO_CHARS:
+                    self.known.pop(s, None)
         return out
 
 
