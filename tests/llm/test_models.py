@@ -186,6 +186,31 @@ def test_features():
     assert (array.to_numpy_ndarray() == f.tensors).all() and stored.column("end_s").to_pylist() == [b for _, b in f.spans]
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, ties, further columns and empty tables, through every stage."""
+    long = "word " * 60_000
+    secret = "keep this text with its many plain words and token = abcdefghijklmnop0123 in it"
+    rows = [(1, None), (2, ""), (3, long), (4, long), (5, secret), (5, secret), (None, "a row without an id has text of its own to keep"), (6, "one two three four five six seven eight nine ten and more"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _toxic int, class_id string")
+    labels, items = spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", items), ("none/documents", docs.limit(0)), ("none/labels", labels.limit(0)), ("none/benchmark", items.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    after, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, after, str(tmp_path)).cache()
+        kept[name] = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in out.collect())
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            after = out
+    assert kept["toxicity"] == [-1, 1, 2, 3, 4, 5, 5, 6, 7] and kept["near_duplicates"] == [-1, 1, 2, 3, 5, 6, 7]
+    assert kept["decontamination"] == kept["secrets"] == kept["byte_bpe"] == [-1, 1, 2, 3, 5, 7]
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.collect()}
+    assert texts[5][0].endswith("token = [SECRET] in it") and texts[5][1] == len(texts[5][0]) and texts[1] == (None, None) and texts[3] == (long, len(long))
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"]: r["n_tokens"] for r in result.collect()}[2] == 0 and result.count() == 6
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark, data):
     """Every stage's decision, against brute force on its own input."""
     from tests.llm.test_texts import brute_hits
