@@ -26,7 +26,6 @@ Every row is handled alone, so ties, repeated rows and extra columns have no eff
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import zlib
 from collections.abc import Callable
@@ -99,26 +98,38 @@ def _with(start: int, rest: bytes) -> int:
     return zlib.crc32(rest, start) & ((1 << BITS) - 1)
 
 
-_few = functools.lru_cache(65536)(_number)
+def _bucketed(name: str, *sizes: int) -> list:
+    """The numbers of a feature's buckets, as nested lists."""
+    return [_bucketed(f"{name}:{i}", *sizes[1:]) for i in range(sizes[0])] if sizes else _number(name)
+
+
+_LENGTH, _DIGITS, _UPPER, _LOWER = _bucketed("length", 17), _bucketed("digits", 5), _bucketed("upper", 5), _bucketed("lower", 5)
+_HEXADECIMAL, _KINDS, _HARD, _BIAS = _bucketed("hex", 2, 7), _bucketed("kinds", 9, 7), _bucketed("hard", 7, 7), _number("bias")
+_HEX_DIGITS = b"0123456789abcdefABCDEF"
 _NAMED = {n: zlib.crc32(n.encode()) for n in ("shape:", "starts:", "word:", "word-1:", "word-2:", "word+1:")}
+_PLAIN, _PLAIN_AFTER = (_with(_NAMED[n], b"a") for n in ("shape:", "word+1:"))
 
 
 def own_features(token: bytes) -> list[int]:
-    classes, size = token.translate(_CLASSES), len(token)
-    digits, upper, lower = classes.count(b"0"), classes.count(b"A"), classes.count(b"a")
-    hexadecimal = not token.translate(None, b"0123456789abcdefABCDEF")
-    low, long = token.lower(), min(size // 8, 6)
+    size = len(token)
+    if token.isalpha() and token.islower():
+        digits, upper, lower, low, shape = 0, 0, 4, token, _PLAIN
+    else:
+        classes, low = token.translate(_CLASSES), token.lower()
+        digits, upper, lower, shape = 4 * classes.count(b"0") // size, 4 * classes.count(b"A") // size, 4 * classes.count(b"a") // size, _with(_NAMED["shape:"], _shape(classes))
+    long = min(size // 8, 6)
     hard = max(map(len, _CONSONANTS.findall(low)), default=0)
     return [
-        _with(_NAMED["shape:"], _shape(classes)), _few(f"length:{min(size // 4, 16)}"), _few(f"digits:{4 * digits // size}"), _few(f"upper:{4 * upper // size}"), _few(f"lower:{4 * lower // size}"),
-        _few(f"hex:{hexadecimal}:{long}"), _few(f"kinds:{len(set(token)).bit_length()}:{long}"), _few(f"hard:{min(hard, 6)}:{long}"), _with(_NAMED["starts:"], token[:4]), _with(_NAMED["word:"], low[:24]), _few("bias"),
+        shape, _LENGTH[min(size // 4, 16)], _DIGITS[digits], _UPPER[upper], _LOWER[lower], _HEXADECIMAL[not token.translate(None, _HEX_DIGITS)][long], _KINDS[len(set(token)).bit_length()][long],
+        _HARD[min(hard, 6)][long], _with(_NAMED["starts:"], token[:4]), _with(_NAMED["word:"], low[:24]), _BIAS,
     ]
 
 
 def near_features(token: bytes) -> tuple[int, int, int]:
     """What a token is for the next one, the one after that and the one before."""
     word = token.lower()[:24] or b"-"
-    return _with(_NAMED["word-1:"], word), _with(_NAMED["word-2:"], word), _with(_NAMED["word+1:"], _shape(word.translate(_CLASSES)))
+    after = _PLAIN_AFTER if word.isalpha() else _with(_NAMED["word+1:"], _shape(word.translate(_CLASSES)))
+    return _with(_NAMED["word-1:"], word), _with(_NAMED["word-2:"], word), after
 
 
 def gap_features(gap: bytes) -> tuple[int, int]:
@@ -153,7 +164,7 @@ def runs(data: bytes) -> list[list[tuple[int, int, list[int]]]]:
     return [features_at(data, tokens, list(range(len(tokens))), file_features(data, len(odd_tokens(data, tokens)), len(tokens)))] if tokens else []
 
 
-def pieces(data: bytes, spans: list[tuple[int, int, int, int]], most: int) -> list[tuple[list[list[int]], list[int]]]:
+def pieces(data: bytes, spans: list[tuple[int, int, int, int]], most: int, longest: int = PIECE) -> list[tuple[list[list[int]], list[int]]]:
     """Features and labels of at most so many pieces of a text's chain, those with a match first."""
     tokens = [m.span() for m in _TOKEN.finditer(data)]
     if not tokens:
@@ -168,7 +179,7 @@ def pieces(data: bytes, spans: list[tuple[int, int, int, int]], most: int) -> li
         if len(out) == most:
             break
         # Neighbours in the chain only: what an earlier piece has ends this one.
-        at = [i for k, i in enumerate(at) if i - at[0] == k][:PIECE]
+        at = [i for k, i in enumerate(at) if i - at[0] == k][:longest]
         if at:
             seen.update(at)
             rows = features_at(data, tokens, at, file)
@@ -188,6 +199,17 @@ def labels_of(run: list[tuple[int, int, list[int]]], spans: list[tuple[int, int,
     return out
 
 
+#: Feature numbers of some tokens in a row, and how many each token has.
+Packed = tuple[np.ndarray, np.ndarray]
+
+
+def packed(features: list[list[int]] | Packed) -> Packed:
+    if isinstance(features, tuple):
+        return features
+    widths = np.array([len(f) for f in features], np.int64)
+    return np.fromiter((x for f in features for x in f), np.int64, int(widths.sum())), widths
+
+
 @dataclass
 class Field:
     """Weights of features by label, and of label pairs; inside can't follow outside or start a run."""
@@ -203,8 +225,9 @@ class Field:
         pairs[OUTSIDE, INSIDE] = -1e9
         return Field(np.zeros((1 << BITS, 3), np.float32), pairs)
 
-    def emissions(self, features: list[list[int]]) -> np.ndarray:
-        return np.array([self.weights[f].sum(axis=0) for f in features], dtype=np.float64)
+    def emissions(self, features: list[list[int]] | Packed) -> np.ndarray:
+        flat, widths = packed(features)
+        return np.add.reduceat(self.weights[flat].astype(np.float64), np.cumsum(widths) - widths, axis=0)
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
         """The best labels of a run; of equal paths the one with smaller labels from the end on."""
@@ -245,7 +268,7 @@ class Field:
             out += [(i, y) for i, y in zip(part.tolist(), self.path(scores[part], start, end), strict=True) if y != OUTSIDE]
         return out
 
-    def expectations(self, features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def expectations(self, features: list[list[int]] | Packed) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of labels, and summed ones of label pairs, by forward and backward sums."""
         scores = self.emissions(features)
         n = len(scores)
@@ -262,54 +285,53 @@ class Field:
         return np.exp(forward + backward - total), both
 
 
-def fit(data: list[tuple[list[list[int]], list[int]]], epochs: int = 6, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Field:
+def fit(data: list[tuple[list[list[int]] | Packed, list[int]]], epochs: int = 6, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Field:
     """Adagrad over the runs, one at a time, in an order that the seed fixes."""
     field, rng = Field.fresh(), np.random.default_rng(seed)
+    data = [(packed(features), np.asarray(labels)) for features, labels in data]
     held, held_pairs = np.full(field.weights.shape, 1e-2, np.float32), np.full((3, 3), 1e-2)
     for _ in range(epochs):
         for k in rng.permutation(len(data)).tolist():
             features, labels = data[k]
             each, both = field.expectations(features)
             truth = np.eye(3)[labels]
-            some, place = np.unique(np.concatenate(features), return_inverse=True)
+            some, place = np.unique(features[0], return_inverse=True)
             g = np.zeros((len(some), 3), np.float32)
-            np.add.at(g, place, np.repeat(each - truth, [len(f) for f in features], axis=0).astype(np.float32))
+            np.add.at(g, place, np.repeat(each - truth, features[1], axis=0).astype(np.float32))
             g += decay * field.weights[some]
             held[some] += g * g
             field.weights[some] -= rate * g / np.sqrt(held[some])
-            for a, b in zip(labels[:-1], labels[1:], strict=True):
-                both[a, b] -= 1
+            np.subtract.at(both, (labels[:-1], labels[1:]), 1)
             both[OUTSIDE, INSIDE] = 0
             held_pairs += both * both
             field.pairs -= rate * both / np.sqrt(held_pairs)
     return field
 
 
-class _Scores(dict):
+class _Scores:
     """Row numbers of byte strings, and the rows: the summed weights of their first features and the weights of `single` more."""
 
     def __init__(self, features: Callable[[bytes], list[int]], single: int, weights: np.ndarray):
         self.features, self.single, self.weights = features, single, weights
+        self.at: dict[bytes, int] = {}
         self.rows, self.odd = np.zeros((1024, 3 * (1 + single)), np.float32), np.zeros(1024, bool)
 
     def add(self, keys: list[bytes]) -> None:
-        n = len(self)
+        n = len(self.at)
         while n + len(keys) > len(self.rows):
             self.rows, self.odd = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.odd, np.zeros_like(self.odd)])
         each = self.weights[np.array([self.features(k) for k in keys])]
         cut = each.shape[1] - self.single
         self.rows[n : n + len(keys)] = np.concatenate([each[:, :cut].sum(axis=1), each[:, cut:].reshape(len(keys), -1)], axis=1)
         self.odd[n : n + len(keys)] = [len(k) >= MIN_LENGTH and may_be_secret(k) for k in keys]
-        self.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def numbers(self, keys: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        at = list(map(self.get, keys))
-        if None in at:
-            self.add([k for k in dict.fromkeys(keys) if k not in self])
-            at = list(map(self.__getitem__, keys))
-        return np.array(at)
+        if len(self.at) > MEMO_ENTRIES:
+            self.at.clear()
+        if new := set(keys).difference(self.at):
+            self.add(list(new))
+        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
 
 
 class Tagger:
@@ -365,8 +387,10 @@ def field_spans(data: bytes, field: Field | Tagger | None, base: list[tuple[int,
     return [(a, 3, b, a) for a, b in spans if not any(s[0] < b and a < s[2] for s in base)]
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 12_000, sample_runs: int = 20) -> Field | None:
-    """The field, from the sample; None if the base finds nothing in any document with an id."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 12_000, sample_runs: int = 20, piece_tokens: int = PIECE) -> Field | None:
+    """The field, from the sample; None if the base finds nothing in any document with an id.
+
+    The sample's bounds: documents, pieces of each, and tokens of a piece."""
     order = [F.xxhash64(F.col(doc_id)), F.col(doc_id)]
 
     def flag(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -386,12 +410,21 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
         out = []
         for t in texts_of(batch, 0):
             data = flat(t)
-            out.append([{"features": f, "labels": y} for f, y in pieces(data, base_spans(data), sample_runs)])
-        return [pa.array(out, pa.list_(pa.struct([("features", pa.list_(pa.list_(pa.int32()))), ("labels", pa.list_(pa.int32()))])))]
-
-    found = map_columns(rows, ["_text"], run, "runs array<struct<features:array<array<int>>,labels:array<int>>>", [doc_id]).where(F.size("runs") > 0)
-    sample = [(r["features"], r["labels"]) for row in sorted(found.limit(sample_docs).collect(), key=lambda row: (row[doc_id] is None, row[doc_id])) for r in row["runs"]]
-    return fit(sample) if any(any(y) for _, y in sample) else None
+            found = pieces(data, base_spans(data), sample_runs, piece_tokens)
+            own = [packed(f) for f, _ in found]
+            parts = [f.astype("<i4") for f, _ in own], [w.astype("<i4") for _, w in own], [np.array(y, "<i4") for _, y in found], [np.array([len(y) for _, y in found], "<i4")]
+            out.append([np.concatenate(p).tobytes() if p else b"" for p in parts])
+        return [pa.array([row[i] for row in out], pa.binary()) for i in range(4)]
+
+    # Each document's pieces come as four packed arrays: features, how many a token has, labels, tokens of each piece.
+    found = map_columns(rows, ["_text"], run, "features binary, widths binary, labels binary, lengths binary", [doc_id]).where(F.length("lengths") > 0)
+    sample = []
+    for row in sorted(found.limit(sample_docs).collect(), key=lambda row: (row[doc_id] is None, row[doc_id])):
+        features, widths, labels, lengths = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("features", "widths", "labels", "lengths"))
+        at = np.cumsum(lengths)[:-1]
+        ends = np.cumsum(np.add.reduceat(widths, np.append(0, at)))[:-1]
+        sample += [((f, w), y) for f, w, y in zip(np.split(features, ends), np.split(widths, at), np.split(labels, at), strict=True)]
+    return fit(sample) if any(y.any() for _, y in sample) else None
 
 
 def _all_spans(text: str | None, field: Field | Tagger | None) -> tuple[list, list]:
