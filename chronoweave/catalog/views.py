@@ -69,17 +69,22 @@ class Views:
     def fq(self) -> DataFrame:
         return kept(graph.dated(subgraph.in_order(subgraph.retrieve(self.facts, *self.wanted))))
 
-    def vectors(self, facts: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-        """Vectors of the table in place of an encoder's: (qid, qv), and (fact_id or other keys, dv)."""
+    def _numbered(self, facts: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Vectors of the table in place of an encoder's: (qid, qv), facts with the number of theirs, and the numbers' vectors."""
         e = self.table("embeddings")
         asked = self.questions.withColumn("vec_id", F.col("k") % 500).join(e, "vec_id").select("qid", F.col("embedding").alias("qv"))
         number = ((F.length("s") * 31 + F.length("o") * 7 + F.length("p") * 3 + F.length("ts")) % 500).cast("long")
-        return asked, facts.withColumn("vec_id", number).join(e, "vec_id").select(*(keys or ("fact_id",)), F.col("embedding").alias("dv"))
+        return asked, facts.withColumn("number", number), e.select(F.col("vec_id").alias("number"), F.col("embedding").alias(name))
+
+    def vectors(self, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(qid, qv) and (fact_id, dv)."""
+        asked, numbered, known = self._numbered(facts, "dv")
+        return asked, numbered.join(known, "number").select("fact_id", "dv")
 
     def similar(self, fq: DataFrame) -> DataFrame:
-        """Facts of questions with their similarity by these vectors."""
-        asked, known = self.vectors(fq.select(*graph.COLUMNS).distinct(), *graph.COLUMNS)
-        return chain.score_facts(fq, asked, known.withColumnRenamed("dv", "fv"), graph.COLUMNS)
+        """Facts of questions with their similarity."""
+        asked, numbered, known = self._numbered(fq, "fv")
+        return chain.score_facts(numbered, asked, known, ["number"]).drop("number")
 
     @cached_property
     def explicit(self) -> DataFrame:
