@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.util import BLOCK_ROWS, cut, map_columns, texts_of
 
-RUN_CHARS = 80
+RUN_CHARS = 120
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _BLANKS = re.compile(r"[\t\v\f\r ]+")
 
@@ -133,5 +133,5 @@ WITH lines AS (
 ), sized AS (
   SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id, run) AS size FROM again
 )
-SELECT doc_id, start::INT AS start, "end"::INT AS "end", kept_doc_id, kept_start::INT AS kept_start FROM sized WHERE size >= 80
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", kept_doc_id, kept_start::INT AS kept_start FROM sized WHERE size >= 120
 """

@@ -171,13 +171,13 @@ def test_lines_equal_sql(same):
 
 def test_lines_edges(spark):
     """Repeats go in runs that are long enough, short units inside them too; alone they stay, unless every repeat is asked for."""
-    line = "One two three four five six seven eight nine ten eleven twelve. Yes. And a tail of nine words or more is here."
-    texts = [(1, f"x\n{line}\n{line.upper()}"), (1, f"x\n{line}\n{line.upper()}"), (2, f"new start of it. {line} Yes. Other."), (None, line), (3, None), (4, ""), (5, "short\nYes.\nshort"), (6, "a\tb  c\n \n"), (7, "中" * 90), (8, "中" * 90), (9, f"{line}\x0b\n")]
+    line = "One two three four five six seven eight nine ten eleven twelve. Yes. And a tail of nine or ten or even more words is here for all."
+    texts = [(1, f"x\n{line}\n{line.upper()}"), (1, f"x\n{line}\n{line.upper()}"), (2, f"new start of it. {line} Yes. Other."), (None, line), (3, None), (4, ""), (5, "short\nYes.\nshort"), (6, "a\tb  c\n \n"), (7, "中" * 130), (8, "中" * 130), (9, f"{line}\x0b\n")]
     docs = spark.createDataFrame([(*r, 0) for r in texts], "doc_id long, text string, start int")
     spans = {tuple(r) for r in lines.repeats(docs).collect()}
     n, first, yes = len(line), line.index(" Yes."), line.index(" Yes.") + 5
     each = [(0, first), (first + 1, yes), (yes + 1, n)]
-    want = {(1, 3 + n + a, 3 + n + b, 1, 2 + a) for a, b in each} | {(2, 17 + a, 17 + b, 1, 2 + a) for a, b in each} | {(2, 18 + n, 22 + n, 1, 2 + first + 1), (8, 0, 90, 7, 0)}
+    want = {(1, 3 + n + a, 3 + n + b, 1, 2 + a) for a, b in each} | {(2, 17 + a, 17 + b, 1, 2 + a) for a, b in each} | {(2, 18 + n, 22 + n, 1, 2 + first + 1), (8, 0, 130, 7, 0)}
     want |= {(9, a, b + (b == n), 1, 2 + a) for a, b in each}
     assert spans == want
     every = {tuple(r) for r in lines.repeats(docs, run_chars=1).collect()}
