@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, chat, count, decontam, lines, media, near, periods, pii, secrets, toxic
+from chronoweave.llm import bpe, chat, count, decontam, lines, media, near, periods, phrases, pii, secrets, toxic
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periods.report(found)
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's first phrases whose words stand together more often than apart."""
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 #: The key of the registered query; in production it comes from the caller.
 PII_KEY = b"chronoweave surrogate key"
 
@@ -100,9 +105,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_chat": chat.SQL,
     "op9_line_dedup": lines.SQL,
+    "op13_phrases": phrases.SQL,
 }
