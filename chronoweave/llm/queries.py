@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, chat, count, decontam, lines, media, near, periods, phrases, pii, secrets, toxic
+from chronoweave.llm import bpe, chat, count, decontam, lines, media, near, periods, phrases, pii, secrets, shards, toxic
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "entities", "text")
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen shards of equal size, documents with equal texts together."""
+    return shards.assign(_table(spark, folder, "documents"), shards=16)
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words in every text, every tenth of which repeats a stretch of its own up to its end."""
     found = periods.find(_table(spark, folder, "documents"), keep=["doc_id"], rewrite=periods.rewound)
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_sharding": op11_sharding,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_phrases": op13_phrases,
 }
