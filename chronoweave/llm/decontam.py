@@ -4,12 +4,13 @@ Items and documents are lower-cased (A-Z only) and cut into words.  Every run of
 `width` item words is a window; an item with fewer words, but not none, is one
 window.  The windows' hashes go to the executors as a sorted set, behind a
 check of the items' bytes; those of a larger benchmark are joined with the documents' windows that pass
-a Bloom filter of one size.  A document's words become numbers of the item vocabulary (0: no item has
+a Bloom filter, which is sized by the number of windows up to 64 MB.  A document's words become numbers of the item vocabulary (0: no item has
 it), its windows are hashed by a rolling polynomial, and each hash that is in the
 set is verified word by word.  A document word inside any occurrence is hit.
 
 Null and empty texts have no words and no hits; items without words have no
-window.  Equal items are all reported.  Repeated document rows are handled one
+window.  Equal items are all reported.  Item ids are compared and sorted as Spark casts them to strings, whatever
+the benchmark's size; all items without an id are one, called by the empty string.  Repeated document rows are handled one
 by one.  Extra columns of either table have no effect.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from chronoweave.llm.util import BLOCK_ROWS, MEMOS, Shipped, cut, map_columns, texts_of, worker_object
 
 WIDTH = 10
-#: Largest benchmark, in bytes of its texts, whose windows are broadcast; bits of the filter for larger ones.
-MAX_BYTES, FILTER_BITS = 8 << 20, 26
+#: Largest benchmark, in bytes of its texts, whose windows are broadcast; least and most bits of the filter for larger ones.
+MAX_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 16, 29
 MEMO_ENTRIES = 200_000
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -47,7 +48,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WindowSet:
     """The windows of some items, by length and hash."""
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int):
+    def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.numbers: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], list[str]]] = {}
         for item_id, text in items:
@@ -56,8 +57,8 @@ class WindowSet:
             n = min(width, len(ids))
             for k in range(len(ids) - n + 1) if n else ():
                 owners = by_length.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), [])
-                if not owners or owners[-1] != str(item_id):
-                    owners.append(str(item_id))
+                if not owners or owners[-1] != item_id:
+                    owners.append(item_id)
         self.lengths = []
         for n, windows in sorted(by_length.items()):
             hashed: dict[int, list[tuple[int, ...]]] = {}
@@ -119,7 +120,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     """Adds n_words, hit_spans (merged spans of word numbers, end exclusive) and item_ids (sorted as strings) to each document, or columns of other `names`; a document's column of such a name is replaced."""
     spark = docs.sparkSession
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > max_bytes:
         return _find_by_join(docs, items, text, width, kept, names)
     windows = Shipped(spark, [tuple(r) for r in items.collect()])
@@ -156,11 +157,12 @@ def _places(words: list[bytes], n: int, bits: int) -> tuple[np.ndarray, np.ndarr
     return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (h, (h ^ h >> np.uint64(31)) * _MULTIPLIER))
 
 
-def _find_by_join(docs: DataFrame, items: DataFrame, text: str, width: int, kept: list[str], names: tuple[str, str, str], bits: int = FILTER_BITS) -> DataFrame:
+def _find_by_join(docs: DataFrame, items: DataFrame, text: str, width: int, kept: list[str], names: tuple[str, str, str]) -> DataFrame:
     """The same findings for benchmarks that can't be broadcast.
 
-    A Bloom filter of the items' windows, of one size whatever their number, lets few of the documents' windows pass; those are
-    joined with the items' windows by their words.  Findings belong to a text, so equal texts share them, and rows need no id."""
+    A Bloom filter of the items' windows lets few of the documents' windows pass; those are joined with the items' windows by
+    their words.  Windows that the same items have are one class, so a passage of many items and many documents is a row for
+    each of both, not for each pair.  Findings belong to a text, so equal texts share them, and rows need no id."""
     spark = docs.sparkSession
 
     def of_item(words: list[bytes]) -> range:
@@ -179,6 +181,10 @@ def _find_by_join(docs: DataFrame, items: DataFrame, text: str, width: int, kept
                 sizes += [n] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary()), pa.array(sizes, pa.int32())], names=["item", "window", "n"])
 
+    windows = cut(items.mapInArrow(item_windows, "item string, window binary, n int"), spark)
+    per_length = {r["n"]: r["k"] for r in windows.groupBy("n").agg(F.approx_count_distinct("window").alias("k")).collect()}  # at most `width`
+    lengths, bits = [*per_length], min(MOST_BITS, max(LEAST_BITS, (8 * sum(per_length.values())).bit_length()))
+
     def filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << bits, bool)
         for batch in batches:
@@ -190,10 +196,7 @@ def _find_by_join(docs: DataFrame, items: DataFrame, text: str, width: int, kept
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], names=["at", "bits"])
 
-    named = items.select(F.col("i").cast("string").alias("i"), "t")
-    windows = cut(named.mapInArrow(item_windows, "item string, window binary, n int"), spark)
-    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # at most `width`
-    parts = named.mapInArrow(filter_bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 1 << bits - 6 rows
+    parts = items.mapInArrow(filter_bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 1 << MOST_BITS - 6 rows
     packed = np.zeros(1 << bits - 6, np.int64)
     packed[parts["at"].to_numpy()] = parts["bits"].to_numpy()
     bloom = Shipped(spark, packed)
@@ -222,10 +225,17 @@ def _find_by_join(docs: DataFrame, items: DataFrame, text: str, width: int, kept
     key = F.sha2(F.col(text), 256)
     asked = docs.where(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("t"))
     passed = cut(asked.mapInArrow(candidates, "key string, start int, n int, window binary").distinct(), spark)
-    hits = passed.join(windows.select("window").distinct(), "window", "left_semi")
+    both = lambda c: F.struct(F.bit_xor(F.xxhash64(c)).alias("one"), F.bit_xor(F.xxhash64(c, F.lit(1))).alias("two"), F.count(F.lit(1)).alias("n"))
+    classes = cut(windows.groupBy("window").agg(both("item").alias("class")), spark)
+    hits = cut(passed.join(classes, "window"), spark)
     spans = hits.groupBy("key").agg(merged_spans(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("_spans"))
-    owners = hits.select("key", "window").distinct().join(windows.select("window", "item"), "window").select("key", "item").distinct()
-    found = spans.join(owners.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("_items")), "key")
+    # Texts that hit the same classes have the same items, which are listed once.
+    own = hits.select("key", "class").distinct()
+    sets = cut(own.groupBy("key").agg(both("class").alias("set")), spark)
+    first = sets.groupBy("set").agg(F.min("key").alias("key"))
+    members = windows.select("window", "item").join(classes, "window").select("class", "item").distinct()
+    listed = first.join(own, "key").join(members, "class").select("set", "item").distinct().groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("_items"))
+    found = spans.join(sets.join(listed, "set"), "key").select("key", "_spans", "_items")
     counted = map_columns(docs.withColumn("_key", key), [text], count, "_words long", [*kept, "_key"])
     out = counted.join(found.withColumnRenamed("key", "_key"), "_key", "left")
     return out.select(*kept, F.col("_words").alias(names[0]), F.coalesce("_spans", F.array().cast(_SPANS)).alias(names[1]), F.coalesce("_items", F.array().cast("array<string>")).alias(names[2]))

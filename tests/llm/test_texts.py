@@ -158,6 +158,27 @@ def test_decontamination(spark, most, monkeypatch):
     assert cut == {0: "x  y short é ONE", 1: texts[1], 2: "", 3: None, 4: ", short é one", 5: "q " * 5000} and decontam.remove_spans(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double", "boolean", "date"])
+def test_item_ids_of_any_type(spark, kind):
+    """Ids are what Spark casts them to, null ids are one empty one: the same by broadcast and by join."""
+    ids = {"long": ["7", "10", None], "string": ["b", "a", None], "double": ["1.0E7", "0.5", None], "boolean": ["true", "false", None], "date": ["2024-02-03", "1999-01-01", None]}[kind]
+    texts = ["one two three four five six seven eight nine ten", "five six seven", "short é"]
+    bench = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)] + [(None, "zz yy")], "i string, text string").select(F.col("i").cast(kind).alias("item_id"), "text")
+    docs = spark.createDataFrame([(1, " ".join(texts)), (2, "short é. zz yy"), (3, "zz yy")], "doc_id long, text string")
+    listed = [{r["doc_id"]: (r["hit_spans"], r["item_ids"]) for r in decontam.find(docs, bench, max_bytes=most).collect()} for most in (8 << 20, 4)]
+    assert listed[0] == listed[1]
+    assert listed[0][1][1] == sorted([ids[0], ids[1], ""]) and listed[0][2][1] == [""] == listed[0][3][1]
+
+
+def test_passages_of_many_items_and_documents(spark):
+    """A passage of hundreds of items in hundreds of documents: both plans list the same items."""
+    passage = " ".join(f"p{i}" for i in range(15))
+    bench = spark.createDataFrame([(i, f"{passage} own{i} " + " ".join(f"t{i}x{j}" for j in range(i % 12))) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"start {passage} own{i % 5} t{i % 40}x0 end") for i in range(300)], "doc_id long, text string")
+    found = [sorted(map(tuple, decontam.report(decontam.find(docs, bench, max_bytes=most, keep=["doc_id"])).collect())) for most in (8 << 20, 4)]
+    assert found[0] == found[1] and found[0][0][3] == 300
+
+
 def test_cutting_spans():
     windows = decontam.WindowSet([(1, "a b c d e f g h i j")], 10)
     text = "Keep this. A b c d, e f g h i j! And this."
