@@ -1,9 +1,10 @@
 """Surrogates for personal data.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, card-like numbers
-(13 to 19 digits), names after a title and every other mention of such a name in its
-document, in full or by the last word, in any case that starts with a capital or in a script without case.  A last name that follows another title, or stands alone,
-is the first full name in the document that ends in it and has no other gender.  An entity's canonical form (what differs only in
+Detected are e-mail addresses, telephone numbers (ten bare digits after a word for them), IPv4 and IPv6 addresses, IBANs with right check digits,
+numbers written like US social security numbers, card numbers (13 to 19 digits with a right check digit, or with a card network's prefix and
+length), names after a title and every other mention of such a name in its
+document, in full, by the first or by the last word, in any case that starts with a capital or in a script without case.  A last name that follows another title, or stands alone,
+is the first full name in the document that ends in it and has no other gender; a first name alone is the first full name that begins with it.  An entity's canonical form (what differs only in
 case or separators is one entity) is mapped by a keyed permutation of all
 strings of its form, so different entities get different surrogates and one entity gets
 the same everywhere.  Surrogates keep the type, the length and the class of each
@@ -12,7 +13,8 @@ Checksums of card numbers stay valid or invalid, addresses stay private or publi
 telephone numbers keep their country code.  First names that are in the gender's list are
 permuted in that list; others keep their classes of letters, and titles stay.
 
-Collision check: a surrogate must not be an entity of the corpus.  The distinct
+Collision check: a surrogate must not be shown as an entity of the corpus is: names are compared without genders and titles, in full and
+by their last word.  (Listed first names are exchanged for others of the list, which people of the corpus may have.)  The distinct
 entities are compared with the surrogates.  One whose surrogate is itself an entity
 tries others in turns, each by a permutation keyed for this entity and turn; a
 candidate counts if it is no entity and no other entity's surrogate, and of several
@@ -31,6 +33,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.util import cut, map_columns, texts_of
 
-TYPES = ("email", "ip", "card", "phone", "name")
+TYPES = ("email", "ip", "ipv6", "iban", "ssn", "card", "phone", "name")
 
 # First names by gender, and titles with the gender they tell.
 MALE = ("Adam", "Carlos", "David", "Felix", "Hans", "Henri", "Jean", "John", "Juan", "Karl", "Louis", "Luis", "Marc", "Michael", "Miguel", "Paul", "Peter", "Pierre", "Robert", "Thomas")
@@ -56,6 +59,12 @@ _PHONE = re.compile(r"(?<![A-Za-z0-9.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|
 _PLUS = re.compile(r"\+(?<![A-Za-z0-9.+]\+)(?:1(?:[ ./-]?\(?\d\)?){10}|3[34](?: ?\(0\))?(?:[ ./-]?\(?\d\)?){9}|(?!1|3[34])\d(?:[ ./-]?\(?\d\)?){7,14})(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
 _TRUNK = re.compile(r"0(?<![A-Za-z0-9.+-]0)(?<!\d 0)(?:[1-9]([ .-])\d\d(?:\1\d\d){3}(?! ?\d)|[1-9]\d{1,3}(?:[ -]| ?/ ?)\d{5,8}(?:-\d{1,4})?(?! ?\d)|[1-9]\d{8,9})(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
 _AREA = re.compile(r"\((?<![A-Za-z0-9.]\()0[1-9]\d{1,3}\) ?\d{5,8}(?![A-Za-z0-9]|[.-]\d)", re.ASCII)
+_TEN = re.compile(r"(?i:\b(?:phone|tel|telephone|mobile|call|fax|teléfono|telefon|téléphone)\b[.:]?\s*(?:number|no\.?)?[:\s]*)([2-9]\d{9})(?!\w|[.-]\d)")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.ASCII)
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]{3,37}(?![\w:])(?!\.\d)", re.ASCII)
+_SSN = re.compile(r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]|\.\d)", re.ASCII)
+#: Prefixes of card networks, and the lengths of their numbers.
+_NETWORK = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d+|3[47]\d{13}|(?:6011|65\d\d|64[4-9]\d)\d{12}|35(?:2[89]|[3-8]\d)\d{12}")
 #: Country codes of one and two digits; all others have three.
 COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,7 +75,7 @@ _DIGIT = re.compile(r"[0-9]")
 CASELESS = 12
 
 #: Turns in which an entity whose surrogate is taken keeps its form, and the turn after which the job fails.  Addresses and cards have forms too large to be full.
-SAME_FORM = {"email": 8, "ip": 32, "card": 32, "phone": 8, "name": 8}
+SAME_FORM = {"email": 8, "ip": 32, "ipv6": 32, "iban": 32, "ssn": 32, "card": 32, "phone": 8, "name": 8}
 LAST_TURN = 64
 
 
@@ -79,7 +88,12 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
         found += [("email", *m.span(), m[0].lower()) for m in _EMAIL.finditer(text)]
     if _DIGIT.search(text):
         found += [("ip", *m.span(), m[0]) for m in _IP.finditer(text)]
-        found += [("card", *m.span(), re.sub(r"[^0-9]", "", m[0])) for m in _CARD.finditer(text)]
+        found += [("card", *m.span(), n) for m in _CARD.finditer(text) if is_card(n := re.sub(r"[^0-9]", "", m[0]))]
+        if "::" in text or text.count(":") >= 7:
+            found += [("ipv6", *m.span(), c) for m in _IPV6.finditer(text) if (c := _ipv6(m[0]))]
+        found += [("iban", m.start(), m.start() + n, m[0][:n].replace(" ", "").lower()) for m in _IBAN.finditer(text) if (n := _iban(m[0]))]
+        found += [("ssn", *m.span(), m[0].replace("-", "")) for m in _SSN.finditer(text)]
+        found += [("phone", *m.span(1), m[1]) for m in _TEN.finditer(text)]
         forms = [_PHONE, *([_PLUS] if "+" in text else ()), *([_TRUNK] if "0" in text else ()), *([_AREA] if "(0" in text else ())]
         found += [("phone", *m.span(), re.sub(r"[^0-9+]", "", m[0])) for form in forms for m in form.finditer(text)]
     if any(t in text for t in _TITLE_MARKS):
@@ -105,6 +119,29 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def is_card(digits: str) -> bool:
+    """Whether a number of 13 to 19 digits is a card's: by its check digit, or by its network's prefix and length."""
+    return int(digits[-1]) == _luhn(digits[:-1]) or bool(_NETWORK.fullmatch(digits) and (digits[0] not in "52" or len(digits) == 16))
+
+
+def _ipv6(text: str) -> str | None:
+    """The shortest form of an address with three groups or more."""
+    try:
+        return str(ipaddress.IPv6Address(text)) if len(text.replace("::", ":").strip(":").split(":")) >= 3 else None
+    except ValueError:
+        return None
+
+
+def _remainder(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _iban(text: str) -> int:
+    """The length of the longest part that ends where a word does and has right check digits; 0 without one."""
+    ends = [n for n in range(len(text), 14, -1) if text[n - 1] != " " and text[n : n + 1] in ("", " ")]
+    return next((n for n in ends if len(c := text[:n].replace(" ", "")) >= 15 and _remainder(c) == 1), 0)
+
+
 def names_start(word: str) -> bool:
     """Whether a word may be part of a name: it starts with a capital, or is of a script without case and at most `CASELESS` letters long, as longer runs are sentences."""
     return word[0].isupper() or unicodedata.category(word[0]) == "Lo" and len(word) <= CASELESS
@@ -115,6 +152,7 @@ def mentions(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[s
     # Of one name, or of full names with one last name, the first of each gender, and the first at all.
     whole: dict[tuple[str, str], str] = {}
     ending: dict[tuple[str, str], str] = {}
+    given: dict[str, str] = {}
     for _, _, gender, name in titled:
         if gender:
             whole.setdefault((name, gender), f"{gender}:{name}")
@@ -126,6 +164,7 @@ def mentions(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[s
         if " " in name:
             entity = whole[name, gender]
             last = name.rpartition(" ")[2]
+            given.setdefault(name.partition(" ")[0], entity)
             for own in ("", *((entity[0],) if entity[0] != ":" else ("m", "f"))):
                 ending.setdefault((last, own), entity)
 
@@ -138,6 +177,9 @@ def mentions(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[s
         for form, owner in ((own, entity), (last, ending.get((name.rpartition(" ")[2], ""), entity))):
             if len(form) > 1 and not form.endswith("."):
                 places.setdefault(_WORD.search(form)[0], {}).setdefault(form, owner)
+    for form, owner in given.items():
+        if len(form) > 1 and not form.endswith("."):
+            places.setdefault(_WORD.search(form)[0], {}).setdefault(form, owner)
     sizes = {first: sorted({len(f) for f in forms}, reverse=True) for first, forms in places.items()}
     for m in _WORD.finditer(text):
         first, a = m[0].lower(), m.start()
@@ -254,10 +296,25 @@ def surrogate(kind: str, canonical: str, key: bytes) -> str:
             found = tuple(number.to_bytes(4, "big"))
             if _private(found) == _private(octets):
                 return ".".join(map(str, found))
+    if kind == "ipv6":
+        number = int(ipaddress.IPv6Address(canonical))
+        head = number >> 112  # tells private, link-local and other addresses
+        return str(ipaddress.IPv6Address(head << 112 | permuted(number & (1 << 112) - 1, 1 << 112, key, f"ipv6{head}")))
+    if kind == "iban":
+        bban = permuted_text(canonical[4:], key, "iban" + canonical[:2])
+        return f"{canonical[:2]}{98 - _remainder(canonical[:2] + '00' + bban):02d}{bban}"
+    if kind == "ssn":
+        while True:
+            canonical = str(permuted(int(canonical), 10**9, key, "ssn")).zfill(9)
+            if canonical[:3] not in ("000", "666") and canonical[0] != "9" and canonical[3:5] != "00" and canonical[5:] != "0000":
+                return canonical
     if kind == "card":
         body, offset = canonical[:-1], (int(canonical[-1]) - _luhn(canonical[:-1])) % 10
-        body = str(permuted(int(body), 10 ** len(body), key, f"card{len(body)}")).zfill(len(body))
-        return body + str((_luhn(body) + offset) % 10)
+        while True:  # numbers with a wrong check digit are walked on until they are a network's again
+            body = str(permuted(int(body), 10 ** len(body), key, f"card{len(body)}")).zfill(len(body))
+            found = body + str((_luhn(body) + offset) % 10)
+            if is_card(found) or not is_card(canonical):
+                return found
     if kind == "phone":
         # Walked on until the prefix is read as the same one again, so that the whole stays one-to-one.
         head = prefix(canonical)
@@ -292,6 +349,8 @@ def widened(kind: str, canonical: str, more: int) -> str:
         return "ba" * more + canonical
     if kind == "ip":
         return "8.8.8.8"
+    if kind in ("ipv6", "iban", "ssn"):
+        return canonical  # too many for a corpus to fill
     if kind == "card":
         return canonical[:-1] + str((int(canonical[-1]) + more) % 10)
     if kind == "phone":
@@ -307,29 +366,52 @@ def other(kind: str, canonical: str, key: bytes, turn: int) -> str:
     return surrogate(kind, widened(kind, canonical, more) if more > 0 else canonical, own)
 
 
-def shown(kind: str, original: str, canonical: str) -> str:
-    """A canonical surrogate in the original's case and separators; what a wider form has more comes last."""
-    if kind == "ip":
+def shown(kind: str, original: str, canonical: str, given: bool = False) -> str:
+    """A canonical surrogate in the original's case and separators; what a wider form has more comes last.
+
+    Of a name as many words as the original has, the last ones or (`given`) the first ones."""
+    if kind in ("ip", "ipv6"):
         return canonical
-    if kind in ("card", "phone"):
+    if kind in ("card", "phone", "ssn"):
         digits = iter(canonical.lstrip("+"))
         return "".join([*(next(digits) if c.isdigit() else c for c in original), *digits])
+    if kind == "iban":
+        rest = iter(canonical.upper())
+        return "".join([*(c if c == " " else next(rest) for c in original), *rest])
     if kind == "name":
-        canonical = canonical.split(":", 1)[1]
-        canonical = " ".join(canonical.split(" ")[-1 - original.count(" ") :])  # the last name alone
-        if len(canonical) != len(original):  # a listed name may have another length
-            return " ".join(w[:1].upper() + w[1:] for w in canonical.split(" "))
+        words, n = canonical.split(":", 1)[1].split(" "), 1 + original.count(" ")
+        return " ".join(_cased(o, c) for o, c in zip(original.split(" "), words[:n] if given else words[-n:], strict=True))
     if len(canonical) != len(original):
         return canonical
     return "".join(c.upper() if o.isupper() else c for o, c in zip(original, canonical, strict=True))
 
 
+def _cased(original: str, word: str) -> str:
+    """A word of a name in the case of the original one; a listed name may have another length."""
+    if len(word) == len(original):
+        return "".join(c.upper() if o.isupper() else c for o, c in zip(original, word, strict=True))
+    return word.upper() if len(original) > 1 and original.isupper() else word[:1].upper() + word[1:] if original[:1].isupper() else word
+
+
+def plain(kind: str, canonical: str) -> str:
+    """What tells an entity from others: of a name, the name without a gender."""
+    return ":" + canonical.split(":", 1)[1] if kind == "name" else canonical
+
+
+def shown_as(kind: str, canonical: str) -> list[str]:
+    """What an entity may be read as: a name in full and by its last word."""
+    if kind != "name":
+        return [canonical]
+    name = canonical.split(":", 1)[1]
+    return list(dict.fromkeys([name, name.rpartition(" ")[2]]))
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct (kind, canonical) of the corpus; equal ones meet in partial sums, so frequent entities cost a row a task."""
+    """Distinct (kind, canonical) of the corpus, names without genders; equal ones meet in partial sums, so frequent entities cost a row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(k, c) for t in texts_of(batch, 0) for k, _, _, c in detect(t)})
+            rows = sorted({(k, plain(k, c)) for t in texts_of(batch, 0) for k, _, _, c in detect(t)})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["kind", "canonical"])
 
     return docs.select(text).mapInArrow(run, "kind string, canonical string").distinct()
@@ -348,20 +430,34 @@ def exceptions(known: DataFrame, key: bytes) -> DataFrame:
 
         return map_columns(left, ["kind", "canonical"], run, "step string")
 
-    taken = known.select("kind", F.col("canonical").alias("step"))
-    steps = map_columns(known, ["kind", "canonical"], first, "step string")
-    left = cut(steps.join(taken, ["kind", "step"], "left_semi").select("kind", "canonical"), spark)
+    def keys(rows: DataFrame, column: str) -> DataFrame:
+        """kind, canonical and key: one row for each form in which `column` may be read."""
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array([shown_as(k, c) for k, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.list_(pa.string()))]
+
+        each = map_columns(rows, ["kind", column], run, "_keys array<string>")
+        return each.select("kind", "canonical", F.explode("_keys").alias("key")).distinct()
+
+    taken = cut(keys(known, "canonical").select("kind", "key").distinct(), spark)
+    steps = cut(map_columns(known, ["kind", "canonical"], first, "step string"), spark)
+    left = cut(keys(steps, "step").join(taken, ["kind", "key"], "left_semi").select("kind", "canonical").distinct(), spark)
     if left.isEmpty():
         return left.withColumn("surrogate", F.lit(None).cast("string"))
-    used, done, turn = cut(taken.unionAll(steps.join(taken, ["kind", "step"], "left_anti").select("kind", "step")), spark), None, 0
+    fine = keys(steps.join(left, ["kind", "canonical"], "left_anti"), "step").select("kind", "key")
+    used, done, turn = cut(taken.unionAll(fine).distinct(), spark), None, 0
     while not left.isEmpty():
         turn += 1
         if turn > LAST_TURN:
             raise ValueError(f"no free surrogates after {LAST_TURN} turns")
-        free = tried(left, turn).join(used, ["kind", "step"], "left_anti")
-        won = cut(free.groupBy("kind", "step").agg(F.min("canonical").alias("canonical")).select("kind", "canonical", F.col("step").alias("surrogate")), spark)
+        steps = cut(tried(left, turn), spark)
+        read = cut(keys(steps, "step"), spark)
+        # Of entities that would be read alike the smallest takes the form.
+        losers = read.join(used, ["kind", "key"], "left_semi").select("kind", "canonical")
+        meet = read.groupBy("kind", "key").agg(F.min("canonical").alias("least")).join(read, ["kind", "key"]).where("canonical <> least").select("kind", "canonical")
+        won = cut(steps.join(losers.unionAll(meet).distinct(), ["kind", "canonical"], "left_anti").select("kind", "canonical", F.col("step").alias("surrogate")), spark)
         left = cut(left.join(won, ["kind", "canonical"], "left_anti"), spark)
-        used = used.unionAll(won.select("kind", F.col("surrogate").alias("step")))
+        used = used.unionAll(cut(keys(won, "surrogate").select("kind", "key"), spark))
         done = won if done is None else done.unionAll(won)
     return done
 
@@ -373,8 +469,10 @@ def replaced(text: str | None, key: bytes, special: dict[tuple[str, str], str])
         return text, []
     out, at, rows = [], 0, []
     for kind, start, end, canonical in found:
-        new = special.get((kind, canonical)) or surrogate(kind, canonical, key)
-        new = shown(kind, text[start:end], new)
+        entity = plain(kind, canonical)
+        new = special.get((kind, entity)) or surrogate(kind, entity, key)
+        words = entity[1:].split(" ")
+        new = shown(kind, text[start:end], new, kind == "name" and len(words) > 1 and " " not in text[start:end] and text[start:end].lower() == words[0] != words[-1])
         out += [text[at:start], new]
         at = end
         rows.append({"kind": kind, "start": start, "end": end, "surrogate": new})
@@ -394,7 +492,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = sorted({(i, k, c) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True) for k, _, _, c in detect(t)})
+                found = sorted({(i, k, c) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True) for k, _, _, c in ((k, a, b, plain(k, c)) for k, a, b, c in detect(t))})
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], names=["_id", "kind", "canonical"])
 
         # Rows without an id are known by their text.

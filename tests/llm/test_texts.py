@@ -266,6 +266,47 @@ def test_collisions_stay_one_to_one(spark):
     assert pii.shown("phone", "020 555-1234", "99988877766") == "999 888-77766" and pii.shown("email", "A@b.de", "xya@b.de") == "xya@b.de"
 
 
+def test_shown_surrogates_of_a_table(spark):
+    """Over a whole table, and people made to collide: what is shown for an entity is no entity's form, different entities are shown differently, equal ones alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pairs = ["Mr. Qo Za came. Dr. Hi Jy too.", "Mrs. Anna Lee and Mr. Anna Lee; Dr. Anna Lee. Anna said hi.", *(f"Dr. {a}{b} {c}{d} spoke, then {c}{d} left." for a in "BCD" for b in "aeiou" for c in "FGH" for d in "aeo")]
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(pairs)], "doc_id long, text string"))
+    original = {r["doc_id"]: r["text"] for r in docs.collect()}
+    forms, shown = {}, {}
+    for r in pii.replace(docs, KEY).collect():
+        text = original[r["doc_id"]]
+        found = pii.detect(text)
+        assert [(e["kind"], e["start"], e["end"]) for e in r["entities"]] == [x[:3] for x in found]
+        for e, (kind, a, b, canonical) in zip(r["entities"], found, strict=True):
+            fold = lambda x, k=kind: x.lower() if k in ("name", "email") else re.sub(r"[ .()/-]", "", x) if k not in ("ip", "ipv6") else x
+            forms.setdefault(kind, set()).add(fold(text[a:b]))
+            entity = (kind, canonical.split(":", 1)[1] if kind == "name" else canonical)
+            whole = kind != "name" or fold(text[a:b]) == entity[1]
+            shown.setdefault(entity, {}).setdefault(whole, set()).add((fold(text[a:b]), fold(e["surrogate"])))
+    assert len(shown) > 150 and {"email", "name"} <= set(forms)
+    wholes = [(entity[0], next(iter(x[True]))[1]) for entity, x in shown.items() if True in x]
+    assert len(set(wholes)) == len(wholes)  # distinct
+    for (kind, name), x in shown.items():
+        assert len({s for _, s in x.get(True, ())}) <= 1  # coreferent
+        firsts = {n.lower() for n in (*pii.MALE, *pii.FEMALE)}
+        for original_form, s in set().union(*x.values()):
+            assert s not in forms[kind] or s in firsts and original_form == name.split(" ")[0], (name, s)
+
+
+def test_further_forms():
+    """Capitals by word, given names alone, IBANs, IPv6, social security numbers, cards by check digit or network, ten digits after a word."""
+    new, rows = pii.replaced("Dr. ANNA MEYER came. Anna said hi; ANNA too.", KEY, {})
+    first, last = rows[0]["surrogate"].split()
+    assert first.isupper() and last.isupper() and [r["surrogate"] for r in rows[1:]] == [first.capitalize(), first]
+    text = "Pay DE89 3704 0044 0532 0130 00 BY noon, or GB29NWBK60161331926819. From 2001:db8::8a2e:370:7334, ID 078-05-1120, order 1234567890123456, card 4111 1111 1111 1112. Call 2125550187; 2125550187. At 12:30:45 a::b std::vector."
+    new, rows = pii.replaced(text, KEY, {})
+    assert [r["kind"] for r in rows] == ["iban", "iban", "ipv6", "ssn", "card", "phone"] and "1234567890123456" in new and new.count("2125550187") == 1
+    for r in rows[:2]:
+        assert pii._remainder(r["surrogate"].replace(" ", "")) == 1 and re.sub(r"\w", "w", r["surrogate"]) == re.sub(r"\w", "w", text[r["start"] : r["end"]])
+    assert rows[0]["surrogate"].startswith("DE") and rows[2]["surrogate"].startswith("2001:") and rows[3]["surrogate"] != "078-05-1120"
+    assert [k for k, *_ in pii.detect(new)] == [r["kind"] for r in rows]
+
+
 def test_every_mention_of_a_name():
     text = "Frau Anna Meyer came. Anna Meyer said: Meyer, MEYER and Dr. Anna Meyer, Frau Meyer, Meyerin, meyer. Earlier Mr. B. met Mr. Brown; plan B. of Brown. Mr. Meyer is another."
     new, rows = pii.replaced(text, KEY, {})
