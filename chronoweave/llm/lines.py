@@ -7,9 +7,9 @@ grouped over all documents; the occurrence with the smallest document id, then t
 smallest offset, stays, every other one is a repeat.  Offsets are those of the
 original text in code points, ends exclusive.
 
-Short units repeat by chance, so what is removed are runs: repeats that follow each other in a
-document go if their normalised units have `RUN_CHARS` characters or more in all, however short each of them is.
-With `run_chars=1` every repeat goes.
+Every repeat is reported, with the length of its run: the characters of the repeats that follow each other in its
+document, itself among them.  `remove` takes all of them out; as short units repeat by chance, a caller may leave those in
+runs of fewer than `run_chars` characters where they are.  `long_run` says which have `RUN_CHARS` or more.
 
 The smallest occurrence of each digest is a partial aggregate, so a unit in a
 third of all documents costs one row for each task.  Only digests that occur twice
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.util import BLOCK_ROWS, cut, map_columns, texts_of
 
+#: Characters from which on a run of repeats is hardly one by chance.
 RUN_CHARS = 120
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _BLANKS = re.compile(r"[\t\v\f\r ]+")
@@ -75,18 +76,16 @@ def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, doc_id long, k int, size int, start int, end int")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
-    """doc_id, start, end of every unit to be removed, and kept_doc_id, kept_start of the occurrence that stays."""
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start, end of every repeated unit, kept_doc_id, kept_start of the occurrence that stays, and run_chars and long_run of its run of repeats."""
     found = exploded(docs, doc_id, text)
     place = F.struct("doc_id", "start")
     firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = cut(firsts.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")), docs.sparkSession)
-    again = found.join(firsts, "digest").where("doc_id <> kept_doc_id or start <> kept_start").drop("digest")
-    if run_chars > 1:
-        again = again.distinct()
-        again = again.withColumn("run", F.col("k") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("k")))
-        again = again.withColumn("length", F.sum("size").over(W.partitionBy("doc_id", "run"))).where(F.col("length") >= run_chars)
-    return again.select("doc_id", "start", "end", "kept_doc_id", "kept_start")
+    again = found.join(firsts, "digest").where("doc_id <> kept_doc_id or start <> kept_start").drop("digest").distinct()
+    again = again.withColumn("run", F.col("k") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("k")))
+    again = again.withColumn("run_chars", F.sum("size").over(W.partitionBy("doc_id", "run")))
+    return again.select("doc_id", "start", "end", "kept_doc_id", "kept_start", "run_chars", (F.col("run_chars") >= RUN_CHARS).alias("long_run"))
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -100,10 +99,10 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
-    """`docs` with the repeated units cut out of its texts and `removed`, their original spans; a column of that name is replaced."""
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_chars: int = 1) -> DataFrame:
+    """`docs` with the repeated units in runs of `run_chars` characters or more cut out of its texts, and `removed`, their original spans; a column of that name is replaced."""
     docs = docs.drop("removed")
-    spans = repeats(docs, doc_id, text, run_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
+    spans = repeats(docs, doc_id, text).where(F.col("run_chars") >= run_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(spans, F.col(doc_id) == F.col("_id"), "left").drop("_id")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -133,5 +132,5 @@ WITH lines AS (
 ), sized AS (
   SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id, run) AS size FROM again
 )
-SELECT doc_id, start::INT AS start, "end"::INT AS "end", kept_doc_id, kept_start::INT AS kept_start FROM sized WHERE size >= 120
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", kept_doc_id, kept_start::INT AS kept_start, size::BIGINT AS run_chars, size >= 120 AS long_run FROM sized
 """

@@ -69,7 +69,7 @@ def op8_media(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every repeated line or sentence to be removed, and the occurrence that stays."""
+    """Every repeated line or sentence, the occurrence that stays, and the run of repeats that it is in."""
     return lines.repeats(_table(spark, folder, "documents"))
 
 

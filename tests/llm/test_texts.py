@@ -191,23 +191,25 @@ def test_lines_equal_sql(same):
 
 
 def test_lines_edges(spark):
-    """Repeats go in runs that are long enough, short units inside them too; alone they stay, unless every repeat is asked for."""
+    """Every repeat is reported and removed; those in short runs stay if only long ones are asked for."""
     line = "One two three four five six seven eight nine ten eleven twelve. Yes. And a tail of nine or ten or even more words is here for all."
     texts = [(1, f"x\n{line}\n{line.upper()}"), (1, f"x\n{line}\n{line.upper()}"), (2, f"new start of it. {line} Yes. Other."), (None, line), (3, None), (4, ""), (5, "short\nYes.\nshort"), (6, "a\tb  c\n \n"), (7, "中" * 130), (8, "中" * 130), (9, f"{line}\x0b\n")]
     docs = spark.createDataFrame([(*r, 0) for r in texts], "doc_id long, text string, start int")
-    spans = {tuple(r) for r in lines.repeats(docs).collect()}
+    every = {tuple(r)[:5]: (r["run_chars"], r["long_run"]) for r in lines.repeats(docs).collect()}
     n, first, yes = len(line), line.index(" Yes."), line.index(" Yes.") + 5
     each = [(0, first), (first + 1, yes), (yes + 1, n)]
     want = {(1, 3 + n + a, 3 + n + b, 1, 2 + a) for a, b in each} | {(2, 17 + a, 17 + b, 1, 2 + a) for a, b in each} | {(2, 18 + n, 22 + n, 1, 2 + first + 1), (8, 0, 130, 7, 0)}
     want |= {(9, a, b + (b == n), 1, 2 + a) for a, b in each}
-    assert spans == want
-    every = {tuple(r) for r in lines.repeats(docs, run_chars=1).collect()}
-    assert every == want | {(5, 6, 10, 1, 2 + first + 1), (5, 11, 16, 5, 0)}
-    clean = {r["doc_id"]: r["text"] for r in lines.remove(docs).collect()}
+    assert {k for k, (size, long) in every.items() if long and size >= 120} == want
+    assert {k: v for k, v in every.items() if k not in want} == {(5, 6, 10, 1, 2 + first + 1): (9, False), (5, 11, 16, 5, 0): (9, False)}
+    assert every[8, 0, 130, 7, 0] == (130, True)
+    whole = {r["doc_id"]: r["text"] for r in lines.remove(docs).collect()}
+    assert whole[5] == "short\n\n" and whole[2] == "new start of it.     Other."
+    clean = {r["doc_id"]: r["text"] for r in lines.remove(docs, run_chars=lines.RUN_CHARS).collect()}
     assert clean[2] == "new start of it.     Other." and clean[1] == f"x\n{line}\n  " and clean[3] is None and clean[5] == "short\nYes.\nshort" and clean[8] == ""
     assert lines.repeats(docs.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 200_000)], "doc_id long, text string")
-    assert [tuple(r) for r in lines.repeats(long).collect()] == [(2, 0, 1_000_000, 1, 0)]
+    assert [tuple(r) for r in lines.repeats(long).collect()] == [(2, 0, 1_000_000, 1, 0, 999_999, True)]
 
 
 KEY = b"k"
