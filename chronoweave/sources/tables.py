@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_RUNS: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What `kept` writes inside is deleted at the end; results must have been stored by then."""
+    _RUNS.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _RUNS.pop():
+            delete(spark, path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder. What reads it has a scan in place of the plan, pruned to its
-    columns; a lost executor costs a read. Such tables go with the session's checkpoints."""
+    columns; a lost executor costs a read. Such tables go at the end of `scratch`, outside of it when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kept/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _RUNS:
+        _RUNS[-1].append((spark, path))
+    else:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

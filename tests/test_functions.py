@@ -20,11 +20,11 @@ def value(spark, column):
         ("May 2013 and 2013-05-01", ["2013-05-01"]), ("no date here", []), ("11/13/2005", []), (None, []), ("", []),
     ],
 )
-def test_anchors(said, want):
-    assert dates.anchors_in(said) == [date.fromisoformat(d) for d in want]
+def test_anchors(spark, said, want):
+    assert value(spark, dates.explicit_anchors(F.lit(said).cast("string"))) == [date.fromisoformat(d) for d in want]
 
 
-def test_anchor_udf(spark):
+def test_anchors_of_a_column(spark):
     rows = spark.createDataFrame([("in 2010",), (None,)], "q string").select(dates.explicit_anchors("q").alias("a")).collect()
     assert [r["a"] for r in rows] == [[date(2010, 1, 1)], []]
 
