@@ -13,7 +13,7 @@ from chronoweave.catalog.views import EXPLICIT, FACTS, QUESTIONS, Views
 from chronoweave.functions import dates
 from chronoweave.operators import sampling
 from chronoweave.plans.reason import by_model, with_retry
-from chronoweave.sources import caches, graph, journal, questions
+from chronoweave.sources import caches, graph, journal, questions, responses
 from chronoweave.sources.tables import shared_folder
 from chronoweave.streaming import queue
 
@@ -94,6 +94,41 @@ class _Client:
         return ""
 
 
+@query(
+    """, topics AS (SELECT *, k % 50 AS topic FROM questions)
+SELECT 1 AS run, topic, count(*) AS questions, 1 AS calls, topic % 3 > 0 AS valid, 0 AS from_store FROM topics WHERE k % 4 < 3 GROUP BY topic
+UNION ALL SELECT 2, topic, count(*), CASE WHEN topic % 3 > 0 AND topic IN (SELECT topic FROM topics WHERE k % 4 < 3) THEN 0 ELSE 1 END, topic % 3 > 0, CASE WHEN topic % 3 > 0 AND topic IN (SELECT topic FROM topics WHERE k % 4 < 3) THEN count(*) ELSE 0 END FROM topics GROUP BY topic
+UNION ALL SELECT 3, topic, count(*), 1, topic % 3 > 0, 0 FROM topics GROUP BY topic""",
+    f"{FACTS}, {QUESTIONS}",
+)
+def a15_cache_runs(v: Views) -> DataFrame:
+    """Three runs over one store: some questions, all of them, all of them with reads off (L7). Questions of one topic have one prompt, which is one call;
+    every third topic's answer isn't valid and isn't stored; compaction between the runs changes nothing."""
+    path, out = _place(v), None
+    asked = v.questions.select("qid", "k", (F.col("k") % 50).alias("topic"), F.concat(F.lit("topic "), F.col("k") % 50).alias("prompt"), F.lit("m").alias("model"))
+    for run, (part, reads) in enumerate((("k % 4 < 3", True), ("true", True), ("true", False)), 1):
+        store = responses.ResponseStore(v.spark, path, buckets=8, reads=reads)
+        found = store.answer(asked.where(part), _Topics(), attempts=1, valid=lambda text: text != "")
+        store.compact()
+        each = found.groupBy("topic").agg(F.count(F.lit(1)).alias("questions"), F.max("cost").cast("int").alias("calls"), F.max("valid").alias("valid"), F.sum(F.col("from_store").cast("long")).alias("from_store"))
+        each = each.select(F.lit(run).alias("run"), "topic", "questions", "calls", "valid", "from_store")
+        out = each if out is None else out.unionAll(each)
+    return out
+
+
+class _Topics:
+    """Answers a topic once: a second call for it in one task fails. Every third topic has an empty answer."""
+
+    def __init__(self):
+        self.asked: set[str] = set()
+
+    def __call__(self, model: str, prompt: str) -> responses.Answer:
+        if prompt in self.asked:
+            raise ValueError(f"asked again: {prompt}")
+        self.asked.add(prompt)
+        return responses.Answer("" if int(prompt.split()[1]) % 3 == 0 else f"['{prompt}']", 1.0)
+
+
 @query("SELECT DISTINCT p AS relation FROM facts", FACTS)
 def a20_relation_scan(v: Views) -> DataFrame:
     """Keys of a JSON object of relations, a vocabulary that a prompt can hold."""

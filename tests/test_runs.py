@@ -1,6 +1,7 @@
 """Summaries, samples, journals, caches and the stream."""
 
 import json
+import os
 from datetime import date  # noqa: F401
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 
 from chronoweave.operators import metrics, sampling
 from chronoweave.plans import prompts, reason
-from chronoweave.sources import caches, journal, questions
+from chronoweave.sources import caches, journal, questions, responses, tables
 from chronoweave.streaming import queue
 
 ROWS = [
@@ -119,3 +120,66 @@ def test_stream(spark, tmp_path):
         queue.process_batch(spark.createDataFrame([("d",)], schema), works, path, out, max_usd=3.0)
     queue.clear(spark, path, mark)
     assert queue.done_rows(spark, path, out).count() == 0
+
+
+class Counting:
+    """A client that leaves a file for each call, wherever it runs."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def __call__(self, model, prompt):
+        import hashlib
+        import uuid
+
+        with open(f"{self.folder}/{hashlib.md5(prompt.encode()).hexdigest()}-{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        return "[]" if "never right" not in prompt and "q1?" in prompt else "['x']" if "never right" in prompt else "['Ann']"
+
+
+def test_a_model_run_pays_once(spark, tmp_path):
+    """One call for each distinct prompt, the retry's beside it, however often the result is read; a second run pays nothing."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    schema = "qid string, question string, main string, aux array<string>, answer_type string, qlabel string"
+    q = spark.createDataFrame([(f"q{i}", f"q{i % 10}?", "Ann", [], "entity", "Single") for i in range(20)], schema)
+    chain = q.select("qid", F.col("main").alias("s"), F.lit("p").alias("p"), F.lit("o").alias("o"), F.lit("2024").alias("ts"), F.lit(1).alias("rank"))
+    for _ in range(2):
+        store = responses.ResponseStore(spark, str(tmp_path / "store"), buckets=4)
+        found = reason.by_model(responses.asker(store, Counting(calls), "m"), "strict", "en")(q, chain, None)
+        got = {r["qid"]: (r["pred"], r["abstain_recovered"]) for r in found.collect()}
+        assert found.count() == 20 and found.where("abstain_recovered").count() == 2
+        assert got["q1"] == (["x"], True) and got["q11"] == (["x"], True) and got["q2"] == (["Ann"], False)
+        assert len(list(calls.iterdir())) == 11  # ten prompts and one retry
+
+
+def test_response_store(spark, tmp_path):
+    """Invalid answers aren't stored, failures are tried again and raise in the end, reads off still writes, compaction keeps the latest."""
+    tries = []
+
+    def flaky(model, prompt):
+        if "fail" in prompt or not tries:
+            tries.append(prompt)
+            raise OSError("down")
+        return responses.Answer("" if prompt == "bad" else f"{prompt}!", 0.5)
+
+    store = responses.ResponseStore(spark, str(tmp_path / "s"), buckets=3)
+    rows = spark.createDataFrame([(1, "m", "a"), (2, "m", "a"), (3, "m", "bad"), (4, "other", "a"), (None, "m", "b")], "id int, model string, prompt string")
+    got = {r["id"]: (r["response"], r["valid"], r["cost"], r["from_store"]) for r in store.answer(rows, flaky, sleep=lambda s: None).collect()}
+    assert got[1] == got[2] == ("a!", True, 0.5, False) and got[3] == ("", False, 1.5, False) and got[4][0] == "a!" and got[None][0] == "b!"
+    assert store.known().count() == 3 and store.entries().count() == 3
+    off = responses.ResponseStore(spark, str(tmp_path / "s"), buckets=3, reads=False)
+    assert {r["response"] for r in off.answer(rows.where("id = 1"), lambda m, p: "new").collect()} == {"new"}
+    off.compact()
+    assert store.entries().count() == 3 and "new" in {r["response"] for r in store.known().collect()}
+    assert store.answer(rows.limit(0), flaky).count() == 0
+    with pytest.raises(Exception, match="down"):
+        store.answer(spark.createDataFrame([("m", "fail")], "model string, prompt string"), flaky, sleep=lambda s: None)
+
+
+def test_kept_tables_go(spark):
+    with tables.scratch():
+        df = tables.kept(spark.range(3))
+        path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
