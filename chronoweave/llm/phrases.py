@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.util import Shipped, _q, cut, worker_object
+from chronoweave.llm.util import Shipped, _q, cut, give_back, worker_object
 
 #: Words of a shard.
 SHARD_WORDS = 1 << 20
@@ -56,17 +56,16 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
             ahead[:-done] = np.where(left[:-done] > done, ranks[done:], 0)
         keys = ranks * (int(ahead.max(initial=0)) + 1) + ahead
         order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        ranks = np.empty(len(ids), np.int64)
-        ranks[order] = np.cumsum(np.r_[1, sorted_keys[1:] != sorted_keys[:-1]])[: len(ids)]
+        keys = keys[order]
+        ranks[order] = np.cumsum(np.r_[1, keys[1:] != keys[:-1]])[: len(ids)]
         done *= 2
-    return np.argsort(ranks, kind="stable")
+    return np.argsort(ranks, kind="stable").astype(np.int32)
 
 
 def words_left(ids: np.ndarray) -> np.ndarray:
     """Words from each place to the end of its piece; 0 where one ends."""
     ends = np.flatnonzero(ids == 0)
-    return np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(len(ids))
+    return (np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(len(ids))).astype(np.int32)
 
 
 def intervals(ids: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -144,12 +143,13 @@ def _counted(docs: DataFrame, least: int, most: int, frequent: tuple[Shipped, in
                     numbers[b"."]
                     held[lang] = numbers, []
                 found = words_of(text)
-                held[lang][1].append(np.fromiter(map(held[lang][0].__getitem__, found), np.int64, len(found)))
+                held[lang][1].append(np.fromiter(map(held[lang][0].__getitem__, found), np.int32, len(found)))
                 words += len(found)
                 if words >= SHARD_WORDS:
                     for key, (numbers, parts) in held.items():
                         yield from shard(key, numbers, parts)
                     held, words = {}, 0
+                    give_back()
         for key, (numbers, parts) in held.items():
             yield from shard(key, numbers, parts)
 

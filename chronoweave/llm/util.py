@@ -37,12 +37,12 @@ def worker_object(key: Any, build: Callable[[], Any]) -> Any:
             _OBJECTS.clear()
             for memo in MEMOS:
                 memo.clear()
-            _give_back()
+            give_back()
         _OBJECTS[key] = build()
     return _OBJECTS[key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system, where the C library can do that."""
     gc.collect()
     pa.default_memory_pool().release_unused()
