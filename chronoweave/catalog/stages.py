@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chronoweave.catalog.registry import query
 from chronoweave.catalog.views import ANCHORS, CHAIN, ENDPOINTS, EXPLICIT, FACTS, FULL, GRAPH, INTERVALS, QUESTIONS, VECTORS, Views
 from chronoweave.functions import dates, text, vectors
-from chronoweave.operators import chain, corpus, grounding, retrieval, subgraph
-from chronoweave.sources import graph
+from chronoweave.operators import chain, corpus, dense, grounding, retrieval, subgraph
+from chronoweave.sources import graph, inverted
+from chronoweave.sources.tables import place
 
 
 @query(
@@ -134,6 +135,28 @@ def d5_dense_topk(v: Views) -> DataFrame:
     return _ranked(v, 5).select("qid", "item", "rank")
 
 
+@query("SELECT qid, item, sim, rank FROM ranked WHERE rank <= 100", _SCORED)
+def d5_dense_top100(v: Views) -> DataFrame:
+    return _ranked(v, 100)
+
+
+def _stored(v: Views, k: int) -> DataFrame:
+    """By an index of blocks, which is written, and read by a search that skips blocks."""
+    have = v.table("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("iv"))
+    index = dense.DenseIndex.build(have, place(v.spark, "stores"), block_rows=64)
+    return index.search(v.asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), k)
+
+
+@query("SELECT qid, item FROM ranked WHERE rank = 1", _SCORED)
+def d3_stored_top1(v: Views) -> DataFrame:
+    return _stored(v, 1).select("qid", "item")
+
+
+@query("SELECT qid, item, sim, rank FROM ranked WHERE rank <= 100", _SCORED)
+def d5_stored_top100(v: Views) -> DataFrame:
+    return _stored(v, 100)
+
+
 @query(
     """, phrases AS (SELECT DISTINCT p AS relation, CASE length(p) % 2 WHEN 0 THEN upper(p) ELSE replace(p, '_', ' ') END AS phrase FROM facts), keyed AS (SELECT lower(trim(p)) AS k, max(p) AS entity FROM facts GROUP BY 1)
 SELECT phrase, entity AS relation FROM phrases LEFT JOIN keyed ON lower(trim(phrase)) = k""",
@@ -288,6 +311,15 @@ def e19_bm25(v: Views) -> DataFrame:
     return retrieval.shortlist(_bm25(v), 20).select("qid", "doc_id", "score")
 
 
+@query("SELECT qid, doc_id, round(score, 6) AS score, rank FROM short WHERE rank <= 20", _TERMS)
+def e19_stored_index(v: Views) -> DataFrame:
+    """The best twenty by an index that is written with a part of the documents and grows by two appends."""
+    index = inverted.InvertedIndex(v.spark, place(v.spark, "stores"))
+    for lot in range(3):
+        index.append(v.table("documents").where(F.col("doc_id") % 3 == lot))
+    return index.search(v.table("benchmark"), 20, "item_id", "text")
+
+
 @query("SELECT qid, doc_id, rank FROM short WHERE rank <= 200", _TERMS)
 def g4_bm25_shortlist(v: Views) -> DataFrame:
     return retrieval.shortlist(_bm25(v)).select("qid", "doc_id", "rank")

@@ -1,4 +1,4 @@
-"""Vectors as arrays: norms and similarities by built-in higher-order functions, and a hashing encoder."""
+"""Vectors as arrays: norms by built-in higher-order functions, similarities by matrix products over Arrow batches, and a hashing encoder."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +25,28 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+def rows_of(vectors: pa.Array) -> np.ndarray | None:
+    """A column of vectors as a matrix in double precision, without a copy for each row; None if one is absent, has an absent number or another length."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    n, flat = len(vectors), vectors.flatten()
+    if not n or vectors.null_count or flat.null_count or len(flat) % n or pc.min_max(pc.list_value_length(vectors)).as_py() != dict.fromkeys(("min", "max"), len(flat) // n):
+        return None
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+@F.arrow_udf(T.DoubleType())
+def _cosines(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = rows_of(a), rows_of(b)
+    if x is not None and y is not None and x.shape == y.shape:
+        return pa.array(np.round(np.einsum("ij,ij->i", x, y), 6) + 0.0)
+    each = [None if u is None or v is None or len(u) != len(v) or None in u or None in v else round(float(np.dot(np.asarray(u, float), np.asarray(v, float))), 6) + 0.0 for u, v in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    return pa.array(each, pa.float64())
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Cosine of unit vectors to six decimals: both engines and all plans then rank alike."""
-    return F.round(dot(a, b), 6)
+    """Cosine of unit vectors to six decimals: both engines and all plans then rank alike. A product of matrices for each
+    Arrow batch; vectors of different lengths, or with absent numbers, have none."""
+    return _cosines(a, b)
 
 
 def hash_encoder(dimensions: int = 64, model: str = "hash-64"):

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.functions import text, vectors
+from chronoweave.functions import text
+from chronoweave.operators.dense import nearest  # noqa: F401  the search for what exact keys don't find
 
 #: Second relation of a phrase: kept if it scores nearly like the first, or high by itself.
 GAP, HIGH = 0.15, 0.75
@@ -21,19 +22,6 @@ def exact(mentions: DataFrame, vocabulary: DataFrame, mention: str = "mention",
     return found.select(*mentions.columns, F.coalesce("_by_key", "_same").alias(entity))
 
 
-def nearest(queries: DataFrame, vocabulary: DataFrame, k: int = 1, query_id: str = "qid", item_id: str = "item", query_vector: str = "qv", item_vector: str = "iv", blocks: int | None = None) -> DataFrame:
-    """The k items with the highest cosine for each query, ties by item id; columns query, item, sim and rank.
-
-    Every query meets the whole vocabulary, which is the operator's definition: the queries are few and
-    the vocabulary is dealt over `blocks` (unless given, as many as a shuffle has partitions, which grows with the cluster and the data);
-    each block keeps its own best k, so only k rows of a query and block are shuffled."""
-    blocks = blocks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = vocabulary.withColumn("_block", F.pmod(F.xxhash64(item_id), F.lit(blocks)))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = asked.join(parts, "_block").select("_block", query_id, item_id, vectors.similarity(F.col(query_vector), F.col(item_vector)).alias("sim"))
-    return best(scored, [query_id], k, [F.desc("sim"), F.asc(item_id)])
-
-
 def best(rows: DataFrame, keys: list[str], k: int, order: list[Column], name: str = "rank") -> DataFrame:
     """The first k rows of each key. A literal bound lets partitions drop all others before the shuffle."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col(name) <= k).drop("_block")

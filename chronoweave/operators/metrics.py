@@ -12,31 +12,33 @@ from chronoweave.sources.graph import endpoints
 def answer_recall(facts: DataFrame, gold: DataFrame) -> DataFrame:
     """(qid, recalled) for questions with facts that have a gold answer. `gold` is (qid, answer_type, answers).
 
-    Entity answers are one equi-join on the facts' ends; time answers are one on the fact's timestamp at the answer's grain."""
-    named = gold.where(F.col("answer_type") != scores.TIME).select("qid", F.explode("answers").alias("g")).select("qid", text.normalize(F.col("g")).alias("key")).distinct()
-    ends = endpoints(facts).select("qid", text.normalize(F.col("e")).alias("key"))
-    timed = gold.where(F.col("answer_type") == scores.TIME).select("qid", F.explode("answers").alias("key")).distinct()
-    grains = facts.select("qid", F.explode(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.array_join(F.slice(F.split("ts", "-"), 1, n), "-"))).alias("key"), "ts")
-    entity = ends.join(named, ["qid", "key"], "left_semi").select("qid")
-    # A gold timestamp equals a fact's at the gold's grain.
-    time = grains.join(timed, ["qid", "key"], "left_semi").select("qid")
-    return entity.unionAll(time).distinct().withColumn("recalled", F.lit(True))
+    One pass over facts that are at hand by question: a question's few answers go with its row, no fact is shuffled more than once."""
+    return facts.join(_asked(gold), "qid").where(_has_answer()).select("qid").distinct().withColumn("recalled", F.lit(True))
+
+
+def _asked(gold: DataFrame) -> DataFrame:
+    """(qid, answer_type, _names, _times)."""
+    return gold.select("qid", "answer_type", F.transform("answers", text.normalize).alias("_names"), F.col("answers").alias("_times"))
+
+
+def _has_answer() -> Column:
+    """Whether a fact has one of the question's answers: at one of its ends, or as its time at the answer's grain."""
+    named = F.arrays_overlap(F.array(text.normalize(F.col("s")), text.normalize(F.col("o"))), F.col("_names"))
+    timed = F.exists("_times", lambda g: scores.time_matches(F.col("ts"), g))
+    return F.coalesce(F.when(F.col("answer_type") == scores.TIME, timed).otherwise(named), F.lit(False))
 
 
 def sizes(facts: DataFrame, gold: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """(qid, n, recalled, on_anchor): a question's facts, whether one has a gold answer, and whether one is on an anchor, in one pass over `facts` (with d).
 
-    `answer_recall` and `anchor_recall` for facts that are at hand by question: a question's few answers and dates go with its row."""
-    own = gold.select("qid", "answer_type", F.transform("answers", text.normalize).alias("_names"), F.col("answers").alias("_times"))
+    `answer_recall` and `anchor_recall` together: a question's few answers and dates go with its row."""
+    own = _asked(gold)
     if anchors is None:
         own = own.withColumn("_days", F.array().cast("array<date>"))
     else:
         own = own.join(anchors.groupBy("qid").agg(F.collect_set("anchor").alias("_days")), "qid", "left")
-    named = F.arrays_overlap(F.array(text.normalize(F.col("s")), text.normalize(F.col("o"))), F.col("_names"))
-    timed = F.exists("_times", lambda g: scores.time_matches(F.col("ts"), g))
-    is_in = F.coalesce(F.when(F.col("answer_type") == scores.TIME, timed).otherwise(named), F.lit(False))
     on = F.coalesce(F.array_contains("_days", dates.parse_ts(F.col("ts"))), F.lit(False))
-    return facts.join(own, "qid").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max(is_in).alias("recalled"), F.max(on).alias("on_anchor"))
+    return facts.join(own, "qid").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max(_has_answer()).alias("recalled"), F.max(on).alias("on_anchor"))
 
 
 def anchor_recall(facts: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -20,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def place(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, for a table or store; what lies there when the driver's JVM ends is deleted."""
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    system.delete(target, True)
+    return path
+
+
 _RUNS: list[list[tuple[SparkSession, str]]] = []
 
 
