@@ -10,6 +10,7 @@ from chronoweave.catalog.views import ANCHORS, CHAIN, ENDPOINTS, EXPLICIT, FACTS
 from chronoweave.functions import dates, text, vectors
 from chronoweave.operators import chain, corpus, dense, grounding, retrieval, subgraph
 from chronoweave.sources import graph, inverted
+from chronoweave.sources.adjacency import Adjacency
 from chronoweave.sources.tables import place
 
 
@@ -33,6 +34,22 @@ def a2_adjacency(v: Views) -> DataFrame:
     return graph.endpoints(v.facts).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT e, count(*) AS n FROM ends GROUP BY e", f"{FACTS}, {ENDPOINTS}")
+def a2_stored_adjacency(v: Views) -> DataFrame:
+    return Adjacency.write(v.facts).ends().groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT qid, e, s, p, o, ts FROM questions JOIN ends ON main = e", GRAPH)
+def d1_stored_facts(v: Views) -> DataFrame:
+    """By bucketed tables; entities with a few hundred facts are dealt over several buckets."""
+    return Adjacency.write(v.facts, limit=200).touching(v.questions.select("qid", F.col("main").alias("e"))).select("qid", "e", *graph.COLUMNS)
+
+
+@query("SELECT qid, s, p, o, ts FROM fq", GRAPH)
+def h1_stored_subgraph(v: Views) -> DataFrame:
+    return Adjacency.write(v.facts).retrieve(*v.wanted)
+
+
 @query("SELECT DISTINCT e AS entity FROM ends", f"{FACTS}, {ENDPOINTS}")
 def a3_entities(v: Views) -> DataFrame:
     return graph.entities(v.facts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import chain, corpus, grounding, metrics, subgraph
 from chronoweave.plans.answer import TemporalQA
 from chronoweave.plans.spec import RunSpec
-from chronoweave.sources import graph
+from chronoweave.sources import adjacency, graph
 
 LINES = """Alpha_(North)\tMake_a_visit\tBeta\t2005-11-13
 Beta\tHost_a_visit\tAlpha_(North)\t2005-11-13
@@ -122,3 +122,46 @@ def test_spec():
     with pytest.raises(ValueError, match="style"):
         RunSpec(style="own")
     assert RunSpec.from_conf({"k": "10", "cache": "false"}) == RunSpec(k=10, cache=False)
+
+
+def shuffles_below(plan: str, table: str) -> list[str]:
+    """Exchanges between a scan of a table and the join above it, by the indents of a plan's lines."""
+    lines, found = plan.split("\n"), []
+    depth = lambda line: next((i for i, c in enumerate(line) if c.isalnum() or c == "*"), 0)
+    for i, line in enumerate(lines):
+        if "Scan parquet" in line and f"{table}[" in line:
+            level = depth(line)
+            for above in reversed(lines[:i]):
+                if depth(above) < level:
+                    level = depth(above)
+                    if "Join" in above:
+                        break
+                    if "Exchange hashpartitioning" in above or "Exchange range" in above:
+                        found.append(above)
+    return found
+
+
+@pytest.mark.parametrize("broadcast", [-1, 10 << 20])
+def test_stored_adjacency(spark, broadcast):
+    """Lookups equal those without a store, with self-loops and a large entity; the facts' side isn't shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = [(f"e{i % 7}", f"r{i % 3}", f"e{i % 11}", f"20{i % 30:02d}") for i in range(300)] + [("hub", "r1", f"x{i}", "2001") for i in range(200)] + [("hub", "r1", "hub", "2002"), (None, "r1", "e1", "2003")]
+        facts = spark.createDataFrame(rows, "s string, p string, o string, ts string")
+        stored = adjacency.Adjacency.write(facts, buckets=4, limit=50)
+        assert spark.table(f"{stored.name}_large").where("e = 'hub'").first()["salts"] >= 4
+        assert sorted(map(str, stored.ends().select("e", "s", "p", "o", "ts").collect())) == sorted(map(str, graph.endpoints(facts).select("e", "s", "p", "o", "ts").collect()))
+        entities = spark.createDataFrame([("q1", "e1"), ("q1", "hub"), ("q2", "e3"), ("q3", "nobody"), ("q2", "e3")], "qid string, e string")
+        relations = spark.createDataFrame([("q1", "r1"), ("q1", "r2"), ("q2", "r0"), ("q3", "r1")], "qid string, p string")
+        plain = lambda df: sorted(map(str, df.collect()))
+        order = ["qid", "e", "s", "p", "o", "ts"]
+        one, two = stored.touching(entities).select(*order), stored.retrieve(entities, relations)
+        assert plain(one) == plain(subgraph.touching(facts, entities).select(*order))
+        assert plain(two) == plain(subgraph.retrieve(facts, entities, relations))
+        for df in (one, two):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert stored.name in plan and not shuffles_below(plan, stored.name), plan
+        stored.drop()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
