@@ -15,7 +15,7 @@ from chronoweave.operators import sampling
 from chronoweave.plans.reason import by_model, with_retry
 from chronoweave.sources import caches, graph, journal, questions, responses
 from chronoweave.sources.tables import shared_folder
-from chronoweave.streaming import queue
+from chronoweave.streaming import leases, queue
 
 
 def _place(v: Views) -> str:
@@ -172,6 +172,37 @@ def j4_released(v: Views) -> DataFrame:
     return journal.released(claims, v.questions.where("k % 3 = 0"), F.timestamp_seconds(F.lit(5400)), 3600)
 
 
+def _leased(v: Views, spend: leases.Spend, until, **how) -> DataFrame:
+    """The journal of a stream of questions of which every fifth one's first claim dies."""
+    path = _place(v)
+    v.questions.select("qid", "k").write.json(f"{path}/questions")
+    row = v.spark.createDataFrame([], "qid string, try int, error string, cost double").schema
+    dies = (F.col("k") % 5 == 0) & (F.col("try") == 1)
+    score = lambda claims: claims.where(~dies).select("qid", "try", F.lit("").alias("error"), F.lit(1.0).alias("cost"))
+    asked = v.questions.select("qid", "k").schema
+    leases.run(v.spark, f"{path}/questions", asked, score, f"{path}/journal", row, f"{path}/checkpoint", spend, until=until, lease_seconds=1, every="1 second", partitions=4, **how)
+    return v.spark.read.schema(row).option("recursiveFileLookup", "true").json(f"{path}/journal")
+
+
+@query("SELECT qid, 1 AS answers, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS try FROM questions", f"{FACTS}, {QUESTIONS}")
+def j4_leases(v: Views) -> DataFrame:
+    """A stream whose claims have timers: what dies is asked again once, what is answered never."""
+    total = v.questions.count()
+    rows = _leased(v, leases.Spend(), lambda s: s.rows >= total)
+    return rows.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("answers"), F.max("try").alias("try"))
+
+
+@query("SELECT TRUE AS ended, TRUE AS within_a_wave, 2 AS told, TRUE AS each_once, count(*) AS questions FROM questions", f"{FACTS}, {QUESTIONS}")
+def j6_budget(v: Views) -> DataFrame:
+    """The stream ends before the wave past its budget, and has told of four fifths and of nineteen twentieths once each; other questions wait."""
+    total = v.questions.count()
+    spend = leases.Spend(max_usd=total / 4)
+    rows = _leased(v, spend, lambda s: False, wave_rows=max(1, total // 40))
+    found = rows.agg(F.sum("cost").alias("paid"), (F.count(F.lit(1)) == F.count_distinct("qid")).alias("each_once"))
+    within = (F.col("paid") >= spend.max_usd) & (F.col("paid") < spend.max_usd + 0.1 * total)
+    return found.select(F.lit(spend.passed).alias("ended"), within.alias("within_a_wave"), F.lit(len(spend.told)).alias("told"), "each_once", F.lit(total).cast("long").alias("questions"))
+
+
 @query("SELECT qid, CASE WHEN k % 3 = 0 THEN 'first' WHEN k % 3 = 1 AND k % 2 = 1 THEN 'second' ELSE '' END AS pred, k % 3 = 1 AND k % 2 = 1 AS abstain_retry, k % 3 < 2 AS parse_ok FROM questions", f"{FACTS}, {QUESTIONS}")
 def k7_retry(v: Views) -> DataFrame:
     """One second pass for readable empty answers on non-empty chains, in the strict style."""
