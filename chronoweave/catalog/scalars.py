@@ -11,7 +11,7 @@ from chronoweave.functions import dates, scores, text
 from chronoweave.operators import corpus, sampling
 from chronoweave.plans import prompts
 from chronoweave.plans.reason import parsed
-from chronoweave.plans.spec import RunSpec
+from chronoweave.plans.spec import ABLATIONS, RunSpec
 from chronoweave.sources import caches, questions
 
 #: Timestamps of every grain from order dates.
@@ -166,10 +166,22 @@ def b11_sample_id(v: Views) -> DataFrame:
     return v.questions.select("qid", sampling.sample_id(F.lit("docs"), F.col("k"), F.lit(42)).alias("sample_id"))
 
 
-@query("SELECT * FROM (VALUES ('point_en_rules_200'), ('point_vi_rules_200_no_ps_k10_n5_strict_nothink'), ('interval_en_m_50_s1_emb-x')) t(run_id)")
+@query(
+    """, settings AS (
+  SELECT qid, CASE WHEN k % 3 = 0 THEN 'interval' ELSE 'point' END AS dataset, CASE WHEN k % 2 = 0 THEN 'vi' ELSE 'en' END AS lang, k % 50 AS k1, k % 7 AS n1, (['', 'no_sg', 'no_kntn', 'no_ps'])[k % 4 + 1] AS ablation, qtype, time_level, k FROM questions)
+SELECT qid, concat_ws('_', dataset, lang, qtype, k::VARCHAR, CASE WHEN k % 5 > 0 THEN 's' || k % 5 END, nullif(ablation, ''), CASE WHEN k1 NOT IN (0, 40) THEN 'k' || k1 END,
+  CASE WHEN n1 <> 0 AND n1 <> CASE dataset WHEN 'point' THEN 2 ELSE 5 END THEN 'n' || n1 END, CASE WHEN k % 6 = 0 THEN 'strict' END, CASE WHEN time_level = 'day' THEN 'emb-day' END, CASE WHEN k % 8 = 0 THEN 'hosted' END, CASE WHEN k % 9 = 0 THEN 'nothink' END) AS run_id FROM settings""",
+    f"{FACTS}, {QUESTIONS}",
+)
 def b10_run_id(v: Views) -> DataFrame:
-    specs = RunSpec(n=200), RunSpec(n=200, lang="vi", model="a/rules", ablation="no_ps", k=10, n_implicit=5, style="strict", thinking=False), RunSpec(dataset="interval", model="m", n=50, sample_id="s1", k=40, n_implicit=5, encoder="a/x")
-    return v.spark.createDataFrame([(s.run_id,) for s in specs], "run_id string")
+    """A run's name for every row of a table of settings."""
+    k, text = F.col("k"), lambda c: F.coalesce(c, F.lit(""))
+    settings = v.questions.select(
+        "qid", F.when(k % 3 == 0, "interval").otherwise("point").alias("dataset"), F.when(k % 2 == 0, "vi").otherwise("en").alias("lang"), F.concat(F.lit("maker/"), "qtype").alias("model"), k.alias("n"),
+        text(F.when(k % 5 > 0, F.concat(F.lit("s"), (k % 5).cast("string")))).alias("sample_id"), F.element_at(F.array(*map(F.lit, ABLATIONS)), (k % 4 + 1).cast("int")).alias("ablation"), (k % 50).cast("int").alias("k"), (k % 7).cast("int").alias("n_implicit"),
+        F.when(k % 6 == 0, "strict").alias("style"), F.when(F.col("time_level") == "day", "maker/day").alias("encoder"), (k % 8 == 0).alias("self_hosted"), (k % 9 > 0).alias("thinking"),
+    )
+    return settings.select("qid", RunSpec.run_ids(settings).alias("run_id"))
 
 
 @query("SELECT doc_id % 4 AS attempt, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.45 WHEN 2 THEN 0.6 ELSE 0.75 END::DOUBLE AS t, count(*) AS n FROM documents GROUP BY 1, 2")

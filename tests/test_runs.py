@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from chronoweave.operators import metrics, sampling
 from chronoweave.plans import prompts, reason
+from chronoweave.plans.spec import RunSpec
 from chronoweave.sources import caches, journal, questions, responses, tables
 from chronoweave.streaming import queue
 
@@ -183,3 +184,11 @@ def test_kept_tables_go(spark):
         path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
         assert df.count() == 3 and os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_run_ids_of_a_table(spark):
+    """The column's names are those of the settings' objects."""
+    rows = [("point", "en", "a/m", 5, "", "", 40, 2, "paper", "x/e", True), ("interval", "vi", "m", 0, "s1", "no_ps", 10, 0, "strict", "hash-64", False), ("interval", "en", "m", 7, "", "", 0, 5, "paper", "hash-64", True)]
+    names = "dataset lang model n sample_id ablation k n_implicit style encoder thinking".split()
+    df = spark.createDataFrame(rows, "dataset string, lang string, model string, n int, sample_id string, ablation string, k int, n_implicit int, style string, encoder string, thinking boolean")
+    assert [r[0] for r in df.select(RunSpec.run_ids(df)).collect()] == [RunSpec(**dict(zip(names, r, strict=True))).run_id for r in rows]
