@@ -9,7 +9,7 @@ from chronoweave.catalog.registry import query
 from chronoweave.catalog.views import ANCHORS, CHAIN, EXPLICIT, FACTS, FULL, GRAPH, JOURNAL, QUESTIONS, ROWS, VECTORS, Views
 from chronoweave.functions import dates, scores
 from chronoweave.operators import corpus, metrics, sampling
-from chronoweave.plans.answer import TemporalQA
+from chronoweave.plans.answer import TemporalQA, Trace
 from chronoweave.plans.prompts import evidence, grounded_text
 from chronoweave.plans.reason import by_rules
 from chronoweave.plans.spec import RunSpec
@@ -310,9 +310,9 @@ fq AS (SELECT qid, s, p, o, ts, ts::DATE AS d, row_number() OVER (PARTITION BY q
   FROM short JOIN said USING (fid) JOIN questions USING (qid) JOIN embeddings a ON a.vec_id = k % 500 JOIN embeddings b ON b.vec_id = (length(s) * 31 + length(o) * 7 + length(p) * 3 + length(ts)) % 500 QUALIFY pos < 100)"""
 
 
-def _answers(v: Views, **settings) -> DataFrame:
+def _answers(v: Views, trace: Trace | None = None, **settings) -> DataFrame:
     qs = v.questions.withColumn("aux", F.array("aux")).withColumn("relations", F.array("relation"))
-    plan = TemporalQA(v.facts, RunSpec(**settings), scored=lambda fq, questions, kind: v.similar(fq), vectors=lambda questions, facts: v.vectors(facts))
+    plan = TemporalQA(v.facts, RunSpec(**settings), scored=lambda fq, questions, kind: v.similar(fq), vectors=lambda questions, facts: v.vectors(facts), trace=trace)
     out = plan.answer(qs)
     return out.select("qid", F.array_join("pred", ",").alias("pred"), "subgraph_size", "chain_size", "answer_recall_sg", "answer_recall_chain", "anchor_recall")
 
@@ -327,6 +327,15 @@ def answer_pipeline(v: Views) -> DataFrame:
     return _answers(v)
 
 
+@query("SELECT 'point_en_rules_0' AS run_id, (SELECT count(*) FROM questions) AS questions, (SELECT count(*) FROM fq) AS facts, (SELECT count(*) FROM anchors) AS anchors, (SELECT count(*) FROM chain) AS chain, 0 AS undated", f"{_START}, {_BOTH}, {_NEAREST}")
+def k8_trace(v: Views) -> DataFrame:
+    """What the stages of the flagship run have made, observed while they were written."""
+    trace = Trace()
+    _answers(v, trace)
+    row = trace.row(v.spark, RunSpec().run_id)
+    return row.select("run_id", *[F.col(f"{stage}.rows").alias(stage) for stage in ("questions", "facts", "anchors", "chain")], (F.col("facts.undated") + F.col("anchors.undated") + F.col("chain.undated")).cast("int").alias("undated"))
+
+
 @query(_RESULT, f"{_START}, {_ALL}, {_WIDER}, {_RECALL}, {_RULES}")
 def answer_pipeline_vi(v: Views) -> DataFrame:
     """With what Vietnamese adds: dates of superlatives, more neighbours, facts between grounded entities (G12, E2, H3)."""

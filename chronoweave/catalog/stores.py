@@ -13,7 +13,7 @@ from chronoweave.catalog.views import EXPLICIT, FACTS, QUESTIONS, Views
 from chronoweave.functions import dates
 from chronoweave.operators import sampling
 from chronoweave.plans.reason import by_model, with_retry
-from chronoweave.sources import caches, graph, journal, questions, responses
+from chronoweave.sources import caches, embeddings, graph, journal, questions, responses
 from chronoweave.sources.tables import shared_folder
 from chronoweave.streaming import leases, queue
 
@@ -94,6 +94,30 @@ class _Client:
         return ""
 
 
+class _Lots:
+    """Vectors of a text's length and number of e's, in turned order; every client's first call fails."""
+
+    def __init__(self, settings: dict):
+        self.scale, self.failed = settings["scale"], False
+
+    def __call__(self, texts: list[str]) -> embeddings.Reply:
+        if not self.failed:
+            self.failed = True
+            raise OSError("down")
+        return embeddings.Reply([(i, [self.scale * len(t), t.count("e")]) for i, t in reversed(list(enumerate(texts)))], sum(map(len, texts)))
+
+
+@query("SELECT qid, 2 * length(question) AS x, length(question) - length(replace(question, 'e', '')) AS y, (SELECT sum(length(q))::BIGINT FROM (SELECT DISTINCT question AS q FROM questions)) AS tokens FROM questions", f"{FACTS}, {QUESTIONS}")
+def a17_embedding_connector(v: Views) -> DataFrame:
+    """Every distinct question once, in lots, by a client of a registry (K5) that fails first and turns its answers round; its usage is charged."""
+    registry = embeddings.Registry()
+    registry.register("lots", _Lots)
+    twice = v.questions.select("qid", "question").unionAll(v.questions.select("qid", "question"))
+    found, bill = embeddings.embed(twice, registry.handle("lots", scale=2), "question", lot=50, normalize=False, sleep=lambda s: None)
+    once = found.groupBy("qid").agg(F.first("embedding").alias("v"))
+    return once.select("qid", F.col("v")[0].cast("long").alias("x"), F.col("v")[1].cast("long").alias("y"), bill.select("tokens").scalar().alias("tokens"))
+
+
 @query(
     """, topics AS (SELECT *, k % 50 AS topic FROM questions)
 SELECT 1 AS run, topic, count(*) AS questions, 1 AS calls, topic % 3 > 0 AS valid, 0 AS from_store FROM topics WHERE k % 4 < 3 GROUP BY topic

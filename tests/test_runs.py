@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from chronoweave.operators import metrics, sampling
 from chronoweave.plans import prompts, reason
 from chronoweave.plans.spec import RunSpec
-from chronoweave.sources import caches, journal, questions, responses, tables
+from chronoweave.sources import caches, embeddings, journal, questions, responses, tables
 from chronoweave.streaming import queue
 
 ROWS = [
@@ -192,3 +192,37 @@ def test_run_ids_of_a_table(spark):
     names = "dataset lang model n sample_id ablation k n_implicit style encoder thinking".split()
     df = spark.createDataFrame(rows, "dataset string, lang string, model string, n int, sample_id string, ablation string, k int, n_implicit int, style string, encoder string, thinking boolean")
     assert [r[0] for r in df.select(RunSpec.run_ids(df)).collect()] == [RunSpec(**dict(zip(names, r, strict=True))).run_id for r in rows]
+
+
+class Lot:
+    """Says which settings made it; notes how many texts came at once."""
+
+    def __init__(self, settings):
+        self.settings = settings
+
+    def __call__(self, texts):
+        if self.settings.get("broken"):
+            return embeddings.Reply([(0, [1.0])] * len(texts))
+        return embeddings.Reply([(i, [float(self.settings["size"]), float(len(texts))]) for i in range(len(texts))][::-1], len(texts))
+
+
+def test_embedding_connector(spark):
+    """Lots are filled across batches, a change of settings makes a new client, unfit replies raise in the end, nulls stay null."""
+    registry = embeddings.Registry()
+    registry.register("m", Lot)
+    texts = spark.range(0, 95, 1, 1).select(F.concat(F.lit("t"), "id").alias("text")).unionAll(spark.createDataFrame([(None,), ("t1",)], "text string")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for size in (1, 2):
+            found, bill = embeddings.embed(texts, registry.handle("m", size=size), lot=20, normalize=False, price=10.0)
+            rows = found.collect()
+            assert len(rows) == 97 and {r["embedding"][0] for r in rows if r["text"]} == {float(size)}
+            assert [r["embedding"] for r in rows if r["text"] is None] == [None] and bill.first()["tokens"] == 95 and bill.first()["cost"] == 95 * 10 / 1e6
+            assert sum(r["embedding"][1] == 20.0 for r in rows if r["text"]) >= 60
+        assert registry.handle("other", size=3).settings == '{"model": "other", "size": 3}'
+        with pytest.raises(Exception, match="vectors came back"):
+            embeddings.embed(texts, registry.handle("m", broken=True), sleep=lambda s: None)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(KeyError):
+        embeddings.Registry().handle("m")
