@@ -264,6 +264,12 @@ def g7_seeded_shuffle(v: Views) -> DataFrame:
     return chain.shuffled(chain.knn(v.fq, v.anchors, 5), v.questions, 42).select("qid", "pos", "rank")
 
 
+@query()
+def g7_python_shuffle(v: Views) -> DataFrame:
+    """The order of Python's generator, which SQL doesn't have: a test holds it against `random`."""
+    return chain.shuffled_as_python(v.chain, v.questions, 42).select("qid", "pos", "rank")
+
+
 @query(
     """, pairs AS (SELECT qid, s, p, o, ts FROM fq JOIN questions USING (qid) WHERE main <> aux AND s IN (main, aux) AND o IN (main, aux))
 SELECT qid, s, p, o, ts FROM kept UNION SELECT qid, s, p, o, ts FROM pairs""",

@@ -43,8 +43,13 @@ def worker_object(key: Any, build: Callable[[], Any]) -> Any:
 
 
 def give_back() -> None:
-    """Freed memory goes back to the system, where the C library can do that."""
+    """Objects that only refer to each other go, and freed memory goes back to the system."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system, where the C library can do that: idle workers hold less."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -75,8 +80,8 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_columns(df: DataFrame, inputs: list[str], run: Callable[[pa.RecordBatch], list[pa.Array]], added: str, keep: list[str] | None = None) -> DataFrame:
-    """`df` with columns computed batch by batch in Arrow from `inputs`.
+def map_columns(df: DataFrame, inputs: list[str], run: Callable[[pa.RecordBatch], list[pa.Array]], added: str, keep: list[str] | None = None, trimmed: bool = False) -> DataFrame:
+    """`df` with columns computed batch by batch in Arrow from `inputs`; `trimmed` workers give freed memory back after each task.
 
     The columns in `keep` (all, if None) pass through Python unchanged, the
     others end there; a column of `df` named like an added one is replaced."""
@@ -92,6 +97,8 @@ def map_columns(df: DataFrame, inputs: list[str], run: Callable[[pa.RecordBatch]
             for at in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(at, BLOCK_ROWS)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:passes], *run(batch.select(reads))], names=out_names)
+        if trimmed:
+            trim()
 
     return df.select(*[F.col(_q(c)) for c in sent]).mapInArrow(mapped, schema)
 

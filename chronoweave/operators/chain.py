@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.functions import dates, text, vectors
 from chronoweave.operators.grounding import best
@@ -107,3 +111,23 @@ def shuffled(chain: DataFrame, questions: DataFrame, seed: int, question: str =
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_q"), *COLUMNS), 256)
     joined = chain.join(questions.select("qid", F.col(question).alias("_q")), "qid")
     return joined.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(key, "pos")).cast("long")).drop("_q")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _python_order(seeds: pa.Array, sizes: pa.Array) -> pa.Array:
+    """For each seed (hexadecimal) and size the places 0 .. size - 1 as Python's generator shuffles them."""
+    out = []
+    for seed, n in zip(seeds.to_pylist(), sizes.to_pylist(), strict=True):
+        places = list(range(n))
+        random.Random(int(seed, 16)).shuffle(places)
+        out.append(places)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def shuffled_as_python(chain: DataFrame, questions: DataFrame, seed: int, question: str = "question") -> DataFrame:
+    """The ablation without proximity order as Python's `random` has it: `chain` (with rank, from 1) in the order of its
+    shuffle, seeded by the first 16 digits of the SHA-256 of `seed:question`. A question's shuffle is one short list; chains stay where they are."""
+    sizes = chain.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("_n")).join(questions.select("qid", F.col(question).alias("_q")), "qid")
+    key = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), "_q"), 256), 1, 16)
+    orders = sizes.select("qid", F.posexplode(_python_order(key, F.col("_n"))).alias("_new", "_old")).select("qid", (F.col("_old") + 1).cast("long").alias("rank"), (F.col("_new") + 1).cast("long").alias("_new"))
+    return chain.join(orders, ["qid", "rank"]).withColumn("rank", F.col("_new")).drop("_new")

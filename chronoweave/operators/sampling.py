@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +52,15 @@ def simple_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(rank_hash(seed, F.col(key).cast("string")), key).limit(n)
 
 
+def python_sample(rows: DataFrame, order: str, n: int, seed: int) -> DataFrame:
+    """n rows as Python's `random.sample` draws them from the rows in the order of `order` (numbers 0, 1, ...), with `pos`, the place among those drawn.
+
+    Only the n drawn numbers are made on the driver."""
+    drawn = random.Random(seed).sample(range(total := rows.count()), min(n, total))
+    places = rows.sparkSession.createDataFrame(list(enumerate(drawn)), f"pos long, `{order}` long")
+    return rows.join(places, order)
+
+
 def limited(rows: DataFrame, limit: int | None, order: list[str]) -> DataFrame:
     """The first rows; 0 and None are no limit."""
     return rows.orderBy(*order).limit(limit) if limit else rows

@@ -165,3 +165,24 @@ def test_stored_adjacency(spark, broadcast):
         stored.drop()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_orders_of_python(spark):
+    """Shuffles and samples are those of Python's generator."""
+    import hashlib
+    import random
+
+    from chronoweave.operators import sampling
+
+    sizes = {"q1": 1, "q2": 7, "q3": 40}
+    rows = spark.createDataFrame([(q, r + 1, f"f{r}") for q, n in sizes.items() for r in range(n)], "qid string, rank long, s string")
+    asked = spark.createDataFrame([(q, f"what of {q} é?") for q in sizes], "qid string, question string")
+    got = chain.shuffled_as_python(rows, asked, 42).orderBy("qid", "rank").collect()
+    for q, n in sizes.items():
+        want = [f"f{r}" for r in range(n)]
+        random.Random(int(hashlib.sha256(f"42:what of {q} é?".encode()).hexdigest()[:16], 16)).shuffle(want)
+        assert [r["s"] for r in got if r["qid"] == q] == want
+    many = spark.range(500).withColumnRenamed("id", "place")
+    random.seed(7)
+    assert [r["place"] for r in sampling.python_sample(many, "place", 25, 7).orderBy("pos").collect()] == random.sample(range(500), 25)
+    assert sampling.python_sample(many.limit(3), "place", 25, 7).count() == 3
