@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.catalog.evaluation import _ORDER
@@ -74,6 +75,20 @@ def a13_embedding_cache(v: Views) -> DataFrame:
     return read.select("key", F.col("embedding")[0].cast("long").alias("size"))
 
 
+@query("SELECT DISTINCT p AS key, length(p) AS adopted, -1 AS other_encoder, CASE WHEN length(p) < 6 THEN -2 END AS other_keys FROM facts", FACTS)
+def a14_adopted_cache(v: Views) -> DataFrame:
+    """A cache of the old format, one JSON object of a vocabulary, is adopted for the encoder that wrote it and for its very keys, and refused for others."""
+    path = _place(v)
+    names = graph.relations(v.facts)
+    keys = names.select((F.row_number().over(W.orderBy("relation")) - 1).cast("long").alias("pos"), F.col("relation").alias("key"))
+    old = F.struct(F.transform("rows", lambda x: x["key"]).alias("keys"), F.transform("rows", lambda x: F.array(F.length(x["key"]).cast("float"))).alias("embeddings"))
+    keys.agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("rows")).select(F.to_json(old).alias("value")).coalesce(1).write.text(f"{path}/old")
+    build = lambda mark: lambda k: k.withColumn("embedding", F.array(F.lit(mark).cast("float")))
+    made = lambda name, slug, wanted, mark: caches.load_or_build(v.spark, f"{path}/{name}", slug, wanted, build(mark), (f"{path}/old", "keys")).select("key", F.col("embedding")[0].cast("int").alias(name))
+    found = made("adopted", "bge-base-en-v1.5", keys, 0).join(made("other_encoder", "m", keys, -1), "key")
+    return found.join(made("other_keys", "bge-base-en-v1.5", keys.where("length(key) < 6"), -2), "key", "left")
+
+
 @query("SELECT 'm' AS model, qid AS prompt, CASE WHEN k % 2 = 0 THEN 'kept' ELSE 'asked ' || qid END AS response FROM questions", f"{FACTS}, {QUESTIONS}")
 def a16_model_calls(v: Views) -> DataFrame:
     """A client is asked for what the cache hasn't; its first answer isn't valid (K6), its second one is."""

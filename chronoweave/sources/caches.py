@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What Spark's errors say of a cache that is absent or isn't a table of Parquet files with the wanted columns.
@@ -82,8 +85,43 @@ def cache_is_valid(cache: DataFrame, keys: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def load_or_build(spark, path: str, slug: str, keys: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The cached embeddings of a model if they are of these keys; built and written where they are absent, of other keys or damaged.
+def read_matrix(spark: SparkSession, path: str, keys_field: str) -> DataFrame:
+    """pos, key and embedding of a stored matrix, wherever Spark reads: `.npz` with an array of keys and one of rows named
+    `embeddings`, or the old format, one JSON object of both. A matrix is one file, of a vocabulary that one task holds."""
+    if path.endswith(".npz"):
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for content in batch["content"]:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as blob:
+                        keys, matrix = blob[keys_field].tolist(), blob["embeddings"]
+                    for at in range(0, len(keys), 4096):
+                        part = slice(at, at + 4096)
+                        yield pd.DataFrame({"pos": range(at, at + len(keys[part])), "key": keys[part], "embedding": list(matrix[part].astype(np.float32))})
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "pos long, key string, embedding array<float>")
+    value = F.from_json("value", f"`{keys_field}` array<string>, embeddings array<array<float>>", {"mode": "FAILFAST"}).alias("v")
+    both = F.arrays_zip(F.col(f"v.`{keys_field}`").alias("key"), F.col("v.embeddings").alias("embedding"))
+    return spark.read.text(path, wholetext=True).select(value).select(F.posexplode(both).alias("pos", "x")).select(F.col("pos").cast("long").alias("pos"), "x.key", "x.embedding")
+
+
+def adopted(spark: SparkSession, path: str, keys_field: str, slug: str, keys: DataFrame, writer: str = "bge-base-en-v1.5") -> DataFrame | None:
+    """The old cache's rows, if the encoder is the one that wrote it and it has exactly the wanted keys in the wanted order; None if not,
+    or if it is absent or damaged, which is no error: embeddings are built then."""
+    if slug != writer:
+        return None
+    try:
+        old = read_matrix(spark, path, keys_field)
+        return old if cache_is_valid(old, keys) else None
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(mark in str(e) for mark in (*REBUILT, "MALFORMED_RECORD", "BadZipFile", "KeyError", "ValueError")):
+            raise
+        return None
+
+
+def load_or_build(spark: SparkSession, path: str, slug: str, keys: DataFrame, build: Callable[[DataFrame], DataFrame], legacy: tuple[str, str] | None = None) -> DataFrame:
+    """The cached embeddings of a model if they are of these keys; else those of an old cache (`legacy`: its path and field of keys) that
+    may be adopted; else built. What is adopted or built is written, in place of what was absent, of other keys or damaged.
 
     Any other error, as of a lost connection, is raised: the cache stays as it is."""
     place = f"{path}/model_slug={slug}"
@@ -94,10 +132,6 @@ def load_or_build(spark, path: str, slug: str, keys: DataFrame, build: Callable[
     except PySparkException as e:
         if not any(mark in str(e) for mark in REBUILT):
             raise
-    build(keys).write.mode("overwrite").parquet(place)
+    rows = adopted(spark, legacy[0], legacy[1], slug, keys) if legacy else None
+    (build(keys) if rows is None else rows).write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
-
-
-def adoptable(slug: Column, same_keys: Column) -> Column:
-    """A cache of the old format is taken over only for the encoder that wrote it."""
-    return (slug == "bge-base-en-v1.5") & same_keys

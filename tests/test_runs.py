@@ -226,3 +226,23 @@ def test_embedding_connector(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     with pytest.raises(KeyError):
         embeddings.Registry().handle("m")
+
+
+def test_stored_matrices(spark, tmp_path):
+    """`.npz` and the old JSON are read; other keys, another order, other encoders and damaged files are refused."""
+    import numpy as np
+
+    names, matrix = ["b", "a", "c"], np.arange(6, dtype=np.float32).reshape(3, 2)
+    np.savez(tmp_path / "m.npz", entities=np.array(names), embeddings=matrix)
+    (tmp_path / "old.json").write_text(json.dumps({"entities": names, "embeddings": matrix.tolist()}))
+    (tmp_path / "cut.json").write_text(json.dumps({"entities": names})[:9])
+    (tmp_path / "cut.npz").write_bytes(b"PK nothing")
+    keys = lambda order: spark.createDataFrame(list(enumerate(order)), "pos long, key string")
+    for name in ("m.npz", "old.json"):
+        rows = caches.read_matrix(spark, str(tmp_path / name), "entities").orderBy("pos").collect()
+        assert [tuple(r) for r in rows] == [(i, n, matrix[i].tolist()) for i, n in enumerate(names)]
+    own = "bge-base-en-v1.5"
+    assert caches.adopted(spark, str(tmp_path / "old.json"), "entities", own, keys(names)).count() == 3
+    assert caches.adopted(spark, str(tmp_path / "old.json"), "entities", "other", keys(names)) is None
+    for path, order in (("old.json", ["a", "b", "c"]), ("old.json", ["b", "a"]), ("none.json", names), ("cut.json", names), ("cut.npz", names)):
+        assert caches.adopted(spark, str(tmp_path / path), "entities", own, keys(order)) is None
