@@ -186,8 +186,9 @@ def i24_rank_hash(v: Views) -> DataFrame:
 
 @query(", manifest AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS pos FROM questions) SELECT pos, qid, question FROM manifest JOIN questions USING (qid)", f"{FACTS}, {QUESTIONS}")
 def d11_ordered_selection(v: Views) -> DataFrame:
-    named = v.questions.agg(F.sort_array(F.collect_list("qid")).alias("quids")).select(F.posexplode(F.concat("quids", F.array(F.lit("gone")))).alias("pos", "qid"))
-    return q_source.select_in_order(v.questions, named.withColumn("pos", F.col("pos").cast("long"))).select("pos", "qid", "question")
+    """Ids in an order of their own, one of which no question has."""
+    named = sampling.numbered(v.questions.select("qid"), "qid").unionByName(v.spark.createDataFrame([("gone", -1)], "qid string, pos long"))
+    return q_source.select_in_order(v.questions, named).select("pos", "qid", "question")
 
 
 @query("SELECT DISTINCT ON (qid) qid, source, seq FROM journal ORDER BY qid, seq DESC", JOURNAL)

@@ -25,8 +25,9 @@ def _place(v: Views) -> str:
 
 @query("SELECT qid, question, answer_type, qtype, qlabel, time_level, array_to_string(answers, ',') AS a FROM questions", f"{FACTS}, {QUESTIONS}")
 def a4_question_scan(v: Views) -> DataFrame:
-    """JSON arrays of records, one a file, read as questions."""
-    records = v.questions.select(F.col("qid").alias("quid"), "question", "answers", "answer_type", "qtype", "qlabel", "time_level", F.pmod(F.xxhash64("qid"), F.lit(8)).alias("part"))
+    """JSON arrays of about a thousand records, one a file, read as questions."""
+    parts = -(-v.questions.count() // 1000)
+    records = v.questions.select(F.col("qid").alias("quid"), "question", "answers", "answer_type", "qtype", "qlabel", "time_level", F.pmod(F.xxhash64("qid"), F.lit(max(1, parts))).alias("part"))
     files = records.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*[c for c in records.columns if c != "part"]))).alias("value")).select("value")
     path = _place(v)
     files.write.option("maxRecordsPerFile", 1).text(path)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.sources.tables import kept
+
 STRATUM = ["qtype", "answer_type", "time_level"]
 
 
@@ -52,6 +54,18 @@ def simple_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(rank_hash(seed, F.col(key).cast("string")), key).limit(n)
 
 
+def numbered(rows: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """`rows` with numbers from 0 in the order of a column; equal values in any order.
+
+    Rows are written in ranges of the column, and each range is numbered by itself, from the sum of the ranges before it."""
+    ranges = kept(rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(order))
+    met = ranges.withColumn("_inside", inside).join(sizes.select("_range", before.alias("_before")), "_range")
+    return met.withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_range", "_inside", "_before")
+
+
 def python_sample(rows: DataFrame, order: str, n: int, seed: int) -> DataFrame:
     """n rows as Python's `random.sample` draws them from the rows in the order of `order` (numbers 0, 1, ...), with `pos`, the place among those drawn.
 
