@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronoweave.catalog.evaluation import _ORDER
 from chronoweave.catalog.registry import query
 from chronoweave.catalog.views import EXPLICIT, FACTS, QUESTIONS, Views
-from chronoweave.functions import dates
+from chronoweave.functions import dates, text
 from chronoweave.operators import sampling
 from chronoweave.plans.reason import by_model, with_retry
 from chronoweave.sources import caches, embeddings, graph, journal, questions, responses
@@ -188,7 +188,7 @@ def g10_limit(v: Views) -> DataFrame:
 @query("SELECT qid, coalesce(string_agg(anchor::VARCHAR, ',' ORDER BY anchor), '') AS dates FROM questions LEFT JOIN explicit USING (qid) GROUP BY qid", f"{FACTS}, {QUESTIONS}, {EXPLICIT}")
 def h5_ordered_dates(v: Views) -> DataFrame:
     """A question said twice names each of its dates once, in the first order."""
-    twice = F.concat("question", F.lit(" "), "question")
+    twice = text.without_name(F.concat("question", F.lit(" "), "question"), F.col("main"))
     return v.questions.select("qid", F.array_join(dates.explicit_anchors(twice).cast("array<string>"), ",").alias("dates"))
 
 

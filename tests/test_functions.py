@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import dates, scores, text, vectors
+from chronoweave.operators import chain
 
 
 def value(spark, column):
@@ -88,3 +89,17 @@ def test_vectors(spark):
     encode = vectors.hash_encoder(8)
     rows = spark.createDataFrame([("Make_a_visit",), ("make a visit",), (None,)], "t string").select(encode("t").alias("v")).collect()
     assert rows[0]["v"] == rows[1]["v"] and not any(rows[2]["v"])
+
+
+@pytest.mark.parametrize(("said", "name", "want"), [
+    ("What did User 1234 click on 5 January 2024?", "User_1234", ["2024-01-05"]),
+    ("What did User 1234 click?", "User_123", ["1234-01-01"]),
+    ("Who saw user_1234 last in 2010?", "User_1234", ["2010-01-01"]),
+    (r"Who saw \Q2001\E (x) in 2010?", r"\Q2001\E_(x)", ["2010-01-01"]),
+    ("Who was there in 2010?", None, ["2010-01-01"]),
+    ("Who was there in 2010?", " ", ["2010-01-01"]),
+])
+def test_numbers_in_names_are_no_dates(spark, said, name, want):
+    rows = spark.createDataFrame([("q", said, name)], "qid string, question string, main string")
+    assert [str(r["anchor"]) for r in chain.explicit(rows, name="main").collect()] == want
+    assert {str(r["anchor"]) for r in chain.explicit(rows).collect()} >= set(want)
