@@ -47,6 +47,47 @@ def test_learns_and_leaves_held_out_labels(spark, labelled):
     assert (again.kernel == model.kernel).all() and again.thresholds == model.thresholds
 
 
+def test_learns_from_labels_beyond_the_start(spark, labelled, monkeypatch):
+    """Before, the model and its thresholds came from the first few labels alone."""
+    docs, labels = labelled
+    monkeypatch.setattr(toxic, "PART_ROWS", 300)
+    p = toxic.Params(bits=12, per_class=10, epochs=8, passes=8)
+    drawn = [r["doc_id"] for r in toxic.sample(docs, labels, p)]
+    assert len(drawn) == 30
+    rest = docs.join(labels, "doc_id").where("toxic = 1").where(~F.col("doc_id").isin(drawn)).select("doc_id")
+    said = docs.join(rest.withColumn("rest", F.lit(True)), "doc_id", "left").withColumn("text", F.when(F.col("rest"), F.concat("text", F.lit(" seldom"))).otherwise(F.col("text"))).drop("rest")
+    model = toxic.train(said, labels, p)
+    low, high = model.scores([toxic.word_hashes("a few words"), toxic.word_hashes("a few seldom words")])
+    assert high > low + 0.1
+    assert model.thresholds[""] != 0.5  # that of a sample with too few rows of either label
+    again = toxic.train(said.repartition(7), labels, p)
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True)) and again.thresholds == model.thresholds
+
+
+def test_moves_are_averaged_over_the_parts_that_moved():
+    move = lambda part, n, at, moved: {"name": "table0", "block": 0, "part": part, "n": n, "at": np.array(at, np.int32).tobytes(), "moved": np.array(moved, np.float32).tobytes()}
+    out = toxic._averaged(pa.Table.from_pylist([move(1, 3, [2, 5], [[4, 0], [1, 1]]), move(0, 1, [2, 7], [[0, 8], [2, 3]])])).to_pylist()[0]
+    assert np.frombuffer(out["at"], np.int32).tolist() == [2, 5, 7]
+    assert np.frombuffer(out["moved"], np.float32).tolist() == [3, 2, 1, 1, 2, 3]
+
+
+def test_thresholds_by_loops(spark):
+    rng = np.random.default_rng(3)
+    rows = [(("en", "de", None, "few")[min(i % 4, 3)], round(float(np.clip(rng.normal(0.3 + 0.3 * (i % 3 == 0), 0.2), 0, 1)), 2), int(i % 3 == 0)) for i in range(400)] + [("one", 0.5, 1)] * 5
+    got = toxic.thresholds(spark.createDataFrame(rows, "_lang string, score double, _toxic int"), 30)
+
+    def best(own):
+        cuts = sorted({s for s, _ in own} | {0.0}, reverse=True)
+        caught = {s: sum(y for x, y in own if x >= s) for s in cuts}
+        f1 = {s: 2 * caught[s] / (sum(x >= s for x, _ in own) + sum(y for _, y in own)) for s in cuts[:-1]}
+        widest = max((s - after, s) for s, after in zip(cuts, cuts[1:], strict=False) if f1[s] >= max(f1.values()) - 1e-12)
+        return round(widest[1] - widest[0] / 2, 6)
+
+    assert set(got) == {"", "en", "de", "few"}
+    for name, limit in got.items():
+        assert limit == pytest.approx(best([r[1:] for r in rows if not name or r[0] == name]))
+
+
 def test_score_is_of_the_text_alone(spark, labelled):
     docs, labels = labelled
     model = toxic.train(docs, labels, toxic.Params(bits=12, epochs=2))
