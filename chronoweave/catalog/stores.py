@@ -220,7 +220,7 @@ def _leased(v: Views, spend: leases.Spend, until, **how) -> DataFrame:
     dies = (F.col("k") % 5 == 0) & (F.col("try") == 1)
     score = lambda claims: claims.where(~dies).select("qid", "try", F.lit("").alias("error"), F.lit(1.0).alias("cost"))
     asked = v.questions.select("qid", "k").schema
-    leases.run(v.spark, f"{path}/questions", asked, score, f"{path}/journal", row, f"{path}/checkpoint", spend, until=until, lease_seconds=1, every="1 second", partitions=4, **how)
+    leases.run(v.spark, f"{path}/questions", asked, score, f"{path}/journal", row, f"{path}/checkpoint", spend, until=until, lease_seconds=1, every="1 second", partitions=max(4, v.spark.sparkContext.defaultParallelism), **how)
     return v.spark.read.schema(row).option("recursiveFileLookup", "true").json(f"{path}/journal")
 
 

@@ -163,14 +163,18 @@ def start(
 
 
 def run(spark: SparkSession, *args, until: Callable[[Spend], bool], seconds: float = 600, **how):
-    """Starts a query and waits until the condition holds, the budget ends it, or so many seconds are over; any other error is raised."""
+    """Starts a query and waits until the condition holds, the budget ends it, or nothing has come of it for so many seconds; any other error is raised.
+
+    Time in which the stream works on new files or rows isn't counted, so a long run isn't cut short."""
     query = start(spark, *args, **how)
     spend = args[-1]
     try:
-        left = seconds
+        left, seen = seconds, None
         while query.isActive and left > 0 and not until(spend):
             query.awaitTermination(0.5)
-            left -= 0.5
+            known = (spend.rows, spend.given_up)
+            left = seconds if known != seen or query.status["isDataAvailable"] else left - 0.5
+            seen = known
     except StreamingQueryException:
         if not spend.passed:
             raise

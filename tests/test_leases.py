@@ -48,3 +48,13 @@ def test_budget(spark, folder):
     assert 10 <= spend.spent < 16 and spend.rows == len(rows) == 2 * spend.spent and len({r["qid"] for r in rows}) == len(rows) and len(told) == 2
     spend, rows = run(spark, folder, score, lambda s: s.rows >= 40)
     assert spend.spent == 20 and sorted(r["qid"] for r in rows) == sorted(f"q{k}" for k in range(40))
+
+
+def test_a_run_that_goes_on_is_not_cut(spark, folder):
+    """Before, a run was over after so many seconds, whatever was still to be asked."""
+    spend = leases.Spend()
+    score = lambda df: df.select("qid", "try", F.lit("").alias("error"), F.lit(1.0).alias("cost"))
+    args = (spark, str(folder / "questions"), QUESTION, score, str(folder / "journal"), ROW, str(folder / "checkpoint"), spend)
+    leases.run(*args, until=lambda s: s.rows >= 40, seconds=2, lease_seconds=60, every="200 milliseconds", partitions=2, wave_rows=4, files_per_batch=1)
+    assert spend.rows == 40
+    leases.run(*args, until=lambda s: False, seconds=2, lease_seconds=60, every="200 milliseconds", partitions=2)  # nothing comes any more: it ends
