@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.util import Shipped, map_columns, texts_of, worker_object
+from chronoweave.llm.util import Shipped, give_back, map_columns, texts_of, worker_object
 
 KINDS = ("assign", "access", "hex", "field")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -418,13 +418,23 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
 
     # Each document's pieces come as four packed arrays: features, how many a token has, labels, tokens of each piece.
     found = map_columns(rows, ["_text"], run, "features binary, widths binary, labels binary, lengths binary", [doc_id]).where(F.length("lengths") > 0)
+    try:
+        sample = _unpacked(sorted(found.limit(sample_docs).collect(), key=lambda row: (row[doc_id] is None, row[doc_id])))
+        return fit(sample) if any(y.any() for _, y in sample) else None
+    finally:
+        sample = None
+        give_back()
+
+
+def _unpacked(rows: list) -> list[tuple[Packed, np.ndarray]]:
+    """Features and labels of the pieces of all rows, as views into their packed arrays: nothing is held twice."""
     sample = []
-    for row in sorted(found.limit(sample_docs).collect(), key=lambda row: (row[doc_id] is None, row[doc_id])):
-        features, widths, labels, lengths = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("features", "widths", "labels", "lengths"))
+    for row in rows:
+        features, widths, labels, lengths = (np.frombuffer(row[c], "<i4") for c in ("features", "widths", "labels", "lengths"))
         at = np.cumsum(lengths)[:-1]
-        ends = np.cumsum(np.add.reduceat(widths, np.append(0, at)))[:-1]
+        ends = np.cumsum(np.add.reduceat(widths, np.append(0, at), dtype=np.int64))[:-1]
         sample += [((f, w), y) for f, w, y in zip(np.split(features, ends), np.split(widths, at), np.split(labels, at), strict=True)]
-    return fit(sample) if any(y.any() for _, y in sample) else None
+    return sample
 
 
 def _all_spans(text: str | None, field: Field | Tagger | None) -> tuple[list, list]:

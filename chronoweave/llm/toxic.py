@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.util import MEMOS, Shipped, delete, map_columns, texts_of, worker_object, written
+from chronoweave.llm.util import MEMOS, Shipped, delete, give_back, map_columns, texts_of, worker_object, written
 
 _BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MEMO_ENTRIES = 400_000
@@ -322,14 +322,22 @@ def sample(docs: DataFrame, labels: DataFrame, p: Params, doc_id: str = "doc_id"
     return sorted(_hashed(docs, F.broadcast(few), doc_id, text, lang).collect(), key=lambda r: r[doc_id])
 
 
-def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id") -> Model | None:
-    """The classifier and its thresholds; None without labelled rows of both labels."""
+def started(docs: DataFrame, labels: DataFrame, p: Params, doc_id: str) -> Trainer | None:
+    """The fit that training starts from, on rows that go with the call; None without rows of both labels."""
     rows = sample(docs, labels, p, doc_id)
     aside = np.array([zlib.crc32(f"calibration {r[doc_id]}".encode()) % 5 == 0 for r in rows], dtype=bool)
     toxic = np.array([r["_toxic"] for r in rows], dtype=np.int64)[~aside]
     if len(set(toxic.tolist())) < 2:
         return None
-    start = fit([np.frombuffer(r["hashes"], np.uint64) for r, a in zip(rows, aside, strict=True) if not a], toxic, p)
+    return fit([np.frombuffer(r["hashes"], np.uint64) for r, a in zip(rows, aside, strict=True) if not a], toxic, p)
+
+
+def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id") -> Model | None:
+    """The classifier and its thresholds; None without labelled rows of both labels."""
+    start = started(docs, labels, p, doc_id)
+    if start is None:
+        return None
+    give_back()
     spark = docs.sparkSession
     every = _hashed(docs, _told(labels, doc_id), doc_id, "text", "lang")
     kept_out = F.crc32(F.concat(F.lit("calibration "), F.col(doc_id).cast("string"))) % 5 == 0
@@ -346,6 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str
         model.thresholds |= thresholds(map_columns(known.where("_aside"), ["hashes"], run, "score double", ["_lang", "_toxic"]), p.least)
     finally:
         delete(spark, path)
+    give_back()
     return model
 
 
