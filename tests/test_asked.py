@@ -1,6 +1,10 @@
 """Facts that no question can have stay where they are read."""
 
+import pytest
+
 from chronoweave.catalog import views
+from chronoweave.operators import shared
+from chronoweave.sources import tables
 
 
 def test_questions_leave_other_relations_where_they_are(spark, data, monkeypatch):
@@ -18,3 +22,26 @@ def test_questions_leave_other_relations_where_they_are(spark, data, monkeypatch
     # One semi join for each of the three kinds of facts, that of the orders below their join with the customers.
     assert union.count("LeftSemi") == 3
     assert union.index("o_orderpriority", union.index("LeftSemi", union.index("c_custkey"))) > 0
+
+
+NAMES = [
+    "c5_pair_facts",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_queries_leave_other_relations_where_they_are(spark, data, monkeypatch, name):
+    """No table that the query writes on its way is made from line items that met no semi join."""
+    import __spark_entry__ as entry
+
+    plans, kept = [], tables.kept
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    for module in (views, shared):
+        monkeypatch.setattr(module, "kept", seen)
+    plans.append(entry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString())
+    made = [p for p in plans if "l_suppkey" in p]
+    assert made and all(p.count("LeftSemi") >= 3 for p in made)  # one for each kind of facts
