@@ -27,6 +27,7 @@ def test_questions_leave_other_relations_where_they_are(spark, data, monkeypatch
 NAMES = [
     "c5_pair_facts",
     "e2_extremes",
+    "g12_effective_k",
 ]
 
 
