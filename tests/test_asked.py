@@ -28,6 +28,7 @@ NAMES = [
     "c5_pair_facts",
     "e2_extremes",
     "g12_effective_k",
+    "d7_answer_recall",
 ]
 
 
