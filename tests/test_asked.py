@@ -29,6 +29,7 @@ NAMES = [
     "e2_extremes",
     "g12_effective_k",
     "d7_answer_recall",
+    "d8_anchor_recall",
 ]
 
 
