@@ -30,6 +30,7 @@ NAMES = [
     "g12_effective_k",
     "d7_answer_recall",
     "d8_anchor_recall",
+    "h1_subgraph",
 ]
 
 
