@@ -31,6 +31,7 @@ NAMES = [
     "d7_answer_recall",
     "d8_anchor_recall",
     "h1_subgraph",
+    "g1_canonical_order",
 ]
 
 
