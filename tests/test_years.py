@@ -24,6 +24,7 @@ def years(tmp_path_factory):
 NAMES = [
     "d9_gold_anchors",
     "h5_ordered_dates",
+    "answer_pipeline",
 ]
 
 
