@@ -25,6 +25,7 @@ NAMES = [
     "d9_gold_anchors",
     "h5_ordered_dates",
     "answer_pipeline",
+    "answer_pipeline_vi",
 ]
 
 
