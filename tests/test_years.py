@@ -26,6 +26,7 @@ NAMES = [
     "h5_ordered_dates",
     "answer_pipeline",
     "answer_pipeline_vi",
+    "b8_reasoning_prompt",
 ]
 
 
