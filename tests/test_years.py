@@ -27,6 +27,7 @@ NAMES = [
     "answer_pipeline",
     "answer_pipeline_vi",
     "b8_reasoning_prompt",
+    "b6_evidence",
 ]
 
 
