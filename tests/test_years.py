@@ -28,6 +28,7 @@ NAMES = [
     "answer_pipeline_vi",
     "b8_reasoning_prompt",
     "b6_evidence",
+    "d6_temporal_knn",
 ]
 
 
