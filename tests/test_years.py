@@ -29,6 +29,7 @@ NAMES = [
     "b8_reasoning_prompt",
     "b6_evidence",
     "d6_temporal_knn",
+    "e1_min_distance",
 ]
 
 
