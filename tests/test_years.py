@@ -30,6 +30,7 @@ NAMES = [
     "b6_evidence",
     "d6_temporal_knn",
     "e1_min_distance",
+    "e14_chain_recall",
 ]
 
 
