@@ -31,6 +31,7 @@ NAMES = [
     "d6_temporal_knn",
     "e1_min_distance",
     "e14_chain_recall",
+    "g2_proximity_order",
 ]
 
 
