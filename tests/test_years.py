@@ -32,6 +32,7 @@ NAMES = [
     "e1_min_distance",
     "e14_chain_recall",
     "g2_proximity_order",
+    "g7_seeded_shuffle",
 ]
 
 
