@@ -33,6 +33,7 @@ NAMES = [
     "e14_chain_recall",
     "g2_proximity_order",
     "g7_seeded_shuffle",
+    "g6_semantic_chain",
 ]
 
 
